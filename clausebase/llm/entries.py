@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, quality, tokens
+from . import language, near, quality, suffix, tokens
 from .common import table
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_by_section(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
+    return {f.__name__: f for f in (op5_suffix_array_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
