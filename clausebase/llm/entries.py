@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, near, quality, suffix, tokens
+from . import decontaminate, language, merkle, mixing, near, quality, suffix, tokens
 from .common import table
 
 
+def op1_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -35,8 +47,12 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_suffix_array_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_mixing_to_weights, op3_merkle_fingerprints, op4_benchmark_decontamination, op5_suffix_array_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_mixing_to_weights": mixing.oracle_sql(),
+        "op3_merkle_fingerprints": merkle.ORACLE_SQL,
+        "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    }
