@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side up to which it may be broadcast; every use counts first and has a shuffled way beyond it.
@@ -29,3 +29,12 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it is known to be small, as it is otherwise."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def fence(value: Column) -> Column:
+    """``value``, marked so that the optimiser computes it where it stands.
+
+    Filters on a column built on it, and uses of it inside lambda functions,
+    otherwise get a copy of its whole expression, evaluated for each element.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)

@@ -21,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import fence, small
 
 WIDTH = 5
 BLOCK = 512
@@ -42,7 +42,7 @@ def shingles(words: Column) -> Column:
 
 def items_of(benchmark: DataFrame, per_mille: int) -> DataFrame:
     """item_id, n, least (shared shingles needed), size class, minima, shingles; an id that is repeated is one item with all its shingles."""
-    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), shingles(word_list(F.col("text"))).alias("s"))
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), fence(word_list(F.col("text"))).alias("w")).select("item_id", shingles(F.col("w")).alias("s"))
     own = own.groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("shingles"))
     own = own.withColumn("n", F.size("shingles")).where("n > 0 and item_id is not null")
     own = own.withColumn("size_class", F.floor(F.log2("n")).cast("int"))
@@ -71,18 +71,18 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
     if len(rows) > BLOCK * LITERAL_BLOCKS:
         raise ValueError("too many items for literals")
     names = docs.columns
-    held = docs.select(*[F.col(c) for c in names], F.array().cast("array<struct<item_id:bigint,n:int,least:int,shared:int>>").alias("benchmark_hits"), word_list(F.col("text")).alias("own_words"))
-    held = held.select(*names, "benchmark_hits", shingles(F.col("own_words")).alias("own_shingles"))
+    held = docs.select(*[F.col(c) for c in names], F.array().cast("array<struct<item_id:bigint,n:int,least:int,shared:int>>").alias("benchmark_hits"), fence(word_list(F.col("text"))).alias("own_words"))
+    held = held.select(*names, "benchmark_hits", fence(shingles(F.col("own_words"))).alias("own_shingles"))
     for i in range(0, len(rows), BLOCK):
         some, hits = _in_row(rows[i : i + BLOCK])
-        held = held.withColumn("own_minima", some).withColumn("benchmark_hits", F.concat("benchmark_hits", hits)).drop("own_minima")
+        held = held.withColumn("own_minima", fence(some)).withColumn("benchmark_hits", fence(F.concat("benchmark_hits", hits))).drop("own_minima")
     return held.select(*names, "benchmark_hits")
 
 
 def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     """The same for any number of items, by joins: row number, item_id, n, shared."""
     items = items_of(benchmark, round(threshold * 1000))
-    own = docs.select("doc_id", F.explode(F.array_distinct(shingles(word_list(F.col("text"))))).alias("h"))
+    own = docs.select("doc_id", fence(word_list(F.col("text"))).alias("w")).select("doc_id", fence(F.array_distinct(shingles(F.col("w")))).alias("s")).select("doc_id", F.explode("s").alias("h"))
     minima, whole = items.select("item_id", F.explode("minima").alias("h")), items.select("item_id", "n", "least", F.explode("shingles").alias("h"))
     near = own.join(small(minima), "h").select("doc_id", "item_id").distinct()
     shared = own.join(small(whole), "h").groupBy("doc_id", "item_id", "n", "least").agg(F.count("*").cast("int").alias("shared"))
@@ -114,10 +114,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
 
 
 ORACLE_SQL = r"""
-WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents),
-bw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM dw WHERE len(w) >= 5),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM bw WHERE len(w) >= 5),
+WITH dw AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+bw AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+du AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM dw),
+bu AS (SELECT item_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM bw),
+dl AS (SELECT doc_id, concat_ws(' ', t, lead(t, 1) OVER k, lead(t, 2) OVER k, lead(t, 3) OVER k, lead(t, 4) OVER k) AS s, lead(t, 4) OVER k AS last FROM du WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+bl AS (SELECT item_id, concat_ws(' ', t, lead(t, 1) OVER k, lead(t, 2) OVER k, lead(t, 3) OVER k, lead(t, 4) OVER k) AS s, lead(t, 4) OVER k AS last FROM bu WINDOW k AS (PARTITION BY item_id ORDER BY i)),
+ds AS (SELECT DISTINCT doc_id, s FROM dl WHERE last IS NOT NULL),
+bs AS (SELECT DISTINCT item_id, s FROM bl WHERE last IS NOT NULL),
 n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
 hit AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_shingles, shared AS n_shared, shared / n AS containment

@@ -111,13 +111,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _sql_tree(text: str) -> str:
-    return rf"list_transform(string_split({text}, chr(10)), l -> list_transform(regexp_extract_all(l, '[^.]{{1,64}}\.*|\.+'), p -> md5(p)))"
+    return rf"list_transform(string_split({text}, chr(10)), lambda l: list_transform(regexp_extract_all(l, '[^.]{{1,64}}\.*|\.+'), lambda p: md5(p)))"
 
 
 def _sql_print(tree: str) -> str:
-    marked = f"array_to_string(list_transform({tree}, o -> CASE WHEN md5(coalesce(array_to_string(o, ''), '')) < '2' THEN md5(coalesce(array_to_string(o, ''), '')) || '/' ELSE md5(coalesce(array_to_string(o, ''), '')) END), '')"
-    leaves = f"array_to_string(list_transform({tree}, o -> coalesce(array_to_string(list_transform(o, h -> substr(h, 1, 8)), ''), '') || CASE WHEN md5(coalesce(array_to_string(o, ''), '')) < '2' THEN '/' ELSE '.' END), '')"
-    return f"sha256(array_to_string(list_transform(string_split({marked}, '/'), s -> md5(s)), '')) || ':' || {leaves}"
+    marked = f"array_to_string(list_transform({tree}, lambda o: CASE WHEN md5(coalesce(array_to_string(o, ''), '')) < '2' THEN md5(coalesce(array_to_string(o, ''), '')) || '/' ELSE md5(coalesce(array_to_string(o, ''), '')) END), '')"
+    leaves = f"array_to_string(list_transform({tree}, lambda o: coalesce(array_to_string(list_transform(o, lambda h: substr(h, 1, 8)), ''), '') || CASE WHEN md5(coalesce(array_to_string(o, ''), '')) < '2' THEN '/' ELSE '.' END), '')"
+    return f"sha256(array_to_string(list_transform(string_split({marked}, '/'), lambda s: md5(s)), '')) || ':' || {leaves}"
 
 
 def _sql_like(a: str, b: str) -> str:
@@ -129,7 +129,7 @@ WITH o AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 nx AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text), first_value(text) OVER (ORDER BY doc_id, text)) AS next_text FROM o),
 ed AS (SELECT *, length(text) AS n_chars, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited FROM nx),
 tr AS (SELECT *, {_sql_tree("text")} AS a, {_sql_tree("edited")} AS b, {_sql_tree("next_text")} AS c FROM ed),
-sh AS (SELECT *, {", ".join(f"list_distinct(list_transform(flatten({x}), h -> substr(h, 1, 8))) AS s{x}" for x in "abc")} FROM tr)
+sh AS (SELECT *, {", ".join(f"list_distinct(list_transform(flatten({x}), lambda h: substr(h, 1, 8))) AS s{x}" for x in "abc")} FROM tr)
 SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {_sql_print("a")} AS fingerprint, {_sql_print("b")} AS edited_fingerprint, {_sql_like("sa", "sb")} AS near_edited, {_sql_like("sa", "sc")} AS near_next
 FROM sh
 """
