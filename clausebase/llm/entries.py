@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, merkle, mixing, near, quality, suffix, tokens
+from . import decontaminate, language, lines, merkle, mixing, near, quality, suffix, tokens
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_by_section(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing_to_weights, op3_merkle_fingerprints, op4_benchmark_decontamination, op5_suffix_array_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_mixing_to_weights, op3_merkle_fingerprints, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -55,4 +59,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_mixing_to_weights": mixing.oracle_sql(),
         "op3_merkle_fingerprints": merkle.ORACLE_SQL,
         "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+        "op6_line_dedup": lines.ORACLE_SQL,
     }
