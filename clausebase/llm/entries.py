@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, merkle, mixing, near, quality, suffix, tokens
+from . import decontaminate, language, lines, merkle, mixing, near, pii, quality, suffix, tokens
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op3_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing_to_weights, op3_merkle_fingerprints, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_mixing_to_weights, op2_pii_sanitisation, op3_merkle_fingerprints, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
