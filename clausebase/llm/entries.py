@@ -28,7 +28,7 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.drop_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix.drop_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

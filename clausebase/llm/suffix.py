@@ -41,6 +41,8 @@ GRAM = 64
 BLOCK = 169
 FINE = 21
 HOT = 256
+#: Bytes of text that a task works on at once; a longer text makes a slice of its own.
+SLICE = 1 << 18
 #: Rows of one long that may be broadcast to filter texts; beyond, the join shuffles.
 FILTER_ROWS = 200_000
 
@@ -107,7 +109,7 @@ def _items(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column("rid").to_numpy()
-            for part in K.slices(batch.column("text")):
+            for part in K.slices(batch.column("text"), SLICE):
                 sums = K.prefix(part.data)
                 anchor, first, last, text = _anchored(sums, part.ends, length, GRAM)
                 x = blocks_of(sums, anchor, first, last, length, BLOCK)
@@ -235,8 +237,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs: rid (long, equal only for equal rows), text.  spans: array of
     struct(s, e), as found, not merged.
     """
-    items = docs.mapInArrow(_items(length), _ITEM)
-    shared = items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    items = durable(docs.mapInArrow(_items(length), _ITEM))
+    shared = durable(items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))  # cut, so that the join below can split a hot key
     found = durable(items.join(shared, "key"))
     kinds = durable(found.groupBy("key", "u").agg(F.count("*").alias("n"), F.min(F.struct("rid", "p1", "p2", "q")).alias("at")))
     whole = kinds.where("n > 1").select("key", "u", F.lit(0).cast("long").alias("s"), (F.col("at.p2") - F.col("at.p1") + length).alias("e"))
@@ -269,7 +271,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     by_kind = durable(all_spans.groupBy("key", "u").agg(F.collect_list(F.struct("s", "e")).alias("spans")))  # at most LENGTH short ones
     placed = found.select("key", "u", "rid", "p1").join(by_kind, ["key", "u"])
     placed = placed.select("rid", F.expr("transform(spans, x -> struct(x.s + p1 as s, x.e + p1 as e))").alias("spans"))
-    return placed.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return placed.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def _single(length: int):
@@ -285,24 +287,34 @@ def _single(length: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-            data = (text.as_py() or "").encode()
-            runs = merged([(x["s"], x["e"]) for x in spans or []])
-            edges = [0, *(x for run in runs for x in run), len(data)]
-            rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-            n_bytes.append(len(data))
-            n_removed.append(len(data) - len(rest))
-            n_spans.append(len(runs))
-            digest.append(hashlib.sha256(rest).hexdigest())
+def _cut(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                yield _kept(batch.slice(at, 500), with_text)
+
+    return run
+
+
+def _kept(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
+    n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
+    for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+        data = (text.as_py() or "").encode()
+        runs = merged([(x["s"], x["e"]) for x in spans or []])
+        edges = [0, *(x for run in runs for x in run), len(data)]
+        rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+        n_bytes.append(len(data))
+        n_removed.append(len(data) - len(rest))
+        n_spans.append(len(runs))
+        digest.append(hashlib.sha256(rest).hexdigest())
+        if with_text:
             kept.append(rest)
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.binary())})
+    out = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+    return pa.record_batch(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes) for every row of docs.
+def drop_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (the remaining bytes) for every row of docs.
 
     A null or empty text has 0 bytes.  Rows that repeat each other hold each
     other's strings, so whatever is ``length`` bytes or longer in them goes.
@@ -310,4 +322,4 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
     spans = repeated(own.where(f"octet_length(text) >= {length}").select("rid", "text"), length)
-    return own.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return own.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
