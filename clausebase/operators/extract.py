@@ -16,7 +16,7 @@ LEAST_WORDS_PER_PAGE, LEAST_CONFIDENCE, OCR_BELOW = 30.0, 50.0, 20.0
 def is_outlier(least: float = LEAST_WORDS_PER_PAGE) -> Column:
     """Of word_count, page_count, ocr_used, ocr_confidence, extraction_error."""
     sparse = (F.coalesce("page_count", F.lit(0)) <= 0) | (F.try_divide("word_count", "page_count") < least)
-    unsure = F.coalesce("ocr_used", F.lit(False)).cast("boolean") & F.coalesce(F.col("ocr_confidence") < LEAST_CONFIDENCE, F.lit(False))
+    unsure = F.coalesce(F.col("ocr_used").cast("boolean"), F.lit(False)) & F.coalesce(F.col("ocr_confidence") < LEAST_CONFIDENCE, F.lit(False))
     return (F.coalesce("extraction_error", F.lit("")) != "") | F.coalesce(sparse, F.lit(True)) | unsure
 
 
