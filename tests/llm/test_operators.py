@@ -1,0 +1,336 @@
+import hashlib
+import random
+import sys
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute  # noqa: E402
+
+from clausebase.llm import components, decontaminate, kernels, language, lines, merkle, mixing, near, pii, quality, suffix, tokens  # noqa: E402
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(11)
+WORDS = ["".join(RNG.choice("abcdeo") for _ in range(RNG.randint(2, 7))) for _ in range(400)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, texts, extra=False):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    df = spark.createDataFrame(rows, DOC)
+    return df.withColumns({"rid": F.lit("x"), "id": F.lit(1), "k": F.lit(2), "g": F.lit("y")}) if extra else df
+
+
+def near_docs():
+    rng = random.Random(5)
+    out = []
+    for i in range(40):
+        base = prose(rng, rng.randint(20, 120)).split()
+        out.append((10 * i, " ".join(base)))
+        if i % 3 == 0:
+            for k in range(1, 4):
+                own = list(base)
+                for _ in range(k):
+                    own[rng.randrange(len(own))] = rng.choice(WORDS)
+                out.append((10 * i + k, " ".join(own)))
+    same = prose(rng, 50)
+    out += [(1000 + k, same) for k in range(5)] + [(2000, None), (2001, ""), (2002, "..."), (2003, "one two"), (2004, "One, two!"), (2005, prose(rng, 9000))]
+    return out
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return near_docs()
+
+
+def test_jaccard_classes(spark, documents):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.jaccard_classes(frame(spark, documents, extra=True)).collect()}
+    assert got == brute.jaccard_classes(documents)
+    kept = near.keep_one(frame(spark, documents, extra=True))
+    assert {r.doc_id for r in kept.collect()} == {i for i, (c, _) in brute.jaccard_classes(documents).items() if c == i} and "g" in kept.columns
+    assert near.jaccard_classes(frame(spark, [])).count() == 0
+
+
+def test_jaccard_large_buckets(spark, documents, monkeypatch):
+    monkeypatch.setattr(near, "SMALL", 2)
+    monkeypatch.setattr(near, "BLOCK", 4)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near.jaccard_classes(frame(spark, documents)).collect()}
+    assert got == brute.jaccard_classes(documents)
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), *[(100 + k, 101 + k) for k in range(20)]]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got[9] == 1 and got[3] == 1 and got[6] == 5 and got[120] == 100 and 7 not in got
+
+
+LINES = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon zeta eta", "Of.", "zeta epsilon delta gamma beta alpha", " ", "", "a\tb c", "c b a"]
+
+
+def line_docs():
+    rng = random.Random(2)
+    docs = [(i, "\n".join(rng.choice(LINES) if rng.random() < 0.5 else prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    for i in range(60, 90):
+        own = docs[i - 60][1].split(" ")
+        own[rng.randrange(len(own))] = "edit"
+        docs.append((i, " ".join(own)))
+    return [*docs, (200, None), (201, ""), (202, "\n\n"), (203, "x" * 5000)]
+
+
+@pytest.mark.parametrize("look", [20_000, 1])
+def test_line_dedup(spark, monkeypatch, look):
+    monkeypatch.setattr(lines, "SECOND_LOOK", look)
+    docs = line_docs()
+    want = brute.removed_lines(docs)
+    got = {r.doc_id: r for r in lines.line_dedup(frame(spark, docs, extra=True)).collect()}
+    assert {i: [int(x) for x in r.removed.split(",") if x] for i, r in got.items()} == {i: want.get(i, []) for i, _ in docs}
+    assert got[200].n_lines == 1 and got[202].n_lines == 3
+
+
+def test_lines_kept(spark):
+    docs = line_docs()
+    want = brute.removed_lines(docs)
+    kept = {r.doc_id: r for r in lines.keep_first_lines(frame(spark, docs, extra=True)).collect()}
+    for i, t in docs:
+        rest = "\n".join(x for k, x in enumerate((t or "").split("\n")) if k not in want.get(i, []))
+        if not want.get(i):
+            assert kept[i].text == t
+        elif rest.split():
+            assert kept[i].text == rest and kept[i].n_chars == len(rest)
+        else:
+            assert i not in kept
+
+
+def test_decontamination(spark):
+    rng = random.Random(8)
+    items = [(k, prose(rng, rng.choice([3, 5, 12, 40]))) for k in range(30)] + [(90, None), (91, "")]
+    docs = []
+    for i in range(60):
+        item = rng.choice(items)[1] or ""
+        cut = item.split()[: rng.choice([len(item.split()), int(len(item.split()) * 0.9)])]
+        docs.append((i, prose(rng, rng.randint(0, 300)) + (" " + " ".join(cut).upper() + "! " if i % 2 else "") + prose(rng, 50)))
+    docs += [(100, None), (101, ""), (102, "a b")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contained(docs, items)
+    assert len(want) > 10
+    got = decontaminate.contaminated(frame(spark, docs, extra=True), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontaminate._joined(frame(spark, docs), bench, 0.8).collect()} == want
+    clean = decontaminate.keep_clean(frame(spark, docs, extra=True), bench)
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in want} and clean.columns == frame(spark, docs, extra=True).columns
+    assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
+
+
+def repeat_docs(length):
+    rng = random.Random(4)
+    passage = [prose(rng, 30) for _ in range(3)]
+    docs = []
+    for i in range(40):
+        parts = [prose(rng, rng.randint(0, 40))]
+        for _ in range(rng.choice([0, 1, 2])):
+            parts += [rng.choice(passage)[: rng.choice([length - 1, length, length + 30])], prose(rng, 5)]
+        docs.append((i, " é".join(parts)))
+    return [*docs, (50, None), (51, ""), (52, "x" * 900), (53, docs[0][1] * 2), (54, docs[1][1]), (55, docs[1][1]), (56, "é" * length)]
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_repeats(spark, monkeypatch, hot):
+    length = 120
+    for name, value in (("GRAM", 16), ("BLOCK", 53), ("FINE", 7), ("HOT", hot)):
+        monkeypatch.setattr(suffix, name, value)
+    docs = repeat_docs(length)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in suffix.drop_repeats(frame(spark, docs, extra=True), length).collect()}
+    want = brute.repeats(docs, length)
+    assert {i: x[:4] for i, x in got.items()} == want and all(x[4] == hashlib.sha256(x[3]).hexdigest() for x in got.values())
+
+
+def test_maximal_repeats():
+    rights = [b"banana", b"bandit", b"banana!", b"zzz"]
+    found = list(suffix.enhanced_repeats(rights, [b"x", b"x", b"y", b"x"], 2))
+    assert [(n, sorted(m), diverse) for n, m, _, diverse in found] == [(6, [0, 2], True), (3, [0, 1, 2], True)]
+
+
+def test_merkle(spark):
+    rng = random.Random(1)
+    docs = [(3 * i, "\n".join(prose(rng, rng.randint(1, 40)) + "." for _ in range(rng.randint(1, 6)))) for i in range(30)] + [(500, None), (501, ""), (502, "ab"), (503, "éö" * 3000)]
+    got = {r.doc_id: r for r in merkle.edited_fingerprints(frame(spark, docs, extra=True)).collect()}
+    text = {i: t or "" for i, t in docs}
+    ids = sorted(text)
+    for a, b in zip(ids, [*ids[1:], ids[0]], strict=True):
+        k = len(text[a]) // 4
+        edited = text[a][: len(text[a]) - k] + text[b][:k]
+        assert got[a].n_chars == len(text[a]) and got[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert (got[a].fingerprint == got[a].edited_fingerprint) == (edited == text[a]) and 0 <= got[a].near_next <= 1
+    con = duckdb.connect()
+    data = frame(spark, docs).toPandas()
+    con.register("documents", data)
+    want = {r[0]: r for r in con.sql(merkle.ORACLE_SQL).fetchall()}
+    assert {i: (r.fingerprint, r.near_edited) for i, r in got.items()} == {i: (r[3], r[5]) for i, r in want.items()}
+    one = merkle.fingerprints(frame(spark, [(1, "a\nb\nc"), (2, "a\nX\nc")])).orderBy("doc_id").collect()
+    assert spark.range(1).select(merkle.changed_paragraphs(F.lit(one[0].fingerprint), F.lit(one[1].fingerprint))).first()[0] == [1]
+
+
+def test_next_across_buckets(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "BUCKET", 3)
+    docs = [(7 * i * i, f"text {i}") for i in range(50)]
+    got = {r.doc_id: r.next_text for r in merkle.with_next(frame(spark, docs)).collect()}
+    assert got == {i: t for (i, _), (_, t) in zip(docs, [*docs[1:], docs[0]], strict=True)}
+
+
+@pytest.mark.parametrize("bucket", [1024, 2])
+def test_mixing(spark, monkeypatch, bucket):
+    monkeypatch.setattr(mixing, "BUCKET", bucket)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(0, 60)), rng.choice(["en", "en", "en", "fr", None]), rng.choice([f"src{k}" for k in range(6)] + [None, "src0", "src0"]), 0) for i in range(300)] + [(900, None, "en", "src1", 0)]
+    df = spark.createDataFrame(rows, DOC)
+    got = sorted(tuple(r) for r in mixing.mix_documents(df.withColumn("domain", F.lit("clash"))).collect())
+    con = duckdb.connect()
+    data = df.toPandas()
+    con.register("documents", data)
+    assert got == sorted(con.sql(mixing.oracle_sql()).fetchall())
+    total = sum(len((r[1] or "").split()) for r in rows)
+    assert sum(r[-1] for r in got) == int(total * mixing.BUDGET_SHARE)
+    assert mixing.mix_documents(df.limit(0)).count() == 0
+
+
+def test_mixing_fills_siblings_first(spark):
+    leaves = spark.createDataFrame([("a", "x", "1", 10), ("a", "x", "2", 100), ("b", "x", "3", 100)], "domain string, lang string, source string, tokens long").withColumn("n_docs", F.lit(1))
+    got = {r.source: r.budget for r in mixing.budgets(leaves, mixing.LEVELS, {}, 120, 1).collect()}
+    assert got == {"1": 10, "2": 50, "3": 60}
+    got = {r.source: r.budget for r in mixing.budgets(leaves, mixing.LEVELS, {"domain": {"a": 9}}, 200, 1).collect()}
+    assert got == {"1": 10, "2": 100, "3": 90}
+
+
+def test_pii(spark):
+    texts = [(1, "Call +44 20 7946 0958 or mail a.b@x.co.uk, not a@b."), (2, "1.2.3.4.5 999.1.2.3; 4111 1111 1111 1111, 4111111111111112"), (3, None), (4, ""), (5, "é😀 j@k.lm"), (6, "9" * 20000 + " " + "a" * 20000 + "@"), (7, "a@b.c_d@e.f")]
+    got = {r.doc_id: r for r in pii.digest(pii.find(frame(spark, texts, extra=True))).collect()}
+    assert got[1].spans == "email:30:41,phone:5:21" and got[2].spans == "ip:0:7,card:21:40" and got[5].spans == "email:3:9"
+    assert got[3].spans == got[4].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest() and got[6].spans == "" and got[7].spans == "email:0:5,email:5:11"
+    assert (got[1].n_email, got[1].n_phone, got[2].n_ip, got[2].n_card) == (1, 1, 1, 1)
+
+
+def test_disclosure(spark):
+    texts = [(i, f"the clinic note {i} says zorblatt signs\nwrite to z@y.org about zorblatt case {i}") for i in range(6)] + [(100 + i, f"the case about nothing {i} write to them") for i in range(200)]
+    found = pii.find(frame(spark, texts))
+    spans = {r.doc_id: [texts[r.doc_id][1][t.s : t.e] for t in r.terms] for r in found.where("doc_id < 6").collect()}
+    assert all("zorblatt" in s and "write" not in s for s in spans.values())
+    clean = pii.sanitised(frame(spark, texts)).where("doc_id = 3").first().text
+    assert "z@y.org" not in clean and "[EMAIL]" in clean
+    assert all(not r.terms for r in found.where("doc_id >= 100").collect())
+
+
+def test_tokens(spark):
+    rng = random.Random(6)
+    texts = [(i, "\n".join(prose(rng, rng.randint(0, 12)) for _ in range(rng.randint(1, 5)))) for i in range(20)] + [(50, None), (51, ""), (52, "a\n\n\nb\n"), (53, "é😀\n" * 3)]
+    coder, sizes = tokens.encoder(tokens.default_vocabulary())
+    for rule in tokens.RULES:
+        rows = tokens.count_by_section(frame(spark, texts, extra=True), rule=rule).collect()
+        for i, t in texts:
+            own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.section)
+            ids = coder.encode_ordinary(t or "")
+            assert sum(r.n_tokens for r in own) == len(ids)
+            data, at, want = (t or "").encode(), 0, [0] * len(own)
+            for x in ids:
+                span = range(at, at + int(sizes[x]))
+                at = span.stop
+                inside = [data[:p].count(b"\n") for p in span]
+                pick = {"start": inside[0], "end": inside[-1], "majority": max(sorted(set(inside)), key=inside.count)}[rule]
+                want[pick] += 1
+            assert [r.n_tokens for r in own] == want
+
+
+def language_docs():
+    rng = random.Random(3)
+    vocab = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(80)] for lang, letters in (("xx", "abcdefg"), ("yy", "mnopqrs"), ("zz", "tuvéößi"))}
+    return [(i, " ".join(rng.choice(vocab[lang]) for _ in range(rng.randint(5, 60))), lang) for i in range(300) for lang in [rng.choice(list(vocab))]], vocab
+
+
+def test_language(spark):
+    rows, vocab = language_docs()
+    docs = spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], DOC)
+    model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    assert model[0] == ["xx", "yy", "zz"]
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    held = [(i, lang) for i, _, lang in rows if language.fold(i) == 2]
+    assert {r.doc_id for r in docs.where(language.held_out(F.col("doc_id"))).collect()} == {i for i, _ in held}
+    assert np.mean([got[i].lang_pred == lang for i, lang in held]) > 0.97
+    mixed = spark.createDataFrame([(1, " ".join(vocab["xx"][:30] + vocab["yy"][:10])), (2, None), (3, "12 34"), (4, ""), (5, " ".join(vocab["zz"] * 200))], "doc_id long, text string")
+    out = {r.doc_id: r for r in language.identify(mixed, model).collect()}
+    assert out[1].lang_pred == "xx" and set(out[1].languages) == {"xx", "yy"} and abs(out[1].score - 0.75) < 0.1
+    assert all(out[k].lang_pred == "und" and out[k].score == 0 for k in (2, 3, 4)) and out[5].lang_pred == "zz"
+    kept = language.keep_identified(docs.union(spark.createDataFrame([(999, "12 34", "xx", "s", 5), (998, None, None, None, None)], DOC)).withColumn("letters", F.lit(1)))
+    assert {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows} and kept.columns[-1] == "letters"
+    assert language.identify(mixed, language.learn(docs.limit(0))).where("lang_pred = 'und'").count() == 5
+
+
+def test_quality(spark):
+    rng = random.Random(7)
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(w + "%%%" * bad for w in prose(rng, 60).split()), "en", "s", 0))
+        if i % 2 == 0:
+            labels.append((i, 0 if bad else 1, 0))
+    docs = spark.createDataFrame([*rows, (900, None, "en", "s", 0), (901, "", "en", "s", 0)], DOC)
+    kept = {r.doc_id for r in quality.resample(docs.withColumn("key", F.lit(1)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert len(kept) == round(402 * 0.5) and not any(i % 4 == 0 for i in kept) and not kept & {900, 901}
+    assert quality.resample(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 402
+
+
+def test_top_k(spark):
+    rng = random.Random(1)
+    rows = [(i, float(rng.randint(0, 50))) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, key double")
+    for k in (0, 1, 777, 4999, 5000, 9000):
+        want = {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
+        assert {r.doc_id for r in quality.top_k(df, "key", k).collect()} == want
+
+
+def test_kernels():
+    import pyarrow as pa
+
+    texts = ["The Cat, the cat", None, "", "é x", "cat"]
+    for part in kernels.slices(pa.array(texts), 8):
+        assert part.last > part.first
+    part = next(kernels.slices(pa.array(texts)))
+    word, starts, stops, bounds = kernels.words(part)
+    assert bounds.tolist() == [0, 4, 4, 4, 6, 7] and word[0] == word[2] and word[1] == word[3] == word[6]
+    assert len(kernels.shingle_hashes(word[:4], 5)) == 1 and len(kernels.shingle_hashes(word[:4], 2)) == 3
+
+
+def test_pipeline_small(spark, tmp_path):
+    pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
+    rows, _ = language_docs()
+    docs = [(i, t + f"\nline {i} {t[:20]}", lang, f"src{i % 3}", 0) for i, t, lang in rows[:80]]
+    docs += [(1000, docs[3][1] + " tail", "xx", "src0", 0), (1001, "12 34", "xx", "src0", 0)]
+    item = " ".join(docs[5][1].split()[:12])
+    spark.createDataFrame(docs, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, str(tmp_path))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert df.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            df.write.parquet(str(tmp_path / name))
+            df = spark.read.parquet(str(tmp_path / name))
+        seen[name] = {r.doc_id: r for r in df.collect()}
+    assert 1001 not in seen["language_id"]
+    before = [(i, r.text) for i, r in seen["language_id"].items()]
+    gone = brute.removed_lines(before)
+    rest = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, [])) for i, t in before}
+    assert {i: r.text for i, r in seen["line_dedup"].items()} == {i: t for i, t in rest.items() if t.split()}
+    classes = brute.jaccard_classes([(i, r.text) for i, r in seen["line_dedup"].items()])
+    assert set(seen["ngram_jaccard"]) == {i for i, (c, _) in classes.items() if c == i}
+    dirty = {i for i, _ in brute.contained([(i, r.text) for i, r in seen["ngram_jaccard"].items()], [(1, item)])}
+    assert set(seen["benchmark_decontamination"]) == set(seen["ngram_jaccard"]) - dirty
+    assert sum(r.tokens_taken for r in seen["mixing_to_weights"].values()) == int(sum(len(r.text.split()) for r in seen["benchmark_decontamination"].values()) * mixing.BUDGET_SHARE)
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["mixing_to_weights"])
