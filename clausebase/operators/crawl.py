@@ -28,7 +28,7 @@ def crawl_pages(pages: DataFrame, root_url: str, most_levels: int = 64) -> tuple
     """
     spark = pages.sparkSession
     root = spark.range(1).select(urls.menu_id(F.lit(root_url)).alias("m")).first()["m"] or "root"
-    links = page_links(pages.where("html is not null")).where("kind <> 'other'")
+    links = page_links(pages.where("html is not null")).where("kind <> 'other'").persist()  # read once for each level
     titles = pages.select("url", urls.page_title(F.col("html"), F.lit(root)).alias("own_title"))
     frontier = spark.createDataFrame([(root, root_url, "")], "id string, url string, path string").join(titles, "url", "left").select("id", "url", F.coalesce("own_title", F.lit(f"section-{root}")).alias("crumb"), F.lit(0).alias("level"), F.lit("").alias("ord"))
     visited = frontier

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, refs, text, urls
-from .operators import chunking, extract, keyword, report, resolve, retrieval, store
+from .operators import chunking, crawl, extract, keyword, report, resolve, retrieval, store
 from .plans.corpora import CHUNKS, CIRCULARS, LETTERS, REFS, derived
 from .streaming.ingest import windowed_counts
 
@@ -317,3 +317,49 @@ def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.col("o_orderdate")
     raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(low, "d MMMM yyyy")).when(F.col("o_orderkey") % 3 == 0, F.lit("35.13.2019")).otherwise(F.concat(F.date_format(low, "dd.MM."), F.lit("20"), F.date_format(low, "yy")))
     return own.select("o_orderkey", dates.parse_date(raw).alias("iso"))
+
+
+_SITE = "http://site/view_section.jsp?lang=0&id="
+
+
+def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a small site: a root, a page for each region, one for each nation with its suppliers' documents; each also links to itself and out of scope."""
+    region, nation, supplier = (_table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    menu = lambda own, label: F.concat(F.lit('<a href="view_section.jsp?lang=0&amp;id='), own, F.lit('">'), label, F.lit("</a>"))
+    text = lambda c: F.col(c).cast("string")
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), "")
+    outward = F.lit('<a href="view_section.jsp?lang=0&amp;id=7">out</a><a href="view_section.jsp?lang=0&amp;id=0">home</a><a href="#x">x</a>')
+    root = region.select(F.col("r_regionkey").alias("k"), menu(F.concat(F.lit("0,"), text("r_regionkey")), F.col("r_name")).alias("a")).agg(listed("a").alias("body")).select(F.lit("0").alias("id"), F.concat(F.lit("<title>Site</title>"), "body", outward).alias("html"))
+    regions = nation.select(F.col("n_regionkey").alias("r"), F.col("n_nationkey").alias("k"), menu(F.concat(F.lit("0,"), text("n_regionkey"), F.lit(","), text("n_nationkey")), F.col("n_name")).alias("a")).groupBy("r").agg(listed("a").alias("body")).select(F.concat(F.lit("0,"), F.col("r").cast("string")).alias("id"), F.concat("body", outward).alias("html"))
+    links = supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("k"), F.concat(F.lit('<a href="docs/'), text("s_suppkey"), F.lit('.pdf">'), F.col("s_name"), F.lit("</a>")).alias("a"))
+    nations = nation.join(links, "n_nationkey").groupBy("n_regionkey", "n_nationkey").agg(listed("a").alias("body")).select(F.concat(F.lit("0,"), text("n_regionkey"), F.lit(","), text("n_nationkey")).alias("id"), F.concat("body", outward).alias("html"))
+    return root.unionByName(regions).unionByName(nations).select(F.concat(F.lit(_SITE), "id").alias("url"), "html")
+
+
+@query("""SELECT '0' AS id, 'Site' AS crumb, 0 AS level UNION ALL SELECT '0,' || r_regionkey, 'Site > ' || r_name, 1 FROM region UNION ALL SELECT '0,' || r_regionkey || ',' || n_nationkey, 'Site > ' || r_name || ' > ' || n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def menu_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.crawl_pages(_site(spark, sf_dir), _SITE + "0")[0].select("id", "crumb", "level")
+
+
+@query("""SELECT sha1('http://site/docs/' || s_suppkey || '.pdf') AS doc_id, s_name AS title, 'Site > ' || r_name || ' > ' || n_name AS section_path, '0,' || r_regionkey || ',' || n_nationkey AS menu_id, 'pdf' AS doc_type,
+'/d/Site/' || replace(r_name || '/' || n_name, '#', '#') || '/' || s_name || '_' || substr(sha1('http://site/docs/' || s_suppkey || '.pdf'), 1, 8) || '.pdf' AS local_path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def crawled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = crawl.crawl_pages(_site(spark, sf_dir), _SITE + "0")[1]
+    return crawl.download_records(docs, "/d").select("doc_id", "title", "section_path", "menu_id", "doc_type", "local_path")
+
+
+@query("SELECT item_id, rank FROM (SELECT l_orderkey * 10 + l_linenumber AS item_id, l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rank FROM lineitem) WHERE rank = 1")
+def first_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    return _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.row_number().over(order).alias("rank")).where("rank = 1")
+
+
+@query(
+    f"""WITH l AS ({LETTERS}), d AS (SELECT id, text FROM l WHERE id % 2 = 0) SELECT count(*) AS checked, count(*) FILTER (id % 11 <> 0 OR id % 5 IN (0, 1)) AS updated FROM (SELECT id FROM d UNION ALL SELECT id FROM l WHERE id % 2 = 1 AND id % 11 <> 0 AND false)"""
+)
+def backfill_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = derived(spark, sf_dir, LETTERS, "orders").where("id % 2 = 0").where("id % 11 <> 0 or id % 5 in (0, 1)")
+    rest = derived(spark, sf_dir, LETTERS, "orders").where("id % 2 = 0").where("not (id % 11 <> 0 or id % 5 in (0, 1))").withColumn("text", F.lit("nothing here"))
+    chunks = letters.unionByName(rest).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("circular_number"), F.lit(None).cast("string").alias("date"))
+    docs = chunks.select("doc_id", F.lit(None).cast("string").alias("document_number"), F.lit(None).cast("string").alias("date_raw"), F.lit(None).cast("string").alias("date_parsed"))
+    return extract.backfill(docs, chunks)[2]

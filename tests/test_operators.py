@@ -233,3 +233,28 @@ def test_ingest(spark, tmp_path):
 def test_windows(spark):
     events = spark.createDataFrame([("2020-01-01 00:10:00", "a", 1.0), ("2020-01-01 00:50:00", "a", 2.0), ("2020-01-01 01:00:00", "a", 4.0)], "t string, event_type string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r.n, r.total) for r in ingest.windowed_counts(events).collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_answer_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from clausebase.__main__ import main
+    from clausebase.operators.answer import REFUSAL, answer
+
+    chunks = chunk_table(spark, [("a", "d", "1", None, "refund rule")]).withColumn("circular_number", F.lit("N/1"))
+    hits, mode = retrieval.retrieve("refund", chunks, keyword.build_index(chunks))
+    seen = []
+    got = answer("refund", hits, mode, lambda m: seen.append(m) or "yes", [{"role": "user", "content": "before"}])
+    assert got.text == "yes" and got.citations.first().circular_number == "N/1" and len(seen[0]) == 2 and len(got.history) == 3
+    none = answer("x", hits.limit(0), mode, lambda m: 1 / 0)
+    assert none.text == REFUSAL and none.citations.count() == 0
+    store_dir = str(tmp_path / "s")
+    to = ingest.Store(spark, store_dir)
+    to.write("chunks", chunks)
+    to.write("documents", with_missing_columns(spark.createDataFrame([("d", "T")], "doc_id string, title string"), DOCUMENTS))
+    cases = tmp_path / "cases.json"
+    cases.write_text(json.dumps([{"question": "refund", "expected_number": "n/1"}]))
+    assert main(["validate", "--store", store_dir, str(cases)]) == 0 and "PASS refund" in capsys.readouterr().out
+    assert main(["ask", "--store", store_dir, "refund"]) == 0 and "N/1" in capsys.readouterr().out
+    assert main(["coverage", "--store", store_dir, "--index", str(tmp_path / "none.json")]) == 0 and "extracted/indexed: **1**" in capsys.readouterr().out
+    assert main(["resolve", "--store", store_dir]) == 0 and main(["backfill", "--store", store_dir]) == 0
