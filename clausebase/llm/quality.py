@@ -12,6 +12,7 @@ rows, at most ``TARGET_ROWS`` of them (lowest hash of the id first).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,8 +119,8 @@ def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
     cuts = scored.agg(F.percentile_approx(key, [i / CELLS for i in range(1, CELLS)], 4 * CELLS).alias("c")).first()["c"]
     cuts = sorted(set(cuts))
     groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
-    coarse = F.expr(f"cast(split('{','.join(repr(g[0]) for g in groups)}', ',') as array<double>)")
-    fine = F.expr(f"transform(split('{';'.join(','.join(map(repr, g)) for g in groups)}', ';'), g -> cast(split(g, ',') as array<double>))")
+    # JSON of a literal is folded once; a transform of one would be evaluated for each row
+    coarse, fine = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<double>"), F.from_json(F.lit(json.dumps(groups)), "array<array<double>>")
     group = F.size(F.filter(coarse, lambda c: c <= F.col(key)))
     cell = F.when(group == 0, 0).otherwise((group - 1) * 64 + F.size(F.filter(F.element_at(fine, group), lambda c: c <= F.col(key))))
     held = scored.withColumn("cell_of_key", cell.cast("int"))
