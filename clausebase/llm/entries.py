@@ -64,4 +64,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_merkle_fingerprints": merkle.ORACLE_SQL,
         "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op6_line_dedup": lines.ORACLE_SQL,
+        "op8_ngram_jaccard_join": near.ORACLE_SQL,
     }

@@ -280,3 +280,18 @@ def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     gone = jaccard_classes(docs.select("doc_id", "text"), threshold).where("class_id < doc_id").select("doc_id").distinct()
     once = docs.join(gone, "doc_id", "left_anti")
     return once.select(*docs.columns)
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i, len(w) AS n FROM w),
+l AS (SELECT doc_id, n, i, concat_ws(' ', t, lead(t, 1) OVER k, lead(t, 2) OVER k, lead(t, 3) OVER k, lead(t, 4) OVER k) AS s, lead(t, 4) OVER k AS last FROM u WINDOW k AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, s FROM l WHERE last IS NOT NULL OR n < 5 AND i = 1),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN z x ON x.doc_id = p.a JOIN z y ON y.doc_id = p.b WHERE 9 * c >= 4 * (x.n + y.n)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, d.b FROM r JOIN d ON r.b = d.a),
+n AS (SELECT a, count(*) AS n_links FROM d GROUP BY a)
+SELECT r.a AS doc_id, min(r.b) AS class_id, coalesce(any_value(n.n_links), 0) AS n_links FROM r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""
