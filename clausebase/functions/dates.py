@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 PIVOT = 69
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def month_number(name: Column) -> Column:
     """Of a full name, its first three letters, or sept; null otherwise."""
     low, out = F.lower(name), F.lit(None).cast("int")
@@ -27,18 +34,25 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
     return F.when((y >= 1) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
 
 
-def _group(text: Column, pattern: str, k: int) -> Column:
-    return F.expr("cast(null as int)") if k == 0 else F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).cast("int")
+def _parts(text: Column, pattern: str) -> Column:
+    """The three groups of the first match; empty strings where there is none."""
+    return F.array(*[F.regexp_extract(text, pattern, k) for k in (1, 2, 3)])
+
+
+def _numeric(p: Column) -> Column:
+    d, m, y = (F.get(p, F.lit(k)).cast("int") for k in range(3))
+    year = F.when(y >= 100, y).when(y <= PIVOT, 2000 + y).otherwise(1900 + y)
+    return F.when(F.get(p, F.lit(2)) != "", _iso(year, m, d))
+
+
+def _textual(p: Column) -> Column:
+    month = month_number(F.get(p, F.lit(1)))
+    return F.when(month.isNotNull(), _iso(F.get(p, F.lit(2)).cast("int"), month, F.get(p, F.lit(0)).cast("int")))
 
 
 def parse_date(text: Column) -> Column:
     """The first numeric date if it exists in the calendar, else the first textual one, else null."""
-    y = _group(text, NUMERIC, 3)
-    year = F.when(y >= 100, y).when(y <= PIVOT, 2000 + y).otherwise(1900 + y)
-    numeric = F.when(y.isNotNull(), _iso(year, _group(text, NUMERIC, 2), _group(text, NUMERIC, 1)))
-    month = month_number(F.regexp_extract(text, TEXTUAL, 2))
-    textual = F.when(month.isNotNull(), _iso(_group(text, TEXTUAL, 3), month, _group(text, TEXTUAL, 1)))
-    return F.coalesce(numeric, textual)
+    return F.coalesce(let(_parts(text, NUMERIC), _numeric), let(_parts(text, TEXTUAL), _textual))
 
 
 def nearby_date(*texts: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import parse_date
+from .dates import let, parse_date
 
 # fixed values: patterns, windows and relations
 HEAD_CHARS = 1500
@@ -34,8 +34,8 @@ def _found(text: Column, pattern: str, group: int) -> Column:
 def document_ref(text: Column) -> Column:
     """struct(number, date_raw, date_parsed) from the first HEAD_CHARS characters."""
     head = F.substring(F.coalesce(text, F.lit("")), 1, HEAD_CHARS)
-    date_raw = _found(head, OWN_DATE, 1)
-    return F.struct(F.rtrim(_found(head, OWN_NUMBER, 1), F.lit(".,;:")).alias("number"), date_raw.alias("date_raw"), parse_date(date_raw).alias("date_parsed"))
+    found = F.struct(F.rtrim(_found(head, OWN_NUMBER, 1), F.lit(".,;:")).alias("number"), _found(head, OWN_DATE, 1).alias("date_raw"))
+    return let(found, lambda x: F.struct(x["number"].alias("number"), x["date_raw"].alias("date_raw"), parse_date(x["date_raw"]).alias("date_parsed")))
 
 
 def _of_relation(text: Column, k: int, relation: str, phrase: str) -> Column:
