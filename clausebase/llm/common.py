@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,10 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausebase-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()  # plans that are no longer referred to free their shuffle files, now and not at the next half-hourly cleaning
+    sc._jvm.System.gc()
+    return out
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

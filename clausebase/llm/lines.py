@@ -5,13 +5,16 @@ class's tokens are put in one global order, rare tokens first: rarity is the
 count of a token's hash bucket over all text (``RARITY_BITS`` bits of buckets,
 a table of fixed size).  Two sets with a Jaccard index of 0.8 or more share a
 token among the first floor(0.2 n) + 1 of each, so classes are joined on those
-(prefix filter), with the length and positional filters in the join's condition;
-what is left is verified on whole token sets.  A line is removed if an earlier
-line, by (doc_id, line number), equals it or is similar to it.
+(prefix filter), with the length and positional filters and a 128-bit parity
+filter in the join's condition.  A line is removed if an earlier line, by
+(doc_id, line number), equals it or is similar to it; so each class first
+verifies its likeliest earlier partner on whole token sets, and only where that
+fails all its other candidates.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -19,18 +22,32 @@ from pyspark.sql import functions as F
 
 from .common import durable, fence, small
 
-RARITY_BITS = 14
+RARITY_BITS = 16
 BUCKETS = 1 << RARITY_BITS
+#: Rows of one long that may be broadcast to filter texts, and classes whose prefixes may be; beyond, the joins shuffle.
+FILTER_ROWS = 200_000
+SECOND_LOOK = 20_000
+MOST_LOOKS = 32
+#: Parts of the token space that are joined one after another.
+SLICES = 4
 _REST = 63 - RARITY_BITS
 
 
+def plain(text: Column) -> Column:
+    """Other white space within lines as spaces."""
+    for c in "\t\r\f\u000b":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
 def token_list(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, "\t\r\f\u000b", "    "), " "), "")
+    """Tokens of a line in which only spaces separate."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def rarity(docs: DataFrame) -> Column:
     """Rank of each hash bucket by its count of tokens in all documents, as an array literal of BUCKETS numbers."""
-    tokens = docs.select(F.explode(F.split(F.translate("text", "\n\t\r\f\u000b", "     "), " ")).alias("t"))
+    tokens = docs.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t"))
     counts = tokens.select(F.xxhash64("t").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
     seen = {row["b"]: row["n"] for row in counts}
     ranks = [0] * BUCKETS
@@ -48,43 +65,93 @@ def ordered(tokens: Column, ranks: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """rid, doc_id, line_no, line of every line that holds a token."""
-    each = docs.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.where(F.trim(F.translate("line", "\t\r\f\u000b", "    ")) != "")
+    each = docs.select("rid", "doc_id", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
+    return each.where(F.trim("line") != "")
+
+
+def parity(keys: Column, half: int) -> Column:
+    """One of two words of 64 bits, each bit the parity of the tokens that fall on it: two sets differ by at least as many tokens as their bits."""
+    bit = lambda x: F.call_function("shiftleft", F.when(x.bitwiseAND(64) == 64 * half, 1).otherwise(0).cast("long"), x.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+
+
+def _heads(classes: DataFrame, part: int | None = None) -> DataFrame:
+    """A row for each prefix token of each class, or for those of one of SLICES slices of the tokens."""
+    rows = classes.select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "bits", "more", F.posexplode("prefix").alias("i", "token"))
+    return rows if part is None else rows.where(F.pmod("token", F.lit(SLICES)) == part)
+
+
+def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
+    """a, b, apart of classes that share a prefix token, a the earlier one, past the length, positional and bitmap filters."""
+    a, b = earlier.alias("a"), later.alias("b")
+    c = lambda name: F.col(name)
+    na, nb = c("a.n"), c("b.n")
+    before = (c("a.doc_id") < c("b.doc_id")) | ((c("a.doc_id") == c("b.doc_id")) & ((c("a.line_no") < c("b.line_no")) | ((c("a.line_no") == c("b.line_no")) & (c("a.id") < c("b.id")))))
+    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
+    position = 9 * (F.least(c("a.i"), c("b.i")) + 1 + F.least(na - c("a.i") - 1, nb - c("b.i") - 1)) >= 4 * (na + nb)
+    apart = F.bit_count(c("a.bits").bitwiseXOR(c("b.bits"))) + F.bit_count(c("a.more").bitwiseXOR(c("b.more")))
+    return a.join(b, (c("a.token") == c("b.token")) & length & position & (9 * apart <= na + nb) & before).select(c("a.id").alias("a"), c("b.id").alias("b"), apart.alias("apart"))
+
+
+def _token_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, k: the token sets of all classes in pairs, from the texts they first stand in."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "at"), "id")
+    per_text = durable(ids.groupBy("at.rid").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "id")).alias("wanted")))  # at most the lines of one text
+    texts = docs.select("rid", "text")
+    if per_text.count() <= FILTER_ROWS:
+        texts = texts.join(F.broadcast(per_text.select("rid")), "rid", "left_semi")
+    found = texts.join(per_text, "rid").select(F.split(plain(F.col("text")), "\n").alias("all"), F.explode("wanted").alias("w"))
+    # 32 bits of each token: two different tokens of a pair of lines agree by chance once in some 10^9
+    return found.select("w.id", fence(F.array_distinct(F.transform(token_list(F.get("all", F.col("w.line_no"))), lambda t: F.hash(t)))).alias("k"))
+
+
+def _judged(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """b, alike: whether any a of the pairs is similar to it."""
+    both = pairs.join(of_a.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(of_b, "b")
+    return both.groupBy("b").agg(F.max(9 * F.size(F.array_intersect("ka", "kb")) >= 4 * (F.size("ka") + F.size("kb"))).alias("alike"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """rid, doc_id, line_no of each line to remove. docs: rid (long, equal only for equal rows), doc_id, text."""
     ranks = rarity(docs)
     lines = _lines(docs)
-    at = F.struct("doc_id", "rid", "line_no")
+    at = F.struct("doc_id", "line_no", "rid")
     keyed = lines.select(at.alias("at"), F.xxhash64("line").alias("id"), fence(ordered(token_list(F.col("line")), ranks)).alias("k"))
     prefix = F.transform(F.slice("k", 1, F.expr("size(k) div 5 + 1")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = keyed.select("id", F.struct("at", F.size("k").alias("n"), prefix.alias("prefix")).alias("x"))
-    classes = durable(rows.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.at", "x.n", "x.prefix"))
-    heads = classes.select("id", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    heads = heads.select("token", "id", F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long")).alias("place"))
-    a, b = heads.alias("a"), heads.alias("b")
-    na, nb = F.shiftright("a.place", 32), F.shiftright("b.place", 32)
-    ia, ib = F.col("a.place").bitwiseAND(0xFFFFFFFF), F.col("b.place").bitwiseAND(0xFFFFFFFF)
-    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    position = 9 * (F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)) >= 4 * (na + nb)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & length & position)
-    pairs = durable(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "at"), "id"))
-    per_text = ids.groupBy("at.rid").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "id", "at")).alias("wanted"))  # at most the lines of one text
-    per_text = durable(per_text)
-    n_texts = per_text.count()
-    texts = docs.select("rid", "text")
-    if n_texts <= 200_000:  # one long each
-        texts = texts.join(F.broadcast(per_text.select("rid")), "rid", "left_semi")
-    found = texts.join(per_text, "rid").select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    sets = durable(found.select("w.id", "w.at", fence(F.array_distinct(F.transform(token_list(F.get("all", F.col("w.line_no"))), lambda t: F.xxhash64(t)))).alias("k")).dropDuplicates(["id"]))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("at").alias("at_a"), F.col("k").alias("ka")), "a").join(sets.select(F.col("id").alias("b"), F.col("at").alias("at_b"), F.col("k").alias("kb")), "b")
-    alike = both.where(9 * F.size(F.array_intersect("ka", "kb")) >= 4 * (F.size("ka") + F.size("kb")))
-    later = durable(alike.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("gone", F.lit(True)))
+    rows = keyed.select("id", F.struct("at", F.size("k").alias("n"), parity(F.col("k"), 0).alias("bits"), parity(F.col("k"), 1).alias("more"), prefix.alias("prefix")).alias("x"))
+    classes = durable(rows.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.at", "x.n", "x.bits", "x.more", "x.prefix"))
+
+    # each class's most similar earlier candidate first; only classes whose best fails are looked at pair by pair
+    # one slice of the tokens at a time, so that only its rows are on disk
+    best = None
+    for k in range(SLICES):
+        heads = _heads(classes, k)
+        part = durable(_candidates(heads, heads).groupBy("b").agg(F.min_by("a", "apart").alias("a"), F.min("apart").alias("apart")))
+        best = part if best is None else best.unionByName(part)
+    best = durable(best.groupBy("b").agg(F.min_by("a", "apart").alias("a")))
+    sets = _token_sets(docs, classes, best)
+    judged = durable(_judged(best, sets, sets.select(F.col("id").alias("b"), F.col("k").alias("kb"))))
+    later, failed = judged.where("alike").select(F.col("b").alias("id")), durable(judged.where("not alike").select(F.col("b").alias("id")))
+    parts = -(-failed.count() // SECOND_LOOK)
+    rest = []
+    for k in range(parts if parts <= MOST_LOOKS else SLICES):
+        if parts <= MOST_LOOKS:
+            mine = failed.where(F.pmod("id", F.lit(parts)) == k)
+            heads, again = _heads(classes), F.broadcast(_heads(classes.join(F.broadcast(mine), "id", "left_semi")))  # about SECOND_LOOK classes
+        else:
+            heads, again = _heads(classes, k), _heads(classes.join(failed, "id", "left_semi"), k)
+        rest.append(durable(_candidates(heads, again).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")))
+    if rest:
+        pairs = functools.reduce(DataFrame.unionByName, rest)
+        sets = durable(_token_sets(docs, classes, pairs))
+        for part in rest:
+            of_b = sets.select(F.col("id").alias("b"), F.col("k").alias("kb")).join(part.select("b").distinct(), "b", "left_semi")
+            found = _judged(part, sets, F.broadcast(of_b) if parts <= MOST_LOOKS else of_b)  # about SECOND_LOOK sets
+            later = later.unionByName(durable(found.where("alike").select(F.col("b").alias("id"))))
+    later = durable(later.distinct().withColumn("gone", F.lit(True)))
     verdict = durable(classes.select("id", F.col("at").alias("first")).join(small(later), "id", "left"))
     each = lines.select("rid", "doc_id", "line_no", F.xxhash64("line").alias("id"))
-    judged = each.join(verdict, "id").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "rid", "line_no") != F.col("first")))
+    judged = each.join(verdict, "id").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "line_no", "rid") != F.col("first")))
     return judged.select("rid", "doc_id", "line_no")
 
 
@@ -114,7 +181,7 @@ def keep_first_lines(docs: DataFrame) -> DataFrame:
     joined = own.join(gone, "rid", "left").withColumn("all", F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
-    out = joined.withColumn("text", fence(text)).where(F.col("gone").isNull() | (F.trim(F.translate("text", "\n\t\r\f\u000b", "     ")) != ""))
+    out = joined.withColumn("text", fence(text)).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*names)
