@@ -101,11 +101,12 @@ def disclosing_terms(docs: DataFrame, on_lines: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """rid, doc_id, email, ip, card, phone (spans), terms (array<struct<s, e, level>>, sorted) of each document.
 
-    Rows equal in doc_id and text are one document.  Null text is empty.
+    Null text is empty.  Rows that repeat each other repeat their result, and
+    count as often in the corpus's figures.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     spans = own.select("rid", "doc_id", *[fence(c).alias(k) for k, c in zip(KINDS, base_spans(F.col("text")), strict=True)])
-    spans = durable(spans.dropDuplicates(["rid"]))
+    spans = durable(spans)
     hit = spans.where(" + ".join(f"size({k})" for k in KINDS) + " > 0").select("rid")
     n_hit = hit.count()
     texts = own.join(F.broadcast(hit) if n_hit <= 200_000 else hit, "rid", "left_semi").select("rid", "text", F.lit(1).alias("n_base"))  # one long each
@@ -137,7 +138,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     base = [_cuts(k) for k in KINDS]
     term = F.transform("terms", lambda t: F.struct(t["s"].alias("s"), (-t["e"]).alias("minus_e"), F.when(t["level"] == 1, F.lit("[TERM]")).otherwise(F.lit("")).alias("by")))
-    cuts = find(docs).select("rid", F.array_sort(F.concat(*base, term)).alias("cuts"))
+    cuts = find(docs).dropDuplicates(["rid"]).select("rid", F.array_sort(F.concat(*base, term)).alias("cuts"))
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
     keep = lambda acc, c: F.when(c["s"] >= acc["pos"], F.struct((-c["minus_e"]).alias("pos"), F.concat(acc["out"], F.substring("text", acc["pos"] + 1, c["s"] - acc["pos"]), c["by"]).alias("out"))).otherwise(acc)
     done = F.aggregate("cuts", zero, keep, lambda acc: F.concat(acc["out"], F.substring("text", acc["pos"] + 1, F.char_length("text"))))
