@@ -3,15 +3,16 @@
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers,
 found by pattern and checked (parts, Luhn, number of digits).  Their values are
 the protected entities.  A term discloses an entity as far as knowing it makes
-the entity likelier: with counts over the lines of the corpus,
+the entity likelier: with counts over the different lines of the corpus,
 
-    PMI(t; e) = log(N n(t, e) / (n(t) n(e))),   IC(e) = log(N / n(e)),
+    PMI(t; e) = log(N n(t, e) / ((n(t) + 1) (n(e) + 1))),   IC(e) = log(N / n(e)),
 
 and a term whose PMI reaches the share ``GENERALISE`` of the entity's
 information content is generalised (replaced by its shape), one that reaches
-``REMOVE`` is removed, wherever it stands on a line with the entity.  A pair
-counts only if it is seen on ``SUPPORT`` different lines, so that copies of one
-line prove nothing.
+``REMOVE`` is removed, wherever it stands on a line with the entity.  Every pair
+that shares a line is scored.  Copies of one line count once, so that they prove
+nothing, and the PMI is discounted as if each of the two stood on one more line
+without the other: that weighs on rare pairs and vanishes for frequent ones.
 
 Positions are code points, ends exclusive.  No pattern crosses a line break.
 """
@@ -32,7 +33,6 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 WORD = r"[\p{L}\p{N}]+"
 TERM = r"^\p{L}[\p{L}\p{N}]{2,}$"
-SUPPORT = 3
 GENERALISE = 0.5
 REMOVE = 0.8
 _SPAN = "array<struct<s:int,e:int,v:string>>"
@@ -77,32 +77,33 @@ def line_terms(line: Column, masked: Column) -> Column:
 
 def disclosing_terms(docs: DataFrame, on_lines: DataFrame) -> DataFrame:
     """entity, term, level (1: generalise, 2: remove). docs: text; on_lines: line, entities, terms."""
-    pairs = on_lines.select(F.xxhash64("line").alias("h"), F.explode("entities").alias("entity"), F.array_distinct(F.transform("terms", lambda t: t["v"])).alias("ts")).select("h", "entity", F.explode("ts").alias("term"))
-    together = durable(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.count_distinct("h").alias("lines")).where(F.col("lines") >= SUPPORT).drop("lines"))
-    alone = on_lines.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    seen = on_lines.select(F.xxhash64("line").alias("h"), F.explode("entities").alias("entity"), F.array_distinct(F.transform("terms", lambda t: t["v"])).alias("ts"))
+    together = durable(seen.select("h", "entity", F.explode("ts").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")))
+    alone = seen.select("h", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     wanted = durable(together.select("term").distinct())
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("line"), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    total = docs.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
     n_wanted = wanted.count()
     if n_wanted == 0:
         return together.select("entity", "term", F.lit(1).alias("level")).limit(0)
-    terms = lines.select(F.explode(words).alias("term"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("line"), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
+    terms = lines.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))  # the empty word, once a line, counts the lines
+    wanted = wanted.union(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
     if n_wanted <= BROADCAST_ROWS:
         counts = terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         counts = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+    counts = durable(counts)
+    total = F.lit(float(counts.where("term = ''").first()["n_t"]))
     scored = together.join(alone, "entity").join(counts, "term")
-    pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    share = pmi / F.greatest(F.log(F.lit(float(total)) / F.col("n_e")), F.lit(1e-9))
+    pmi = F.log(total * F.col("n_te") / ((F.col("n_t") + 1) * (F.col("n_e") + 1)))
+    share = pmi / F.greatest(F.log(total / F.col("n_e")), F.lit(1e-9))
     return scored.select("entity", "term", F.when(share >= REMOVE, 2).when(share >= GENERALISE, 1).otherwise(0).alias("level")).where("level > 0")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """rid, doc_id, email, ip, card, phone (spans), terms (array<struct<s, e, level>>, sorted) of each document.
 
-    Null text is empty.  Rows that repeat each other repeat their result, and
-    count as often in the corpus's figures.
+    Null text is empty.  Rows that repeat each other repeat their result.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     spans = own.select("rid", "doc_id", *[fence(c).alias(k) for k, c in zip(KINDS, base_spans(F.col("text")), strict=True)])

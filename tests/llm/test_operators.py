@@ -226,6 +226,15 @@ def test_disclosure(spark):
     assert all(not r.terms for r in found.where("doc_id >= 100").collect())
 
 
+def test_disclosure_of_rare_entities(spark):
+    rest = [(100 + i, f"the people write to them about case {i}") for i in range(400)]
+    one = [(1, "write to one@y.org about the quibblefrax people"), (2, "write to two@y.org about the plimsworth people"), (3, "the people of two@y.org write about plimsworth")]
+    copies = [(10 + i, one[0][1]) for i in range(5)]
+    for texts in (one + rest, one + copies + rest):  # copies of a line change nothing
+        spans = {r.doc_id: [dict(texts)[r.doc_id][t.s : t.e] for t in r.terms] for r in pii.find(frame(spark, texts)).where("doc_id < 100").collect()}
+        assert spans == {i: ["quibblefrax" if i not in (2, 3) else "plimsworth"] for i, _ in texts if i < 100}
+
+
 def test_tokens(spark):
     rng = random.Random(6)
     texts = [(i, "\n".join(prose(rng, rng.randint(0, 12)) for _ in range(rng.randint(1, 5)))) for i in range(20)] + [(50, None), (51, ""), (52, "a\n\n\nb\n"), (53, "é😀\n" * 3)]
