@@ -9,8 +9,8 @@ the entity likelier: with counts over the different lines of the corpus,
 
 and a term whose PMI reaches the share ``GENERALISE`` of the entity's
 information content is generalised (replaced by its shape), one that reaches
-``REMOVE`` is removed, wherever it stands on a line with the entity.  Every pair
-that shares a line is scored.  Copies of one line count once, so that they prove
+``REMOVE`` is removed, on every line of each document that holds the entity.
+Every pair that shares a line is scored.  Copies of one line count once, so that they prove
 nothing, and the PMI is discounted as if each of the two stood on one more line
 without the other: that weighs on rare pairs and vanishes for frequent ones.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, fence
+from .common import BROADCAST_ROWS, durable, fence, small
 
 KINDS = ("email", "ip", "card", "phone")
 #: The stated patterns in linear-time form: a match can only begin where a run of its characters begins or the last match ended.
@@ -36,6 +36,7 @@ TERM = r"^\p{L}[\p{L}\p{N}]{2,}$"
 GENERALISE = 0.5
 REMOVE = 0.8
 _SPAN = "array<struct<s:int,e:int,v:string>>"
+_PLACES = "array<struct<s:int,e:int,level:int>>"
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -114,21 +115,25 @@ def find(docs: DataFrame) -> DataFrame:
     on_lines = entity_lines(texts)
     on_lines = durable(on_lines.select("rid", "line_no", "line", "entities", fence(line_terms(F.col("line"), F.col("masked"))).alias("terms")))
     risky = durable(disclosing_terms(own.select("text"), on_lines))
-    flagged = on_lines.select("rid", "line_no", F.explode("entities").alias("entity")).join(risky, "entity").groupBy("rid", "line_no", "term").agg(F.max("level").alias("level"))
-    flagged = flagged.groupBy("rid", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("term", "level"))).alias("levels"))  # at most the words of a line
-    places = flagged.join(on_lines.select("rid", "line_no", "terms").dropDuplicates(["rid", "line_no"]), ["rid", "line_no"])
-    places = places.select("rid", "line_no", F.filter("terms", lambda t: F.map_contains_key("levels", t["v"])).alias("terms"), "levels")
-    places = places.select("rid", "line_no", F.transform("terms", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.get(F.array(F.element_at("levels", t["v"])), F.lit(0)).alias("level"))).alias("terms"))
-    by_text = places.groupBy("rid").agg(F.collect_list(F.struct("line_no", "terms")).alias("x"))
-    offsets = own.join(by_text, "rid").dropDuplicates(["rid"]).select("rid", F.split("text", "\n").alias("all"), "x")
-    shifted = F.flatten(F.transform("x", lambda l: F.transform(l["terms"], lambda t: F.struct((t["s"] + _line_start(l["line_no"])).alias("s"), (t["e"] + _line_start(l["line_no"])).alias("e"), t["level"].alias("level")))))
-    terms = offsets.select("rid", F.array_sort(shifted).alias("terms"))
-    return spans.join(terms, "rid", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,level:int>>")))
-
-
-def _line_start(line_no: Column) -> Column:
-    """Where a line begins, from the column ``all`` of lines."""
-    return F.aggregate(F.slice("all", 1, line_no), F.lit(0), lambda n, line: n + F.char_length(line) + 1)
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+    said = texts.select("rid", F.explode(fence(words)).alias("term")).join(small(risky), "term")  # by term: a risky one is rare, its entity may not be
+    flagged = said.join(on_lines.select("rid", F.explode("entities").alias("entity")).distinct(), ["rid", "entity"]).groupBy("rid", "term").agg(F.max("level").alias("level"))
+    flagged = flagged.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("term", "level"))).alias("levels"))  # at most the words of a document
+    places = texts.join(flagged, "rid").select("rid", fence(_placed(F.col("text"))).alias("terms")).dropDuplicates(["rid"])
+    spans = spans.join(places, "rid", "left")
+    masked = F.concat(*KINDS)
+    clear = fence(F.filter("terms", lambda t: ~F.exists(masked, lambda m: (m["s"] < t["e"]) & (t["s"] < m["e"]))))
+    return spans.withColumn("terms", F.coalesce(clear, F.array().cast(_PLACES)))
+
+
+def _placed(text: Column) -> Column:
+    """array<struct<s, e, level>> of the words in the column ``levels``, in order."""
+    found, between = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda p, w: F.struct(F.char_length(p).alias("p"), F.char_length(w).alias("n"), F.element_at("levels", F.lower(w)).alias("level")))
+    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_PLACES).alias("out"))
+    place = lambda acc, x: F.struct((acc["pos"] + x["p"]).alias("s"), (acc["pos"] + x["p"] + x["n"]).alias("e"), x["level"].alias("level"))
+    step = lambda acc, x: F.struct((acc["pos"] + x["p"] + x["n"]).alias("pos"), F.when(x["level"].isNotNull(), F.concat(acc["out"], F.array(place(acc, x))).cast(_PLACES)).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(steps, zero, step, lambda acc: acc["out"])
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

@@ -226,6 +226,16 @@ def test_disclosure(spark):
     assert all(not r.terms for r in found.where("doc_id >= 100").collect())
 
 
+def test_disclosure_in_the_rest_of_the_document(spark):
+    told = "Zorblatt came.\nwrite to z@y.org about zorblatt\nand of zorblatt, zorblatts, again é zorblatt@k.lm and ZORBLATT"
+    texts = [(1, told), (2, "zorblatt without an address")] + [(100 + i, f"the case about nothing {i} write to them and again") for i in range(300)]
+    found = {r.doc_id: r.terms for r in pii.find(frame(spark, [*texts, texts[0]])).collect()}
+    assert [told[t.s : t.e] for t in found[1] if told[t.s : t.e].lower() == "zorblatt"] == ["Zorblatt", "zorblatt", "zorblatt", "ZORBLATT"] and not found[2]
+    assert found[1] == sorted(found[1])
+    clean = {r.doc_id: r.text.lower() for r in pii.sanitised(frame(spark, texts)).where("doc_id < 100").collect()}
+    assert "zorblatt" not in clean[1].replace("zorblatts", "") and clean[2] == texts[1][1]
+
+
 def test_disclosure_of_rare_entities(spark):
     rest = [(100 + i, f"the people write to them about case {i}") for i in range(400)]
     one = [(1, "write to one@y.org about the quibblefrax people"), (2, "write to two@y.org about the plimsworth people"), (3, "the people of two@y.org write about plimsworth")]
