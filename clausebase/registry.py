@@ -363,3 +363,11 @@ def backfill_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = letters.unionByName(rest).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("circular_number"), F.lit(None).cast("string").alias("date"))
     docs = chunks.select("doc_id", F.lit(None).cast("string").alias("document_number"), F.lit(None).cast("string").alias("date_raw"), F.lit(None).cast("string").alias("date_parsed"))
     return extract.backfill(docs, chunks)[2]
+
+
+@query(f"SELECT count(*) AS checked, count(*) FILTER (number IS NOT NULL OR date_parsed IS NOT NULL) AS updated FROM ({ORACLES['document_refs']})")
+def backfill_all_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = derived(spark, sf_dir, LETTERS, "orders")
+    chunks = letters.select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("circular_number"), F.lit(None).cast("string").alias("date"))
+    docs = chunks.select("doc_id", F.lit(None).cast("string").alias("document_number"), F.lit(None).cast("string").alias("date_raw"), F.lit(None).cast("string").alias("date_parsed"))
+    return extract.backfill(docs, chunks)[2]

@@ -1,9 +1,11 @@
 import random
 import sqlite3
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from clausebase import registry
 from clausebase.operators import chunking, crawl, extract, keyword, report, resolve, retrieval, store
 from clausebase.schemas import CHUNKS, DOCUMENTS, with_missing_columns
 from clausebase.sources import extractors
@@ -137,6 +139,13 @@ def test_backfill(spark):
     assert {r.circular_number for r in c.where("doc_id = 'd1'").collect()} == {"TC-I/2020/109/1"} and s.first() == (2, 2)
 
 
+def test_backfill_of_all_letters(spark):
+    con, sf_dir = duckdb.connect(), "/root/testdata/sf0.001"
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{sf_dir}/orders.parquet'")
+    got = tuple(registry.queries()["backfill_all_letters"](spark, sf_dir).first())
+    assert [got] == con.sql(registry.oracle_sql()["backfill_all_letters"]).fetchall() and (got[0],) == con.sql("SELECT count(*) FROM orders").fetchall()[0]
+
+
 def test_coverage(spark):
     index = spark.createDataFrame([("d1", "A > B", True), ("d2", "A > B", False), ("d3", "C", True)], "doc_id string, section_path string, download_ok boolean")
     docs = with_missing_columns(spark.createDataFrame([("d1", "A > B", "N/1", 1), ("d3", "C", "", 0)], "doc_id string, section_path string, document_number string, needs_review int"), DOCUMENTS)
