@@ -79,14 +79,19 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) ->
     return held.select(*names, "benchmark_hits")
 
 
+def _row() -> Column:
+    """A key of rows equal in doc_id and text, null apart from any value."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
 def _joined(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
-    """The same for any number of items, by joins: row number, item_id, n, shared."""
+    """The same for any number of items, by joins: row (from ``_row``), doc_id, item_id, n, shared, once for rows that repeat each other."""
     items = items_of(benchmark, round(threshold * 1000))
-    own = docs.select("doc_id", fence(word_list(F.col("text"))).alias("w")).select("doc_id", fence(F.array_distinct(shingles(F.col("w")))).alias("s")).select("doc_id", F.explode("s").alias("h"))
+    own = docs.select(_row().alias("row"), "doc_id", fence(word_list(F.col("text"))).alias("w")).select("row", "doc_id", fence(F.array_distinct(shingles(F.col("w")))).alias("s")).select("row", "doc_id", F.explode("s").alias("h"))
     minima, whole = items.select("item_id", F.explode("minima").alias("h")), items.select("item_id", "n", "least", F.explode("shingles").alias("h"))
-    near = own.join(small(minima), "h").select("doc_id", "item_id").distinct()
-    shared = own.join(small(whole), "h").groupBy("doc_id", "item_id", "n", "least").agg(F.count("*").cast("int").alias("shared"))
-    return shared.join(near, ["doc_id", "item_id"], "left_semi").where("shared >= least").select("doc_id", "item_id", "n", "shared")
+    near = own.join(small(minima), "h").select("row", "item_id").distinct()
+    shared = own.join(small(whole), "h").groupBy("row", "doc_id", "item_id", "n", "least").agg(F.count_distinct("h").cast("int").alias("shared"))  # repeated rows hold each shingle once
+    return shared.join(near, ["row", "item_id"], "left_semi").where("shared >= least").select("row", "doc_id", "item_id", "n", "shared")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -94,12 +99,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 
     Words are lower-cased runs of letters and digits.  Items of fewer than
     five words have no shingle and are in no document; null or short texts
-    contain none.  Repeated rows repeat their hits (in the joined form they
-    count as one document).
+    contain none.  Each row is judged alone, whether its doc_id is null or
+    another's too; repeated rows repeat their hits.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if benchmark.count() > BLOCK * LITERAL_BLOCKS:
-        found = _joined(own, benchmark, threshold)
+        found = own.select(_row().alias("row")).join(_joined(own, benchmark, threshold), "row")
     else:
         found = with_hits(own, benchmark, threshold).select("doc_id", F.explode("benchmark_hits").alias("h")).select("doc_id", "h.item_id", "h.n", "h.shared")
     return found.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("shared").cast("long").alias("n_shared"), (F.col("shared") / F.col("n")).alias("containment"))
@@ -108,8 +113,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The documents that contain no item, all columns as they were."""
     if benchmark.count() > BLOCK * LITERAL_BLOCKS:
-        gone = _joined(docs, benchmark, threshold).select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        gone = _joined(docs, benchmark, threshold).select(F.col("row").alias("_benchmark_row")).distinct()
+        return docs.withColumn("_benchmark_row", _row()).join(gone, "_benchmark_row", "left_anti").select(*docs.columns)
     return with_hits(docs, benchmark, threshold).where(F.size("benchmark_hits") == 0).select(*docs.columns)
 
 

@@ -140,6 +140,19 @@ def repeat_docs(length):
     return [*docs, (50, None), (51, ""), (52, "x" * 900), (53, docs[0][1] * 2), (54, docs[1][1]), (55, docs[1][1]), (56, "é" * length)]
 
 
+@pytest.mark.parametrize("literal_blocks", [decontaminate.LITERAL_BLOCKS, 0])
+def test_decontamination_judges_rows_alone(spark, monkeypatch, literal_blocks):
+    monkeypatch.setattr(decontaminate, "LITERAL_BLOCKS", literal_blocks)
+    item = prose(random.Random(4), 40)
+    first, second = " ".join(item.split()[:20]), " ".join(item.split()[20:])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(None, item), (None, "clean"), (7, item), (7, "clean"), (8, first), (8, second), (9, first), (9, first), (10, item), (10, item), (11, None), (None, None)]
+    found = decontaminate.contaminated(frame(spark, docs), bench).collect()
+    assert sorted((r.doc_id or 0, r.n_shared) for r in found) == [(i, found[0].n_shingles) for i in (0, 7, 10, 10)]
+    kept = decontaminate.keep_clean(frame(spark, docs, extra=True), bench)
+    assert sorted(((r.doc_id or 0), r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in docs if t != item)
+
+
 @pytest.mark.parametrize("hot", [256, 1])
 def test_repeats(spark, monkeypatch, hot):
     length = 120
