@@ -86,7 +86,8 @@ def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
     a, b = earlier.alias("a"), later.alias("b")
     c = lambda name: F.col(name)
     na, nb = c("a.n"), c("b.n")
-    before = (c("a.doc_id") < c("b.doc_id")) | ((c("a.doc_id") == c("b.doc_id")) & ((c("a.line_no") < c("b.line_no")) | ((c("a.line_no") == c("b.line_no")) & (c("a.id") < c("b.id")))))
+    first = F.coalesce(c("a.doc_id") < c("b.doc_id"), c("a.doc_id").isNull() & c("b.doc_id").isNotNull())  # null before any, as in the classes' first places
+    before = first | (c("a.doc_id").eqNullSafe(c("b.doc_id")) & ((c("a.line_no") < c("b.line_no")) | ((c("a.line_no") == c("b.line_no")) & (c("a.id") < c("b.id")))))
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
     position = 9 * (F.least(c("a.i"), c("b.i")) + 1 + F.least(na - c("a.i") - 1, nb - c("b.i") - 1)) >= 4 * (na + nb)
     apart = F.bit_count(c("a.bits").bitwiseXOR(c("b.bits"))) + F.bit_count(c("a.more").bitwiseXOR(c("b.more")))

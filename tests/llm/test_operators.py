@@ -94,6 +94,15 @@ def test_line_dedup(spark, monkeypatch, look):
     assert got[200].n_lines == 1 and got[202].n_lines == 3
 
 
+def test_line_dedup_with_null_ids(spark):
+    line = [f"word{i}" for i in range(30)]
+    other = lambda k: " ".join([*line[:k], "changed", *line[k + 1 :]])
+    own = " ".join(f"own{i}" for i in range(9))
+    docs = [(3, f"{other(5)}\n{own}"), (None, " ".join(line)), (2, " ".join(line)), (None, f"{other(9)}\nand more of it")]
+    got = {(r.doc_id, r.n_lines): r.removed for r in lines.line_dedup(frame(spark, docs)).collect()}
+    assert got[3, 2] == "0" and got[2, 1] == "0" and sorted([got[None, 1], got[None, 2]]) == ["", "0"]
+
+
 def test_lines_kept(spark):
     docs = line_docs()
     want = brute.removed_lines(docs)
