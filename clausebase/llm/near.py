@@ -48,12 +48,13 @@ _BASE_SCHEMA = "doc_id long, set_hash long, size long, sketch binary, p1 array<l
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold has shared a path of every depth with this probability.
 
-    Shared children of a node are near Poisson with mean 1 or more, so a tree
+    Shared children of a node are near Poisson with mean 1 or more (1 where one
+    set contains the other), so a tree
     of depth d lives with probability p(d) = 1 - exp(-p(d - 1)), p(0) = 1.
     """
     p = 1.0
     for _ in range(depth):
-        p = 1 - np.exp(-1.1 * p)
+        p = 1 - np.exp(-p)
     return int(np.ceil(np.log(1 - recall) / np.log(1 - p)))
 
 

@@ -65,6 +65,13 @@ def test_jaccard_large_buckets(spark, documents, monkeypatch):
     assert got == brute.jaccard_classes(documents)
 
 
+def test_runs_for_contained_sets():
+    lives = 1.0
+    for _ in range(near.DEPTH):
+        lives = 1 - np.exp(-lives)  # one shared child in the mean
+    assert (1 - lives) ** near.runs_needed() <= 1 - near.RECALL < (1 - lives) ** (near.runs_needed() - 1)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 3), (5, 6), (7, 7), *[(100 + k, 101 + k) for k in range(20)]]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
