@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +22,13 @@ def page_links(pages: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind).withColumn("menu_id", F.when(kind == "menu", menu))
 
 
-def crawl_pages(pages: DataFrame, root_url: str, most_levels: int = 64) -> tuple[DataFrame, DataFrame]:
+def crawl_pages(pages: DataFrame, root_url: str, most_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Menu nodes (id, url, crumb, level, node_ord) and documents (source_url, title, section_path, menu_id, discovery_ord).
 
     Each level is one frontier: its pages' in-scope menu links that were not
     visited, the first discovery of each counting.  The first discovery of a
-    document counts.  A page that is missing or null has no links.
+    document counts.  A page that is missing or null has no links.  The crawl
+    ends with an empty frontier; one deeper than most_levels is an error.
     """
     spark = pages.sparkSession
     root = spark.range(1).select(urls.menu_id(F.lit(root_url)).alias("m")).first()["m"] or "root"
@@ -32,20 +36,29 @@ def crawl_pages(pages: DataFrame, root_url: str, most_levels: int = 64) -> tuple
     titles = pages.select("url", urls.page_title(F.col("html"), F.lit(root)).alias("own_title"))
     frontier = spark.createDataFrame([(root, root_url, "")], "id string, url string, path string").join(titles, "url", "left").select("id", "url", F.coalesce("own_title", F.lit(f"section-{root}")).alias("crumb"), F.lit(0).alias("level"), F.lit("").alias("ord"))
     visited = frontier
-    for level in range(1, most_levels + 1):
+    for level in itertools.count(1):
         menu = frontier.select("url", "crumb", "ord").join(links.where("kind = 'menu'"), "url").where(urls.in_scope(F.col("menu_id"), root))
         found = menu.select(F.col("menu_id").alias("id"), F.col("target").alias("url"), breadcrumb(F.col("crumb"), F.col("label"), F.col("menu_id")).alias("crumb"), F.lit(level).alias("level"), F.concat("ord", F.format_string("/%06d", F.col("link_ord"))).alias("ord"))
         found = found.join(visited.select("id"), "id", "left_anti")
         first = found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("n = 1").drop("n")
-        frontier = first.persist()
+        frontier = _cut(first)  # each level's plan would hold those of all levels before it twice
         if frontier.isEmpty():
             break
+        if most_levels is not None and level > most_levels:
+            raise ValueError(f"menu deeper than {most_levels} levels")
         visited = visited.unionByName(frontier)
     docs = visited.join(links.where("kind = 'document'"), "url").select(F.col("target").alias("source_url"), F.col("label").alias("title"), F.col("crumb").alias("section_path"), F.col("id").alias("menu_id"), F.struct("level", "ord", "link_ord").alias("discovery_ord"))
     docs = docs.withColumn("n", F.row_number().over(Window.partitionBy("source_url").orderBy("discovery_ord"))).where("n = 1").drop("n")
     return visited.select("id", "url", "crumb", "level", F.col("ord").alias("node_ord")), docs
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausebase-"))
+    return df.checkpoint()
+
+
 def download_records(docs: DataFrame, docs_dir: str, date_text: str | None = None) -> DataFrame:
     """Index records of discovered documents: ids, types, dates and file names; the download's columns are null."""
     kind = urls.doc_type(F.col("source_url"))

@@ -113,7 +113,7 @@ def transcribe(files: DataFrame, transcriber: PageTranscriber, most_pages: int)
             rows = []
             for doc_id, content, n in zip(batch["doc_id"], batch["content"], batch["page_count"], strict=True):
                 pages = []
-                for page in range(1, min(int(n), most_pages) + 1):
+                for page in range(1, min(max(int(n), 1), most_pages) + 1):
                     try:
                         pages.append(transcriber(content, page) or "")
                     except Exception:  # any service's: the page stays empty

@@ -196,6 +196,21 @@ def test_crawl(spark):
     assert records["http://h/docs/c2.doc"].title == "c2.doc" and records["http://h/docs/c1.pdf"].local_path.startswith("/d/Root/Circulars/One_")
 
 
+def test_crawl_of_a_chain(spark):
+    page = lambda k: f"http://h/view_section.jsp?lang=0&id=0,{k}"
+    chain = lambda n: spark.createDataFrame([("http://h/view_section.jsp?lang=0&id=0", f'<a href="{page(1)}">next</a>')] + [(page(k), f'<a href="{page(k + 1)}">next</a><a href="docs/{k}.pdf">d</a>') for k in range(1, n)], "url string, html string").coalesce(1)
+    nodes, docs = crawl.crawl_pages(chain(6), "http://h/view_section.jsp?lang=0&id=0")
+    assert nodes.select("level").toPandas()["level"].max() == 6 and docs.count() == 5
+    with pytest.raises(ValueError, match="deeper"):
+        crawl.crawl_pages(chain(4), "http://h/view_section.jsp?lang=0&id=0", most_levels=2)
+
+
+def test_transcribe_without_page_count(spark):
+    files = spark.createDataFrame([("a", bytearray(b"x"), 0), ("b", bytearray(b"y"), 9)], "doc_id string, content binary, page_count int")
+    got = {r.doc_id: r.pages for r in extractors.transcribe(files, lambda content, page: f"page {page}", 3).collect()}
+    assert got == {"a": ["page 1"], "b": ["page 1", "page 2", "page 3"]}
+
+
 def test_extractors(spark):
     import io
     import zipfile
