@@ -4,12 +4,15 @@ Lines are sets of tokens.  Equal lines are one class from the start.  Each
 class's tokens are put in one global order, rare tokens first: rarity is the
 count of a token's hash bucket over all text (``RARITY_BITS`` bits of buckets,
 a table of fixed size).  Two sets with a Jaccard index of 0.8 or more share a
-token among the first floor(0.2 n) + 1 of each, so classes are joined on those
-(prefix filter), with the length and positional filters and a 128-bit parity
-filter in the join's condition.  A line is removed if an earlier line, by
-(doc_id, line number), equals it or is similar to it; so each class first
-verifies its likeliest earlier partner on whole token sets, and only where that
-fails all its other candidates.
+token among the first floor(0.2 n) + 1 of each, so classes meet on those
+(prefix filter), past the length filter, the positional filter and a filter on
+the parities of token hashes.  A line is removed if an earlier line, by
+(doc_id, line number), equals it or is similar to it.
+
+Classes meet in two levels.  First each one meets the representatives of its
+prefix tokens, the earliest class and the one with the most copies: that is
+linear, and settles most of a group of near copies.  Then those not settled
+meet all earlier classes.  Both levels verify Jaccard on the lines' tokens.
 """
 
 from __future__ import annotations
@@ -22,15 +25,17 @@ from pyspark.sql import functions as F
 
 from .common import durable, fence, small
 
-RARITY_BITS = 16
+RARITY_BITS = 18
 BUCKETS = 1 << RARITY_BITS
-#: Rows of one long that may be broadcast to filter texts, and classes whose prefixes may be; beyond, the joins shuffle.
+#: Rows of one long that may be broadcast to filter texts; beyond, the join shuffles.
 FILTER_ROWS = 200_000
-SECOND_LOOK = 20_000
-MOST_LOOKS = 32
-#: Parts of the token space that are joined one after another.
-SLICES = 4
-_REST = 63 - RARITY_BITS
+#: Parts of the token space that are joined one after another; representatives are met in the first only.
+SLICES = 2
+FIRST_SLICE = 4
+#: A token has representatives if it is in the prefix of more classes than this.
+CROWD = 8
+#: Lines of more tokens have parities of 128 bits, others of 64.
+WIDE = 96
 
 
 def plain(text: Column) -> Column:
@@ -46,21 +51,19 @@ def token_list(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """Rank of each hash bucket by its count of tokens in all documents, as an array literal of BUCKETS numbers."""
+    """Rarity of each hash bucket (third parts of the binary logarithm of its count of tokens in all documents) as an array literal of BUCKETS bytes."""
     tokens = docs.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t"))
-    counts = tokens.select(F.xxhash64("t").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n")).collect()  # BUCKETS rows at most
-    seen = {row["b"]: row["n"] for row in counts}
-    ranks = [0] * BUCKETS
-    for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))):
-        ranks[b] = rank
-    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+    counts = tokens.select(F.xxhash64("t").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    table = [0] * BUCKETS
+    for row in counts.select("b", F.least(F.lit(127), F.ceil(3 * F.log2("n"))).cast("int").alias("r")).collect():  # BUCKETS rows at most
+        table[row["b"]] = row["r"]
+    return F.from_json(F.lit(json.dumps(table)), "array<tinyint>")
 
 
-def ordered(tokens: Column, ranks: Column) -> Column:
-    """Distinct 63-bit token keys, rare first: the bucket's rank, then the rest of the hash."""
-    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
-    keys = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), _REST).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1)))
-    return F.sort_array(F.array_distinct(keys))
+def ordered(tokens: Column, table: Column) -> Column:
+    """Distinct 63-bit token keys, rare first: the bucket's rarity, then the rest of the hash."""
+    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    return F.sort_array(F.array_distinct(F.transform(F.transform(tokens, lambda t: F.xxhash64(t)), key)))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -69,90 +72,99 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.where(F.trim("line") != "")
 
 
-def parity(keys: Column, half: int) -> Column:
-    """One of two words of 64 bits, each bit the parity of the tokens that fall on it: two sets differ by at least as many tokens as their bits."""
-    bit = lambda x: F.call_function("shiftleft", F.when(x.bitwiseAND(64) == 64 * half, 1).otherwise(0).cast("long"), x.bitwiseAND(63).cast("int"))
-    return F.aggregate(keys, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(bit(x)))
+def parity(keys: Column) -> tuple[Column, Column]:
+    """Two words whose bits are parities of the tokens that fall on them: two sets differ by at least as many tokens as bits.
 
+    The first word is over the lowest six bits of each key; for sets of more
+    than WIDE tokens the second has the part with the seventh bit set.
+    """
+    shift = lambda value, x: F.call_function("shiftleft", value, x.bitwiseAND(63).cast("int"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    whole = F.aggregate(keys, zero, lambda bits, x: bits.bitwiseXOR(shift(one, x)))
+    half = F.aggregate(keys, zero, lambda bits, x: bits.bitwiseXOR(shift(F.shiftright(x, 6).bitwiseAND(1), x)))
+    return whole, F.when(F.size(keys) > WIDE, half).otherwise(zero)
+
+
+def _heads(classes: DataFrame, slices: int, part: int) -> DataFrame:
+    """A row for each prefix token of each class, of one of ``slices`` slices of the tokens. place orders classes but for those of one doc_id."""
+    place = F.coalesce(F.col("at.doc_id"), F.lit(-(1 << 63)).cast("long")).alias("place")
+    rows = classes.select("id", place, "copies", "open", "n", "bits", "more", F.posexplode("prefix").alias("i", "token"))
+    return rows.where(F.pmod("token", F.lit(slices)) == part)
+
+
+def _near(a: str, b: str) -> tuple[Column, Column]:
+    """Whether two rows pass the filters on length, parity and order (a before b), and the bits in which they differ."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    na, nb = c(a, "n"), c(b, "n")
+    whole, half = c(a, "bits").bitwiseXOR(c(b, "bits")), c(a, "more").bitwiseXOR(c(b, "more"))
+    apart = F.when((na > WIDE) & (nb > WIDE), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
+    return (c(a, "place") <= c(b, "place")) & (c(a, "id") != c(b, "id")) & length & (9 * apart <= na + nb), apart
 
-def _heads(classes: DataFrame, part: int | None = None) -> DataFrame:
-    """A row for each prefix token of each class, or for those of one of SLICES slices of the tokens."""
-    rows = classes.select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), "n", "bits", "more", F.posexplode("prefix").alias("i", "token"))
-    return rows if part is None else rows.where(F.pmod("token", F.lit(SLICES)) == part)
 
+def _by_representatives(heads: DataFrame) -> DataFrame:
+    """b, a: for each class its most similar one among the representatives of its crowded tokens."""
+    fields = ("id", "place", "n", "bits", "more")
+    chosen = [F.min_by(f, "place").alias(f"first_{f}") for f in fields] + [F.max_by(f, "copies").alias(f"most_{f}") for f in fields]
+    found = heads.groupBy("token").agg(F.count("*").alias("m"), *chosen).where(F.col("m") > CROWD)
+    both = F.array(*[F.struct(*[F.col(f"{kind}_{f}").alias(f) for f in fields]) for kind in ("first", "most")])
+    reps = found.select("token", F.explode(both).alias("r")).select("token", "r.*")
+    near, apart = _near("a", "b")
+    pairs = reps.alias("a").join(heads.alias("b"), (F.col("a.token") == F.col("b.token")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), apart.alias("apart"))
+    return pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a"))
 
-def _candidates(earlier: DataFrame, later: DataFrame) -> DataFrame:
-    """a, b, apart of classes that share a prefix token, a the earlier one, past the length, positional and bitmap filters."""
-    a, b = earlier.alias("a"), later.alias("b")
-    c = lambda name: F.col(name)
-    na, nb = c("a.n"), c("b.n")
-    first = F.coalesce(c("a.doc_id") < c("b.doc_id"), c("a.doc_id").isNull() & c("b.doc_id").isNotNull())  # null before any, as in the classes' first places
-    before = first | (c("a.doc_id").eqNullSafe(c("b.doc_id")) & ((c("a.line_no") < c("b.line_no")) | ((c("a.line_no") == c("b.line_no")) & (c("a.id") < c("b.id")))))
-    length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    position = 9 * (F.least(c("a.i"), c("b.i")) + 1 + F.least(na - c("a.i") - 1, nb - c("b.i") - 1)) >= 4 * (na + nb)
-    apart = F.bit_count(c("a.bits").bitwiseXOR(c("b.bits"))) + F.bit_count(c("a.more").bitwiseXOR(c("b.more")))
-    return a.join(b, (c("a.token") == c("b.token")) & length & position & (9 * apart <= na + nb) & before).select(c("a.id").alias("a"), c("b.id").alias("b"), apart.alias("apart"))
 
+def _candidates(heads: DataFrame) -> DataFrame:
+    """a, b of open classes b and those that share a prefix token with them, past the filters.
+
+    The positional filter is that of the first token they share: none before
+    it is common, so all that are lie from there on.
+    """
+    near, _ = _near("a", "b")
+    na, nb = F.col("a.n"), F.col("b.n")
+    position = 9 * F.least(na - F.col("a.i"), nb - F.col("b.i")) >= 4 * (na + nb)
+    a, b = heads.alias("a"), heads.where("open").alias("b")
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & near & position).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
-def _token_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, k: the token sets of all classes in pairs, from the texts they first stand in."""
+
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id of each b of the pairs whose a is before it and similar, judged by their tokens as they stand in the texts."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "at"), "id")
-    per_text = durable(ids.groupBy("at.rid").agg(F.collect_list(F.struct(F.col("at.line_no").alias("line_no"), "id")).alias("wanted")))  # at most the lines of one text
+    per_text = durable(ids.groupBy("at.rid").agg(F.collect_list(F.struct("at", "id")).alias("wanted")))  # at most the lines of one text
     texts = docs.select("rid", "text")
     if per_text.count() <= FILTER_ROWS:
         texts = texts.join(F.broadcast(per_text.select("rid")), "rid", "left_semi")
-    found = texts.join(per_text, "rid").select(F.split(plain(F.col("text")), "\n").alias("all"), F.explode("wanted").alias("w"))
-    # 32 bits of each token: two different tokens of a pair of lines agree by chance once in some 10^9
-    return found.select("w.id", fence(F.array_distinct(F.transform(token_list(F.get("all", F.col("w.line_no"))), lambda t: F.hash(t)))).alias("k"))
-
-
-def _judged(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
-    """b, alike: whether any a of the pairs is similar to it."""
-    both = pairs.join(of_a.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(of_b, "b")
-    return both.groupBy("b").agg(F.max(9 * F.size(F.array_intersect("ka", "kb")) >= 4 * (F.size("ka") + F.size("kb"))).alias("alike"))
+    texts = texts.dropDuplicates(["rid"]).join(per_text, "rid")
+    found = texts.select(fence(F.split(plain(F.col("text")), "\n")).alias("all"), "wanted").select("all", F.explode("wanted").alias("w"))
+    lines = durable(found.select("w.id", "w.at", F.get("all", F.col("w.at.line_no")).alias("line")))
+    side = lambda x: lines.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("line").alias(f"line_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("at_a < at_b")
+    own = both.select("b", *[fence(F.array_distinct(token_list(F.col(f"line_{x}")))).alias(f"k{x}") for x in "ab"])
+    return durable(own.where(9 * F.size(F.array_intersect("ka", "kb")) >= 4 * (F.size("ka") + F.size("kb"))).select(F.col("b").alias("id")).distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """rid, doc_id, line_no of each line to remove. docs: rid (long, equal only for equal rows), doc_id, text."""
-    ranks = rarity(docs)
+    table = rarity(docs)
     lines = _lines(docs)
     at = F.struct("doc_id", "line_no", "rid")
-    keyed = lines.select(at.alias("at"), F.xxhash64("line").alias("id"), fence(ordered(token_list(F.col("line")), ranks)).alias("k"))
+    keyed = lines.select(at.alias("at"), F.xxhash64("line").alias("id"), fence(ordered(token_list(F.col("line")), table)).alias("k"))
     prefix = F.transform(F.slice("k", 1, F.expr("size(k) div 5 + 1")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    rows = keyed.select("id", F.struct("at", F.size("k").alias("n"), parity(F.col("k"), 0).alias("bits"), parity(F.col("k"), 1).alias("more"), prefix.alias("prefix")).alias("x"))
-    classes = durable(rows.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.at", "x.n", "x.bits", "x.more", "x.prefix"))
+    bits, more = parity(F.col("k"))
+    rows = keyed.select("id", F.struct("at", F.size("k").alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("prefix")).alias("x"))
+    classes = durable(rows.groupBy("id").agg(F.min("x").alias("x"), F.count("*").alias("copies")).select("id", "copies", "x.*"))
 
-    # each class's most similar earlier candidate first; only classes whose best fails are looked at pair by pair
+    reps = durable(_by_representatives(_heads(classes.withColumn("open", F.lit(True)), FIRST_SLICE, 0)))
+    later = _verified(docs, classes, reps)
+    rest = classes.join(small(later.withColumn("gone", F.lit(True))), "id", "left").withColumn("open", F.col("gone").isNull())
     # one slice of the tokens at a time, so that only its rows are on disk
-    best = None
-    for k in range(SLICES):
-        heads = _heads(classes, k)
-        part = durable(_candidates(heads, heads).groupBy("b").agg(F.min_by("a", "apart").alias("a"), F.min("apart").alias("apart")))
-        best = part if best is None else best.unionByName(part)
-    best = durable(best.groupBy("b").agg(F.min_by("a", "apart").alias("a")))
-    sets = _token_sets(docs, classes, best)
-    judged = durable(_judged(best, sets, sets.select(F.col("id").alias("b"), F.col("k").alias("kb"))))
-    later, failed = judged.where("alike").select(F.col("b").alias("id")), durable(judged.where("not alike").select(F.col("b").alias("id")))
-    parts = -(-failed.count() // SECOND_LOOK)
-    rest = []
-    for k in range(parts if parts <= MOST_LOOKS else SLICES):
-        if parts <= MOST_LOOKS:
-            mine = failed.where(F.pmod("id", F.lit(parts)) == k)
-            heads, again = _heads(classes), F.broadcast(_heads(classes.join(F.broadcast(mine), "id", "left_semi")))  # about SECOND_LOOK classes
-        else:
-            heads, again = _heads(classes, k), _heads(classes.join(failed, "id", "left_semi"), k)
-        rest.append(durable(_candidates(heads, again).select("a", "b").distinct().join(best, ["a", "b"], "left_anti")))
-    if rest:
-        pairs = functools.reduce(DataFrame.unionByName, rest)
-        sets = durable(_token_sets(docs, classes, pairs))
-        for part in rest:
-            of_b = sets.select(F.col("id").alias("b"), F.col("k").alias("kb")).join(part.select("b").distinct(), "b", "left_semi")
-            found = _judged(part, sets, F.broadcast(of_b) if parts <= MOST_LOOKS else of_b)  # about SECOND_LOOK sets
-            later = later.unionByName(durable(found.where("alike").select(F.col("b").alias("id"))))
-    later = durable(later.distinct().withColumn("gone", F.lit(True)))
-    verdict = durable(classes.select("id", F.col("at").alias("first")).join(small(later), "id", "left"))
+    pairs = functools.reduce(DataFrame.unionByName, [durable(_candidates(_heads(rest, SLICES, k))) for k in range(SLICES)]).distinct()
+    later = later.unionByName(_verified(docs, classes, durable(pairs)))
+
+    several = classes.join(small(later.withColumn("gone", F.lit(True))), "id", "left").where("gone or copies > 1")  # all others are the only one of their kind and stay
+    verdict = durable(several.select("id", F.coalesce("gone", F.lit(False)).alias("gone"), F.col("at").alias("first")))
     each = lines.select("rid", "doc_id", "line_no", F.xxhash64("line").alias("id"))
-    judged = each.join(verdict, "id").where(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "line_no", "rid") != F.col("first")))
+    judged = each.join(small(verdict), "id").where(F.col("gone") | (F.struct("doc_id", "line_no", "rid") != F.col("first")))
     return judged.select("rid", "doc_id", "line_no")
 
 

@@ -91,9 +91,9 @@ def line_docs():
     return [*docs, (200, None), (201, ""), (202, "\n\n"), (203, "x" * 5000)]
 
 
-@pytest.mark.parametrize("look", [20_000, 1])
-def test_line_dedup(spark, monkeypatch, look):
-    monkeypatch.setattr(lines, "SECOND_LOOK", look)
+@pytest.mark.parametrize("crowd", [8, 0])
+def test_line_dedup(spark, monkeypatch, crowd):
+    monkeypatch.setattr(lines, "CROWD", crowd)
     docs = line_docs()
     want = brute.removed_lines(docs)
     got = {r.doc_id: r for r in lines.line_dedup(frame(spark, docs, extra=True)).collect()}
@@ -101,6 +101,22 @@ def test_line_dedup(spark, monkeypatch, look):
     assert got[200].n_lines == 1 and got[202].n_lines == 3
 
 
+def test_line_dedup_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(lines, "WIDE", 24)  # lines on both sides of it
+    rng = random.Random(12)
+    base = prose(rng, 40).split()
+    docs = []
+    for i in range(200):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            own[rng.randrange(len(own))] = f"new{rng.randint(0, 30)}"
+        docs.append((i, " ".join(own[rng.choice([0, 0, 0, 9]) : rng.choice([40, 40, 30])])))
+    want = brute.removed_lines(docs)
+    assert 100 < len(want) < 199
+    got = {r.doc_id: r.n_removed for r in lines.line_dedup(frame(spark, docs)).collect()}
+    assert got == {i: len(want.get(i, [])) for i, _ in docs}
+
+
 def test_line_dedup_with_null_ids(spark):
     line = [f"word{i}" for i in range(30)]
     other = lambda k: " ".join([*line[:k], "changed", *line[k + 1 :]])
