@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +24,18 @@ def durable(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausebase-"))
+    _release(sc)  # those of earlier calls, whose plans their callers have let go by now
     out = df.checkpoint()
-    gc.collect()  # plans that are no longer referred to free their shuffle files, now and not at the next half-hourly cleaning
-    sc._jvm.System.gc()
+    _release(sc)
     return out
 
 
+def _release(sc: SparkContext) -> None:
+    """Plans that are no longer referred to free their shuffle files, now and not at the next half-hourly cleaning."""
+    gc.collect()
+    sc._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it is known to be small, as it is otherwise."""
     n = df.count() if rows is None else rows

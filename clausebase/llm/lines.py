@@ -30,7 +30,7 @@ BUCKETS = 1 << RARITY_BITS
 #: Rows of one long that may be broadcast to filter texts; beyond, the join shuffles.
 FILTER_ROWS = 200_000
 #: Parts of the token space that are joined one after another; representatives are met in the first only.
-SLICES = 2
+SLICES = 4
 FIRST_SLICE = 4
 #: A token has representatives if it is in the prefix of more classes than this.
 CROWD = 8
