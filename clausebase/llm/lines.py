@@ -23,7 +23,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fence, small
+from .common import durable, fence
 
 RARITY_BITS = 18
 BUCKETS = 1 << RARITY_BITS
@@ -35,7 +35,7 @@ FIRST_SLICE = 4
 #: A token has representatives if it is in the prefix of more classes than this.
 CROWD = 8
 #: Lines of more tokens have parities of 128 bits, others of 64.
-WIDE = 96
+WIDE = 112
 
 
 def plain(text: Column) -> Column:
@@ -61,9 +61,10 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def ordered(tokens: Column, table: Column) -> Column:
-    """Distinct 63-bit token keys, rare first: the bucket's rarity, then the rest of the hash."""
+    """Distinct 63-bit keys of the tokens that aren't empty, rare first: the bucket's rarity, then the rest of the hash."""
     key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    return F.sort_array(F.array_distinct(F.transform(F.transform(tokens, lambda t: F.xxhash64(t)), key)))
+    hashes = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
+    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def _candidates(heads: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """id of each b of the pairs whose a is before it and similar, judged by their tokens as they stand in the texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes.select("id", "at"), "id")
+    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct().join(classes.select("id", "at"), "id")
     per_text = durable(ids.groupBy("at.rid").agg(F.collect_list(F.struct("at", "id")).alias("wanted")))  # at most the lines of one text
     texts = docs.select("rid", "text")
     if per_text.count() <= FILTER_ROWS:
@@ -148,24 +149,36 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     table = rarity(docs)
     lines = _lines(docs)
     at = F.struct("doc_id", "line_no", "rid")
-    keyed = lines.select(at.alias("at"), F.xxhash64("line").alias("id"), fence(ordered(token_list(F.col("line")), table)).alias("k"))
+    keyed = lines.select(at.alias("at"), F.xxhash64("line").alias("id"), fence(ordered(F.split("line", " "), table)).alias("k"))
     prefix = F.transform(F.slice("k", 1, F.expr("size(k) div 5 + 1")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
     bits, more = parity(F.col("k"))
     rows = keyed.select("id", F.struct("at", F.size("k").alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("prefix")).alias("x"))
     classes = durable(rows.groupBy("id").agg(F.min("x").alias("x"), F.count("*").alias("copies")).select("id", "copies", "x.*"))
 
     reps = durable(_by_representatives(_heads(classes.withColumn("open", F.lit(True)), FIRST_SLICE, 0)))
-    later = _verified(docs, classes, reps)
-    rest = classes.join(small(later.withColumn("gone", F.lit(True))), "id", "left").withColumn("open", F.col("gone").isNull())
+    settled = _verified(docs, classes, reps)
+    classes = _marked(classes, settled, "settled")
+    if settled.count() > FILTER_ROWS:
+        classes = durable(classes)  # joined once, not for each slice
+    open_classes = classes.withColumn("open", ~F.col("settled"))
     # one slice of the tokens at a time, so that only its rows are on disk
-    pairs = functools.reduce(DataFrame.unionByName, [durable(_candidates(_heads(rest, SLICES, k))) for k in range(SLICES)]).distinct()
-    later = later.unionByName(_verified(docs, classes, durable(pairs)))
+    pairs = functools.reduce(DataFrame.unionByName, [durable(_candidates(_heads(open_classes, SLICES, k))) for k in range(SLICES)]).distinct()
+    classes = _marked(classes, _verified(docs, classes, durable(pairs)), "similar").withColumn("gone", F.col("settled") | F.col("similar"))
 
-    several = classes.join(small(later.withColumn("gone", F.lit(True))), "id", "left").where("gone or copies > 1")  # all others are the only one of their kind and stay
-    verdict = durable(several.select("id", F.coalesce("gone", F.lit(False)).alias("gone"), F.col("at").alias("first")))
-    each = lines.select("rid", "doc_id", "line_no", F.xxhash64("line").alias("id"))
-    judged = each.join(small(verdict), "id").where(F.col("gone") | (F.struct("doc_id", "line_no", "rid") != F.col("first")))
-    return judged.select("rid", "doc_id", "line_no")
+    places = classes.where("gone").select("at.rid", "at.doc_id", "at.line_no")
+    several = durable(classes.where("copies > 1").select("id", "at", "gone"))  # only these stand in other places too
+    copies = lines.select(at.alias("place"), F.xxhash64("line").alias("id"))
+    if several.count() <= FILTER_ROWS:
+        copies = copies.join(F.broadcast(several.select("id")), "id", "left_semi")
+    copies = copies.join(several, "id").where(F.col("place") != F.col("at")).select("place.rid", "place.doc_id", "place.line_no")
+    return places.unionByName(copies)
+
+
+def _marked(classes: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """classes with a column that says whether their id is among ids."""
+    marks = ids.withColumn(name, F.lit(True))
+    marks = F.broadcast(marks) if ids.count() <= FILTER_ROWS else marks
+    return classes.join(marks, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -181,7 +194,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own = _own(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     gone = removed_lines(own).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))  # at most the lines of one text
-    sizes = own.select("rid", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines")).dropDuplicates(["rid"])
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    sizes = own.select("rid", "doc_id", n_lines.cast("long").alias("n_lines")).dropDuplicates(["rid"])
     joined = sizes.join(gone, "rid", "left").withColumn("gone", F.sort_array(F.coalesce("gone", F.array().cast("array<int>"))))
     return joined.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
 
