@@ -37,6 +37,10 @@ from . import kernels as K
 from .common import durable
 
 LENGTH = 400
+#: Repeats of PASSAGE bytes or more are found first: they are counted as passages if they hold over PASSAGE_WORDS words, and only texts with any can hold longer ones.
+PASSAGE = 280
+PASSAGE_WORDS = 50
+#: For 400 bytes; in proportion for other lengths.
 GRAM = 64
 BLOCK = 169
 FINE = 21
@@ -47,6 +51,10 @@ SLICE = 1 << 18
 FILTER_ROWS = 200_000
 
 
+def scaled(size: int, length: int) -> int:
+    return max(1, size * length // LENGTH)
+
+
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` values in a row."""
     n = len(values)
@@ -111,8 +119,8 @@ def _items(length: int):
             rid = batch.column("rid").to_numpy()
             for part in K.slices(batch.column("text"), SLICE):
                 sums = K.prefix(part.data)
-                anchor, first, last, text = _anchored(sums, part.ends, length, GRAM)
-                x = blocks_of(sums, anchor, first, last, length, BLOCK)
+                anchor, first, last, text = _anchored(sums, part.ends, length, scaled(GRAM, length))
+                x = blocks_of(sums, anchor, first, last, length, scaled(BLOCK, length))
                 own = text[x["run"]]
                 base = part.ends[own]
                 yield pa.record_batch({"key": x["key"].view(np.int64), "u": x["u"].view(np.int64), "rid": rid[part.first + own], "p1": x["p1"] - base, "p2": x["p2"] - base, "q": x["q"] - base})
@@ -237,6 +245,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs: rid (long, equal only for equal rows), text.  spans: array of
     struct(s, e), as found, not merged.
     """
+    docs = docs.where(f"octet_length(text) >= {length}")
     items = durable(docs.mapInArrow(_items(length), _ITEM))
     shared = durable(items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))  # cut, so that the join below can split a hot key
     found = durable(items.join(shared, "key"))
@@ -257,7 +266,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # hot buckets: smaller blocks, then single starts
     schema = "key long, u long, k2 long, u2 long, s long, e long, q long"
     hot = contexts.where(F.col("m") > HOT)
-    finer = durable(hot.mapInArrow(_refine(length, FINE), schema))
+    finer = durable(hot.mapInArrow(_refine(length, scaled(FINE, length)), schema))
     kinds2 = finer.groupBy("k2", "u2").agg(F.count_distinct("key", "u").alias("n"))
     classes2 = durable(kinds2)
     sure = finer.join(classes2.where("n > 1"), ["k2", "u2"]).select("key", "u", "s", "e")
@@ -287,39 +296,46 @@ def _single(length: int):
     return run
 
 
-def _cut(with_text: bool):
+def _cut(with_text: bool, least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                yield _kept(batch.slice(at, 500), with_text)
+                yield _kept(batch.slice(at, 500), with_text, least_words)
 
     return run
 
 
-def _kept(batch: pa.RecordBatch, with_text: bool) -> pa.RecordBatch:
-    n_bytes, n_removed, n_spans, digest, kept = [], [], [], [], []
-    for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+def _kept(batch: pa.RecordBatch, with_text: bool, least_words: int) -> pa.RecordBatch:
+    out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", "kept")}
+    for text, spans, passages in zip(batch.column("text"), batch.column("spans").to_pylist(), batch.column("passages").to_pylist(), strict=True):
         data = (text.as_py() or "").encode()
         runs = merged([(x["s"], x["e"]) for x in spans or []])
         edges = [0, *(x for run in runs for x in run), len(data)]
         rest = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-        n_bytes.append(len(data))
-        n_removed.append(len(data) - len(rest))
-        n_spans.append(len(runs))
-        digest.append(hashlib.sha256(rest).hexdigest())
-        if with_text:
-            kept.append(rest)
-    out = {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
-    return pa.record_batch(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
+        words = [len(data[a:b].split()) for a, b in merged([(x["s"], x["e"]) for x in passages or []])]
+        long_ones = [n for n in words if n > least_words]
+        for name, value in (("n_bytes", len(data)), ("n_removed", len(data) - len(rest)), ("n_spans", len(runs)), ("kept_sha256", hashlib.sha256(rest).hexdigest()), ("n_passages", len(long_ones)), ("n_passage_words", sum(long_ones)), ("kept", rest)):
+            out[name].append(value)
+    kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
+    return pa.record_batch({"doc_id": batch.column("doc_id")} | {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items() if with_text or k != "kept"})
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with_text, kept (the remaining bytes) for every row of docs.
+def drop_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = True, passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words and, with_text, kept (the remaining bytes) for every row of docs.
 
     A null or empty text has 0 bytes.  Rows that repeat each other hold each
     other's strings, so whatever is ``length`` bytes or longer in them goes.
-    Matches never cross texts.
+    Matches never cross texts.  n_passages counts the maximal runs covered by
+    strings of ``passage`` bytes (at most ``length``) that start elsewhere too
+    and that hold over PASSAGE_WORDS words, n_passage_words their words; they
+    are not removed for that.
     """
+    passage = min(passage, length)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("rid"))
-    spans = repeated(own.where(f"octet_length(text) >= {length}").select("rid", "text"), length)
-    return own.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    texts = own.select("rid", "text")
+    passages = durable(repeated(texts, passage).withColumnRenamed("spans", "passages"))
+    # every string of length bytes that starts twice has one of passage bytes that does
+    some = passages.where(F.expr(f"array_max(transform(passages, x -> x.e)) - array_min(transform(passages, x -> x.s)) >= {length}")).select("rid")
+    some = F.broadcast(some) if some.count() <= FILTER_ROWS else some
+    spans = repeated(texts.join(some, "rid", "left_semi"), length)
+    return own.join(passages, "rid", "left").join(spans, "rid", "left").select("doc_id", "text", "spans", "passages").mapInArrow(_cut(with_text, PASSAGE_WORDS), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary" * with_text)

@@ -76,3 +76,15 @@ def repeats(docs, length):
         spans = sum(1 for k in range(len(b)) if cover[k] and (not k or not cover[k - 1]))
         out[i] = (len(b), sum(cover), spans, bytes(x for x, c in zip(b, cover, strict=True) if not c))
     return out
+
+
+def passages(docs, length, least):
+    """{doc_id: (runs, words)} of the runs covered by repeated strings of length bytes that hold over least words."""
+    data = [(i, (t or "").encode()) for i, t in docs]
+    seen = collections.Counter(b[p : p + length] for _, b in data for p in range(len(b) - length + 1))
+    out = {}
+    for i, b in data:
+        cover = "".join("1" if any(seen[b[p : p + length]] > 1 for p in range(max(0, k - length + 1), min(k, len(b) - length) + 1)) else "0" for k in range(len(b)))
+        words = [len(b[m.start() : m.end()].split()) for m in re.finditer("1+", cover)]
+        out[i] = (sum(n > least for n in words), sum(n for n in words if n > least))
+    return out

@@ -188,11 +188,13 @@ def test_decontamination_judges_rows_alone(spark, monkeypatch, literal_blocks):
 @pytest.mark.parametrize("hot", [256, 1])
 def test_repeats(spark, monkeypatch, hot):
     length = 120
-    for name, value in (("GRAM", 16), ("BLOCK", 53), ("FINE", 7), ("HOT", hot)):
+    for name, value in (("LENGTH", length), ("GRAM", 16), ("BLOCK", 53), ("FINE", 7), ("HOT", hot), ("PASSAGE_WORDS", 8)):
         monkeypatch.setattr(suffix, name, value)
     docs = repeat_docs(length)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in suffix.drop_repeats(frame(spark, docs, extra=True), length).collect()}
+    rows = suffix.drop_repeats(frame(spark, docs, extra=True), length, passage=80).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in rows}
     want = brute.repeats(docs, length)
+    assert {r.doc_id: (r.n_passages, r.n_passage_words) for r in rows} == brute.passages(docs, 80, 8)
     assert {i: x[:4] for i, x in got.items()} == want and all(x[4] == hashlib.sha256(x[3]).hexdigest() for x in got.values())
 
 
