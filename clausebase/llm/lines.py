@@ -29,18 +29,19 @@ RARITY_BITS = 18
 BUCKETS = 1 << RARITY_BITS
 #: Rows of one long that may be broadcast to filter texts; beyond, the join shuffles.
 FILTER_ROWS = 200_000
-#: Parts of the token space that are joined one after another; representatives are met in the first only.
-SLICES = 4
+#: Parts of the token space whose classes are joined one after another, and the share of it (one part of so many) in which they meet representatives.
+SLICES = 2
 FIRST_SLICE = 4
 #: A token has representatives if it is in the prefix of more classes than this.
 CROWD = 8
 #: Lines of more tokens have parities of 128 bits, others of 64.
 WIDE = 112
+SPACES = "\t\r\f\u000b"
 
 
 def plain(text: Column) -> Column:
     """Other white space within lines as spaces."""
-    for c in "\t\r\f\u000b":
+    for c in SPACES:
         text = F.replace(text, F.lit(c), F.lit(" "))
     return text
 
@@ -62,15 +63,16 @@ def rarity(docs: DataFrame) -> Column:
 
 def ordered(tokens: Column, table: Column) -> Column:
     """Distinct 63-bit keys of the tokens that aren't empty, rare first: the bucket's rarity, then the rest of the hash."""
-    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    rare = lambda h: F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("tinyint"))  # noqa: E731  never null: keys are then sorted as longs
+    key = lambda h: F.shiftleft(rare(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     hashes = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
     return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """rid, doc_id, line_no, line of every line that holds a token."""
-    each = docs.select("rid", "doc_id", F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
-    return each.where(F.trim("line") != "")
+    each = docs.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return each.where(F.btrim("line", F.lit(" " + SPACES)) != "")
 
 
 def parity(keys: Column) -> tuple[Column, Column]:
@@ -87,16 +89,22 @@ def parity(keys: Column) -> tuple[Column, Column]:
 
 
 def _heads(classes: DataFrame, slices: int, part: int) -> DataFrame:
-    """A row for each prefix token of each class, of one of ``slices`` slices of the tokens. place orders classes but for those of one doc_id."""
+    """A row for each prefix token of each class, of one of ``slices`` slices of the tokens.
+
+    place orders classes but for those of one doc_id; n is negative for classes that look for no partner.
+    """
     place = F.coalesce(F.col("at.doc_id"), F.lit(-(1 << 63)).cast("long")).alias("place")
-    rows = classes.select("id", place, "copies", "open", "n", "bits", "more", F.posexplode("prefix").alias("i", "token"))
+    rows = classes.select("id", place, "copies", F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("n"), "bits", "more", F.posexplode("prefix").alias("i", "token"))
     return rows.where(F.pmod("token", F.lit(slices)) == part)
 
 
 def _near(a: str, b: str) -> tuple[Column, Column]:
-    """Whether two rows pass the filters on length, parity and order (a before b), and the bits in which they differ."""
+    """Whether two rows pass the filters on length, parity and order (a before b, b open), and the bits in which they differ.
+
+    Each condition is on both sides, none on one alone: so both are the same exchange, written once.
+    """
     c = lambda side, name: F.col(f"{side}.{name}")
-    na, nb = c(a, "n"), c(b, "n")
+    na, nb = F.abs(c(a, "n")), c(b, "n")
     whole, half = c(a, "bits").bitwiseXOR(c(b, "bits")), c(a, "more").bitwiseXOR(c(b, "more"))
     apart = F.when((na > WIDE) & (nb > WIDE), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
@@ -122,9 +130,9 @@ def _candidates(heads: DataFrame) -> DataFrame:
     it is common, so all that are lie from there on.
     """
     near, _ = _near("a", "b")
-    na, nb = F.col("a.n"), F.col("b.n")
+    na, nb = F.abs("a.n"), F.col("b.n")
     position = 9 * F.least(na - F.col("a.i"), nb - F.col("b.i")) >= 4 * (na + nb)
-    a, b = heads.alias("a"), heads.where("open").alias("b")
+    a, b = heads.alias("a"), heads.alias("b")
     return a.join(b, (F.col("a.token") == F.col("b.token")) & near & position).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
 
 
@@ -136,11 +144,11 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     if per_text.count() <= FILTER_ROWS:
         texts = texts.join(F.broadcast(per_text.select("rid")), "rid", "left_semi")
     texts = texts.dropDuplicates(["rid"]).join(per_text, "rid")
-    found = texts.select(fence(F.split(plain(F.col("text")), "\n")).alias("all"), "wanted").select("all", F.explode("wanted").alias("w"))
+    found = texts.select(fence(F.split("text", "\n")).alias("all"), "wanted").select("all", F.explode("wanted").alias("w"))
     lines = durable(found.select("w.id", "w.at", F.get("all", F.col("w.at.line_no")).alias("line")))
     side = lambda x: lines.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("line").alias(f"line_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("at_a < at_b")
-    own = both.select("b", *[fence(F.array_distinct(token_list(F.col(f"line_{x}")))).alias(f"k{x}") for x in "ab"])
+    own = both.select("b", *[fence(F.array_distinct(token_list(plain(F.col(f"line_{x}"))))).alias(f"k{x}") for x in "ab"])
     return durable(own.where(9 * F.size(F.array_intersect("ka", "kb")) >= 4 * (F.size("ka") + F.size("kb"))).select(F.col("b").alias("id")).distinct())
 
 
@@ -149,7 +157,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     table = rarity(docs)
     lines = _lines(docs)
     at = F.struct("doc_id", "line_no", "rid")
-    keyed = lines.select(at.alias("at"), F.xxhash64("line").alias("id"), fence(ordered(F.split("line", " "), table)).alias("k"))
+    keyed = lines.select(at.alias("at"), F.xxhash64("line").alias("id"), fence(ordered(F.split(plain(F.col("line")), " "), table)).alias("k"))
     prefix = F.transform(F.slice("k", 1, F.expr("size(k) div 5 + 1")), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
     bits, more = parity(F.col("k"))
     rows = keyed.select("id", F.struct("at", F.size("k").alias("n"), bits.alias("bits"), more.alias("more"), prefix.alias("prefix")).alias("x"))
@@ -194,7 +202,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own = _own(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     gone = removed_lines(own).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))  # at most the lines of one text
-    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     sizes = own.select("rid", "doc_id", n_lines.cast("long").alias("n_lines")).dropDuplicates(["rid"])
     joined = sizes.join(gone, "rid", "left").withColumn("gone", F.sort_array(F.coalesce("gone", F.array().cast("array<int>"))))
     return joined.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
