@@ -19,6 +19,8 @@ Positions are code points, ends exclusive.  No pattern crosses a line break.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ WORD = r"[\p{L}\p{N}]+"
 TERM = r"^\p{L}[\p{L}\p{N}]{2,}$"
 GENERALISE = 0.5
 REMOVE = 0.8
+#: The corpus's different lines are found in so many parts, one after another, so that only one part's lines are on disk.
+PARTS = 4
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 _PLACES = "array<struct<s:int,e:int,level:int>>"
 
@@ -86,14 +90,18 @@ def disclosing_terms(docs: DataFrame, on_lines: DataFrame) -> DataFrame:
     if n_wanted == 0:
         return together.select("entity", "term", F.lit(1).alias("level")).limit(0)
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.col("line"), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line")).distinct()
-    terms = lines.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))  # the empty word, once a line, counts the lines
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
     wanted = wanted.union(wanted.sparkSession.range(1).select(F.lit("").alias("term")))
-    if n_wanted <= BROADCAST_ROWS:
-        counts = terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:
-        counts = terms.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    counts = durable(counts)
+
+    def counted(part: int) -> DataFrame:
+        own = lines.where(F.pmod(F.xxhash64("line"), F.lit(PARTS)) == part).distinct()
+        terms = own.select(F.explode(F.concat(words, F.array(F.lit("")))).alias("term"))  # the empty word, once a line, counts the lines
+        if n_wanted <= BROADCAST_ROWS:
+            return terms.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+        return terms.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
+
+    parts = functools.reduce(DataFrame.unionByName, [durable(counted(part)) for part in range(PARTS)])
+    counts = durable(parts.groupBy("term").agg(F.sum("n_t").alias("n_t")))
     total = F.lit(float(counts.where("term = ''").first()["n_t"]))
     scored = together.join(alone, "entity").join(counts, "term")
     pmi = F.log(total * F.col("n_te") / ((F.col("n_t") + 1) * (F.col("n_e") + 1)))
