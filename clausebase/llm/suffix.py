@@ -267,11 +267,12 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = "key long, u long, k2 long, u2 long, s long, e long, q long"
     hot = contexts.where(F.col("m") > HOT)
     finer = durable(hot.mapInArrow(_refine(length, scaled(FINE, length)), schema))
-    kinds2 = finer.groupBy("k2", "u2").agg(F.count_distinct("key", "u").alias("n"))
-    classes2 = durable(kinds2)
-    sure = finer.join(classes2.where("n > 1"), ["k2", "u2"]).select("key", "u", "s", "e")
+    own = F.struct("key", "u")
+    classes2 = durable(finer.groupBy("k2", "u2").agg(F.min(F.struct("key", "u", "s", "e", "q")).alias("at"), (F.min(own) != F.max(own)).alias("twice")))
+    sure = finer.join(classes2.where("twice").select("k2", "u2"), ["k2", "u2"]).select("key", "u", "s", "e")
     unsure = classes2.groupBy("k2").agg(F.count("*").alias("m")).where("m > 1").select("k2")
-    rest = finer.join(unsure, "k2").join(hot.select("key", "u", "ctx"), ["key", "u"]).select("key", "u", F.expr("substring(ctx, cast(s + 1 as int), cast(e - s as int))").alias("ctx"), (F.col("q") - F.col("s")).alias("ql"), "s")
+    # of blocks that stand twice all starts do: one of each class is enough for the others to be compared with
+    rest = classes2.join(unsure, "k2").select("at.*").join(hot.select("key", "u", "ctx"), ["key", "u"]).select("key", "u", F.expr("substring(ctx, cast(s + 1 as int), cast(e - s as int))").alias("ctx"), (F.col("q") - F.col("s")).alias("ql"), "s")
     single = rest.mapInArrow(_single(length), "key long, u long, k3 long, s long, e long")
     single = durable(single)
     twice = single.groupBy("k3").agg(F.count_distinct("key", "u").alias("n")).where("n > 1").select("k3")
