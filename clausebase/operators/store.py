@@ -48,6 +48,11 @@ def vector_metadata(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", *[text(c) for c in ("doc_id", "title", "section_path", "date", "source_url", "local_path", "clause_ref", "circular_number")], *[number(c) for c in ("chunk_index", "page_start", "page_end")])
 
 
+def vector_count(vectors: DataFrame) -> DataFrame:
+    """One row, vectors: the number of stored chunk_ids."""
+    return vectors.agg(F.count_distinct("chunk_id").alias("vectors"))
+
+
 def flagged_for_retry(documents: DataFrame, limit: int = 0) -> DataFrame:
     """PDF documents up for review by doc_id; a limit of 0 is none."""
     found = documents.where("needs_review = 1 and doc_type = 'pdf'").orderBy("doc_id")

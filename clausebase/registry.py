@@ -311,9 +311,9 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windowed_counts(_table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 0 THEN NULL ELSE '20' || strftime(o_orderdate, '%y-%m-%d') END AS iso FROM orders WHERE year(o_orderdate) >= 1970")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_orderkey % 3 = 0 THEN NULL ELSE '20' || strftime(o_orderdate, '%y-%m-%d') END AS iso FROM orders")
 def parsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _table(spark, sf_dir, "orders").where("year(o_orderdate) >= 1970")
+    own = _table(spark, sf_dir, "orders")
     low = F.col("o_orderdate")
     raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(low, "d MMMM yyyy")).when(F.col("o_orderkey") % 3 == 0, F.lit("35.13.2019")).otherwise(F.concat(F.date_format(low, "dd.MM."), F.lit("20"), F.date_format(low, "yy")))
     return own.select("o_orderkey", dates.parse_date(raw).alias("iso"))
@@ -354,19 +354,8 @@ def first_of_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), F.row_number().over(order).alias("rank")).where("rank = 1")
 
 
-@query(
-    f"""WITH l AS ({LETTERS}), d AS (SELECT id, text FROM l WHERE id % 2 = 0) SELECT count(*) AS checked, count(*) FILTER (id % 11 <> 0 OR id % 5 IN (0, 1)) AS updated FROM (SELECT id FROM d UNION ALL SELECT id FROM l WHERE id % 2 = 1 AND id % 11 <> 0 AND false)"""
-)
-def backfill_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = derived(spark, sf_dir, LETTERS, "orders").where("id % 2 = 0").where("id % 11 <> 0 or id % 5 in (0, 1)")
-    rest = derived(spark, sf_dir, LETTERS, "orders").where("id % 2 = 0").where("not (id % 11 <> 0 or id % 5 in (0, 1))").withColumn("text", F.lit("nothing here"))
-    chunks = letters.unionByName(rest).select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("circular_number"), F.lit(None).cast("string").alias("date"))
-    docs = chunks.select("doc_id", F.lit(None).cast("string").alias("document_number"), F.lit(None).cast("string").alias("date_raw"), F.lit(None).cast("string").alias("date_parsed"))
-    return extract.backfill(docs, chunks)[2]
-
-
 @query(f"SELECT count(*) AS checked, count(*) FILTER (number IS NOT NULL OR date_parsed IS NOT NULL) AS updated FROM ({ORACLES['document_refs']})")
-def backfill_all_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def backfill_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters = derived(spark, sf_dir, LETTERS, "orders")
     chunks = letters.select(F.col("id").cast("string").alias("doc_id"), F.lit(0).alias("chunk_index"), "text", F.lit(None).cast("string").alias("circular_number"), F.lit(None).cast("string").alias("date"))
     docs = chunks.select("doc_id", F.lit(None).cast("string").alias("document_number"), F.lit(None).cast("string").alias("date_raw"), F.lit(None).cast("string").alias("date_parsed"))

@@ -9,7 +9,7 @@ from ..schemas import CASES, DOC_INDEX, UPDATE_STATE
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of records; empty if there is no file."""
+    """A file with a JSON array of records, or a folder of JSON lines as ``write_index`` leaves it; empty if there is none."""
     return _read(spark, path, DOC_INDEX)
 
 
@@ -26,9 +26,10 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     names = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not names.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(names):
+    files = names.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(names):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", files.getFileStatus(names).isFile()).json(path)
 
 
 def write_index(index: DataFrame, folder: str) -> None:

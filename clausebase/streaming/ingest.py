@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,9 +38,13 @@ class Store:
 
 
 def ingest_batch(to: Store, incoming: DataFrame, force: bool = False) -> None:
-    """One batch: changed documents are described, chunked and searched for references; their old chunks and references are replaced; everything is resolved anew."""
+    """One batch: changed documents are described, chunked and searched for references; their old chunks and references are replaced; everything is resolved anew.
+
+    Of several versions of a document in one batch the one with the highest sha1 counts, so that a batch that is run again gives the same.
+    """
     documents, chunks, refs = to.read("documents", DOCUMENTS), to.read("chunks", CHUNKS), to.read("refs", REFS)
-    latest = incoming.dropDuplicates(["doc_id"])
+    order = Window.partitionBy("doc_id").orderBy(F.desc("sha1"), F.hash("pages"))
+    latest = incoming.withColumn("version", F.row_number().over(order)).where("version = 1").drop("version")
     new = extract.described(store.changed(latest, documents, force)).persist()
     rows = new.withColumns({"needs_review": extract.is_outlier().cast("int"), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "superseded_by_doc_id": F.lit(None).cast("string"), "superseded_by_summary": F.lit(None).cast("string")})
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in DOCUMENTS])

@@ -29,12 +29,12 @@ def test_chunks_pack_paragraphs(spark):
 
 
 def test_chunks_cut_long_paragraphs(spark):
-    got = chunks_of(spark, " ".join(f"This is sentence number {i} of a paragraph." for i in range(150)))
+    got = chunks_of(spark, " ".join(f"Lamp {i} stands by the harbour wall." for i in range(150)))
     assert len(got) >= 2 and all(len(c.text.split()) <= 550 for c in got)
 
 
 def test_chunks_know_clause_and_pages(spark):
-    got = chunks_of(spark, "1. First clause text here.\n\n2. Second clause.", "Continued text.\n\n3. Third clause.")
+    got = chunks_of(spark, "1. Lamps are lit at dusk.\n\n2. Oil is bought.", "It is weighed.\n\n3. Wicks are cut.")
     assert [(c.clause_ref, c.page_start, c.page_end) for c in got] == [("1", 1, 2)]
     far = chunks_of(spark, "7. " + words(300), words(300) + "\n\n" + words(300))
     assert [(c.clause_ref, c.page_start, c.page_end) for c in far] == [("7", 1, 1), ("7", 2, 2), ("7", 2, 2)]
@@ -60,7 +60,7 @@ def test_quality(spark, row, least, flagged):
     assert df.select(extract.is_outlier(least)).first()[0] is flagged
 
 
-DOCS = [("d0", "Refund rules", "Refund of unused tickets is allowed within No.45/2019 limits."), ("d1", "Parcel", "Booking of parcels; café and naïve tickets."), ("d2", "Unused tickets", "Refund here, elsewhere tickets unused."), ("d3", "x", "refund refund refund unused tickets of"), ("d4", "No 45 2019", "of nothing")]
+DOCS = [("d0", "Refund rules", "Refund of unused tickets goes by No.45/2019 only."), ("d1", "Parcel", "Booking of parcels; café and naïve tickets."), ("d2", "Unused tickets", "Refund here, elsewhere tickets unused."), ("d3", "x", "refund refund refund unused tickets of"), ("d4", "No 45 2019", "of nothing")]
 
 
 @pytest.mark.parametrize("query", ["refund of unused tickets", "No.45/2019", "cafe", "tickets", '"unused" tickets', "...", "absent"])
@@ -142,8 +142,23 @@ def test_backfill(spark):
 def test_backfill_of_all_letters(spark):
     con, sf_dir = duckdb.connect(), "/root/testdata/sf0.001"
     con.sql(f"CREATE VIEW orders AS SELECT * FROM '{sf_dir}/orders.parquet'")
-    got = tuple(registry.queries()["backfill_all_letters"](spark, sf_dir).first())
-    assert [got] == con.sql(registry.oracle_sql()["backfill_all_letters"]).fetchall() and (got[0],) == con.sql("SELECT count(*) FROM orders").fetchall()[0]
+    got = tuple(registry.queries()["backfill_statistics"](spark, sf_dir).first())
+    assert [got] == con.sql(registry.oracle_sql()["backfill_statistics"]).fetchall() and (got[0],) == con.sql("SELECT count(*) FROM orders").fetchall()[0]
+
+
+def test_index_round_trip(spark, tmp_path):
+    from clausebase.schemas import DOC_INDEX
+    from clausebase.sources import index
+
+    rows = with_missing_columns(spark.createDataFrame([(f"d{k}", f"title {k}") for k in range(5)], "doc_id string, title string"), DOC_INDEX).repartition(2)
+    index.write_index(rows, str(tmp_path))
+    assert {(r.doc_id, r.title) for r in index.read_index(spark, f"{tmp_path}/index.json").collect()} == {(f"d{k}", f"title {k}") for k in range(5)}
+    (tmp_path / "array.json").write_text('[{"doc_id": "a"},\n {"doc_id": "b"}]')
+    assert {r.doc_id for r in index.read_index(spark, f"{tmp_path}/array.json").collect()} == {"a", "b"}
+    assert index.read_index(spark, f"{tmp_path}/none.json").count() == 0
+    assert index.read_state(spark, f"{tmp_path}/state").first().status == "idle"
+    index.write_state(spark, f"{tmp_path}/state", "done", last_success_at=4.0)
+    assert index.read_state(spark, f"{tmp_path}/state").first()[:3] == ("done", "", 4.0)
 
 
 def test_coverage(spark):
@@ -244,14 +259,14 @@ def test_ingest(spark, tmp_path):
         (tmp_path / "in" / name).write_text("\n".join(json.dumps({"title": "T", "section_path": "S", "source_url": "u", "local_path": "p", "doc_type": "pdf", **d}) for d in docs))
 
     to = ingest.Store(spark, str(tmp_path / "store"))
-    put("1.json", {"doc_id": "old", "sha1": "1", "pages": ["No. TC-I/2019/1 dated 01.01.2019\n\n1. The fee is ten."]}, {"doc_id": "blank", "sha1": "2", "pages": [" "]})
+    put("1.json", {"doc_id": "old", "sha1": "1", "pages": ["No. TC-I/2019/1 dated 01.01.2019\n\n1. The fee is ten. " + words(40)]}, {"doc_id": "blank", "sha1": "2", "pages": [" "]})
     ingest.ingest_stream(spark, str(tmp_path / "in"), to, str(tmp_path / "cp"))
     assert to.read("chunks", CHUNKS).where("doc_id = 'blank'").count() == 1
     put("2.json", {"doc_id": "new", "sha1": "3", "pages": ["No. TC-I/2021/9 dated 01.06.2021\n\nIn supersession of Circular No. TC-I/2019/1 dated 01.01.2019."]}, {"doc_id": "old", "sha1": "1", "pages": ["changed text, same hash"]})
     ingest.ingest_stream(spark, str(tmp_path / "in"), to, str(tmp_path / "cp"))
     status = {r.doc_id: r.status for r in to.read("chunks", CHUNKS).collect()}
     docs = {r.doc_id: r for r in to.read("documents", DOCUMENTS).collect()}
-    assert status["old"] in ("current", "superseded") and set(docs) == {"old", "new", "blank"} and docs["new"].document_number == "TC-I/2021/9"
+    assert status["old"] == "superseded" and set(docs) == {"old", "new", "blank"} and docs["new"].document_number == "TC-I/2021/9"
 
 
 def test_windows(spark):
