@@ -277,9 +277,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each class, the one with the lowest id, all its columns as they were; documents without words stay."""
+    """One document of each class, the one with the lowest id, all its columns as they were; documents without words stay.
+
+    Of rows that repeat one doc_id and text one stays; rows with a null doc_id all stay.
+    """
     gone = jaccard_classes(docs.select("doc_id", "text"), threshold).where("class_id < doc_id").select("doc_id").distinct()
     once = docs.join(gone, "doc_id", "left_anti")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not repeated.isEmpty():  # only such rows are shuffled with their texts
+        again = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        once = once.join(repeated, "doc_id", "left_anti").unionByName(again)
     return once.select(*docs.columns)
 
 

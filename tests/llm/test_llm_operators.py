@@ -58,6 +58,13 @@ def test_jaccard_classes(spark, documents):
     assert near.jaccard_classes(frame(spark, [])).count() == 0
 
 
+def test_keep_one_of_repeated_rows(spark):
+    a, b = prose(random.Random(21), 40), prose(random.Random(22), 40)
+    docs = [(1, a), (1, a), (2, a), (3, b), (None, b), (None, b), (4, None), (4, None)]
+    kept = near.keep_one(frame(spark, docs, extra=True))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, a), (3, b), (0, b), (0, b), (4, "")])
+
+
 def test_jaccard_large_buckets(spark, documents, monkeypatch):
     monkeypatch.setattr(near, "SMALL", 2)
     monkeypatch.setattr(near, "BLOCK", 4)
