@@ -243,19 +243,25 @@ def store_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All documents in both versions, some changed or up for review; benchmark items are stored only, pages are new."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha1(F.col("text").cast("binary")).alias("sha1"), "source")
-    stored = docs.where("doc_id % 3 <> 0").withColumns({"needs_review": (F.col("doc_id") % 5 == 0).cast("int"), "superseded_by_doc_id": F.when(F.col("doc_id") % 2 == 0, F.lit("s"))})
-    incoming = docs.where("doc_id % 4 <> 1").withColumns({"sha1": F.when(F.col("doc_id") % 7 == 0, F.lit("new")).otherwise(F.col("sha1")), "needs_review": F.lit(0), "superseded_by_doc_id": F.lit(None).cast("string")})
+    items = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("doc_id"), F.sha1(F.col("text").cast("binary")).alias("sha1"), F.lit("benchmark").alias("source"))
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("doc_id"), F.sha1(F.col("html").cast("binary")).alias("sha1"), F.col("url").alias("source"))
+    key = F.concat(F.lit("d"), "doc_id").alias("doc_id")
+    unreviewed, unlinked = F.lit(0).alias("needs_review"), F.lit(None).cast("string").alias("superseded_by_doc_id")
+    stored = docs.select(key, "sha1", "source", (F.col("doc_id") % 5 == 0).cast("int").alias("needs_review"), F.when(F.col("doc_id") % 2 == 0, F.lit("s")).alias("superseded_by_doc_id")).unionByName(items.select("*", unreviewed, unlinked))
+    incoming = docs.select(key, F.when(F.col("doc_id") % 7 == 0, F.lit("new")).otherwise(F.col("sha1")).alias("sha1"), "source", unreviewed, unlinked).unionByName(pages.select("*", unreviewed, unlinked))
     return stored, incoming
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 1 AND NOT (doc_id % 3 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 <> 0)")
+@query("SELECT 'd' || doc_id AS doc_id FROM documents WHERE text IS NULL OR doc_id % 5 = 0 OR doc_id % 7 = 0 UNION ALL SELECT 'p' || page_id FROM pages")
 def incremental_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, incoming = _versions(spark, sf_dir)
     return store.changed(incoming, stored).select("doc_id")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 <> 1 AND doc_id % 7 = 0 THEN 'new' ELSE sha1(text) END AS sha1, source, CASE WHEN doc_id % 4 <> 1 THEN 0 ELSE (doc_id % 5 = 0)::INT END AS needs_review, CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN 's' END AS superseded_by_doc_id FROM documents WHERE doc_id % 4 <> 1 OR doc_id % 3 <> 0""")
+@query("""SELECT 'd' || doc_id AS doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE sha1(text) END AS sha1, source, 0 AS needs_review, CASE WHEN doc_id % 2 = 0 THEN 's' END AS superseded_by_doc_id FROM documents
+UNION ALL SELECT 'b' || item_id, sha1(text), 'benchmark', 0, NULL FROM benchmark UNION ALL SELECT 'p' || page_id, sha1(html), url, 0, NULL FROM pages""")
 def upsert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored, incoming = _versions(spark, sf_dir)
     return store.upsert(stored, incoming, "doc_id", carried=["superseded_by_doc_id"])
