@@ -19,11 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset a temporary one on a local master, and an error on a cluster, whose machines don't share it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or tempfile.mkdtemp(prefix="clausebase-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of ``spark.checkpoint.dir`` (a temporary one only where that is unset)."""
+    """Cuts the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausebase-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     _release(sc)  # those of earlier calls, whose plans their callers have let go by now
     out = df.checkpoint()
     _release(sc)

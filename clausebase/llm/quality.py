@@ -26,6 +26,8 @@ BITS = 18
 BINS = 1 << BITS
 TARGET_ROWS = 20_000
 CELLS = 4096
+#: Rows of a border cell that one task may rank.
+EDGE_ROWS = 100_000
 
 
 def features(part: K.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -105,25 +107,35 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 1) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_weight double, mean_weight double, gumbel double")
 
 
-def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
-    """The k rows with the largest key, ties by the lower doc_id; no row goes through a single task.
+def top_k(scored: DataFrame, key: str, k: int, edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """The k rows with the largest key, ties by the lower doc_id (null last); no task ranks more than ``edge_rows`` rows.
 
     An approximate percentile table cuts the keys into cells; whole cells
-    above the border are taken, and only the border cell is ranked.
+    above the border are taken, and only the border cell is ranked.  A border
+    cell of more than ``edge_rows`` is cut again, one of equal keys by doc_id.
+    Of rows with equal key and doc_id any are taken.  Only ids above 2^53 that
+    a double can't tell apart are ranked in one task whatever their number.
     """
-    n = scored.count()
+    ties = scored.withColumn("tie_of_key", F.coalesce(F.bitwise_not(F.col("doc_id").cast("long")), F.lit(-(2**63))))
+    return _largest(ties, [key, "tie_of_key"], k, edge_rows).drop("tie_of_key")
+
+
+def _largest(rows: DataFrame, keys: list[str], k: int, edge_rows: int) -> DataFrame:
+    n = rows.count()
     if k >= n:
-        return scored
-    if k <= 0:
-        return scored.limit(0)
-    cuts = scored.agg(F.percentile_approx(key, [i / CELLS for i in range(1, CELLS)], 4 * CELLS).alias("c")).first()["c"]
+        return rows
+    if k <= 0 or not keys:
+        return rows.limit(max(k, 0))
+    key = keys[0]
+    cuts = rows.agg(F.percentile_approx(key, [i / CELLS for i in range(1, CELLS)], 4 * CELLS).alias("c")).first()["c"]
     cuts = sorted(set(cuts))
     groups = [cuts[i : i + 64] for i in range(0, len(cuts), 64)]
+    kind = rows.schema[key].dataType.simpleString()
     # JSON of a literal is folded once; a transform of one would be evaluated for each row
-    coarse, fine = F.from_json(F.lit(json.dumps([g[0] for g in groups])), "array<double>"), F.from_json(F.lit(json.dumps(groups)), "array<array<double>>")
+    coarse, fine = F.from_json(F.lit(json.dumps([g[0] for g in groups])), f"array<{kind}>"), F.from_json(F.lit(json.dumps(groups)), f"array<array<{kind}>>")
     group = F.size(F.filter(coarse, lambda c: c <= F.col(key)))
     cell = F.when(group == 0, 0).otherwise((group - 1) * 64 + F.size(F.filter(F.element_at(fine, group), lambda c: c <= F.col(key))))
-    held = scored.withColumn("cell_of_key", cell.cast("int"))
+    held = rows.withColumn("cell_of_key", cell.cast("int"))
     sizes = {r["cell_of_key"]: r["count"] for r in held.groupBy("cell_of_key").count().collect()}  # CELLS rows at most
     left, border = k, -1
     for c in sorted(sizes, reverse=True):
@@ -131,9 +143,23 @@ def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
             border = c
             break
         left -= sizes[c]
-    above = held.where(F.col("cell_of_key") > border)
-    edge = held.where(F.col("cell_of_key") == border).orderBy(F.col(key).desc(), F.col("doc_id").asc_nulls_last()).limit(left) if left else held.limit(0)
-    return above.unionByName(edge).drop("cell_of_key")
+    above = held.where(F.col("cell_of_key") > border).drop("cell_of_key")
+    edge = held.where(F.col("cell_of_key") == border).drop("cell_of_key")
+    if left == 0:
+        return above
+    ranked = edge.orderBy(*[F.col(c).desc() for c in keys]).limit(left)
+    if sizes[border] <= edge_rows:
+        return above.unionByName(ranked)
+    if sizes[border] < n:
+        return above.unionByName(_largest(edge, keys, left, edge_rows))
+    # a single cell: its one cut is the lowest key, and nearly all rows have it
+    more, same = rows.where(F.col(key) > F.lit(cuts[0])), rows.where(F.col(key) <= F.lit(cuts[0]))
+    n_more = more.count()
+    if n_more == n:
+        return ranked
+    if n_more >= left:
+        return _largest(more, keys, left, edge_rows)
+    return more.unionByName(_largest(same, keys[1:], left - n_more, edge_rows))
 
 
 def resample(docs: DataFrame, labels: DataFrame, seed: int = 1, share: float | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from clausebase.llm import components, decontaminate, kernels, language, lines, merkle, mixing, near, pii, quality, suffix, tokens  # noqa: E402
+from clausebase.llm import common, components, decontaminate, kernels, language, lines, merkle, mixing, near, pii, quality, suffix, tokens  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 RNG = random.Random(11)
@@ -366,6 +366,21 @@ def test_top_k(spark):
         assert {r.doc_id for r in quality.top_k(df, "key", k).collect()} == want
 
 
+@pytest.mark.parametrize("keys", [[0.5], [0.5] * 99 + [0.7], [0.5] * 99 + [0.1], [i / 7 for i in range(50)]])
+def test_top_k_cuts_a_large_border_cell_again(spark, keys):
+    """Ties, a null doc_id and repeated rows in a border cell of more rows than one task may rank."""
+    rows = [(None if i == 17 else i, keys[i % len(keys)]) for i in range(2000)] + [(3, keys[3 % len(keys)])] * 100
+    df = spark.createDataFrame(rows, "doc_id long, key double").repartition(4).cache()
+    order = sorted(rows, key=lambda r: (-r[1], r[0] is None, r[0] or 0))
+    for k in (5, 1100, 2099):
+        got = [(r.doc_id, r.key) for r in quality.top_k(df, "key", k, edge_rows=10).collect()]
+        assert sorted(got, key=lambda r: (-r[1], r[0] is None, r[0] or 0)) == order[:k]
+
+
+def test_shared_folder_is_that_of_the_session(spark):
+    assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_kernels():
     import pyarrow as pa
 
