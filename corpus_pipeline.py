@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from clausebase.llm import decontaminate, language, lines, mixing, near
-from clausebase.llm.common import table
+from clausebase.llm.common import shared_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the tables between them go to the shared folder of ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    import tempfile
-
+    """All stages over ``documents``; the tables between them go to the shared folder of ``spark.checkpoint.dir``."""
     docs = table(spark, sf_dir, "documents")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="clausebase-")
+    shared = shared_folder(spark)
     for name, stage in STAGES[:-1]:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
