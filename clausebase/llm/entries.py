@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, merkle, mixing, near, pii, quality, suffix, tokens
+from . import bpe, conversations, decontaminate, language, lines, manifest, merkle, mixing, near, pii, quality, suffix, tokens
 from .common import table
 
 
@@ -54,8 +54,20 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.to_json("languages").alias("languages"))
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verified(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing_to_weights, op2_pii_sanitisation, op3_merkle_fingerprints, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_mixing_to_weights, op2_pii_sanitisation, op3_merkle_fingerprints, op4_benchmark_decontamination, op5_suffix_array_dedup, op6_line_dedup, op7_token_counts, op8_ngram_jaccard_join, op9_quality_resampling, op10_language_mixture, op11_byte_level_bpe, op12_conversation_repair, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -65,4 +77,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
         "op6_line_dedup": lines.ORACLE_SQL,
         "op8_ngram_jaccard_join": near.ORACLE_SQL,
+        "op13_merkle_manifest": manifest.ORACLE_SQL,
     }
