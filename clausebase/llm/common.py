@@ -57,3 +57,8 @@ def fence(value: Column) -> Column:
     otherwise get a copy of its whole expression, evaluated for each element.
     """
     return F.when(F.spark_partition_id() >= 0, value)
+
+
+def row_key() -> Column:
+    """A key of rows equal in doc_id and text, null apart from any value."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import durable
+from .common import durable, row_key
 from .components import connected_components
 
 WIDTH = 5
@@ -42,7 +42,7 @@ _SKETCH_STEPS = (K.mix(np.arange(1, SKETCH + 1, dtype=K.U)) | K.U(1))[:, None]
 
 _UNIT_COLUMNS = ("unit", "bin", "own", "side_a", "side_b")
 _SET_SCHEMA = "unit long, bin int, own int, side_a int, side_b int, id long, copies long, shingles binary"
-_BASE_SCHEMA = "doc_id long, set_hash long, size long, sketch binary, p1 array<long>, p2 array<long>, of2 array<long>, p3 array<long>, of3 array<long>"
+_BASE_SCHEMA = "rid long, doc_id long, set_hash long, size long, sketch binary, p1 array<long>, p2 array<long>, of2 array<long>, p3 array<long>, of3 array<long>"
 
 
 def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -84,7 +84,7 @@ def paths(own: np.ndarray, threshold: float, runs: int) -> tuple[list[np.ndarray
 def _describe(threshold: float, runs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.column("rid")
             for part in K.slices(batch.column("text")):
                 word, _, _, bounds = K.words(part)
                 out: dict[str, list] = {k: [] for k in ("at", "set_hash", "size", "sketch", "p1", "p2", "of2", "p3", "of3")}
@@ -97,7 +97,8 @@ def _describe(threshold: float, runs: int):
                     for name, value in (("at", part.first + k), ("set_hash", int(K.mix(own).sum().view(np.int64))), ("size", len(own)), ("sketch", sketch.tobytes()), ("p1", p1.view(np.int64)), ("p2", p2.view(np.int64)), ("of2", of2.view(np.int64)), ("p3", p3.view(np.int64)), ("of3", of3.view(np.int64))):
                         out[name].append(value)
                 longs = {k: pa.array(out[k], pa.list_(pa.int64())) for k in ("p1", "p2", "of2", "p3", "of3")}
-                yield pa.record_batch({"doc_id": ids.take(pa.array(out["at"], pa.int64())), "set_hash": pa.array(out["set_hash"], pa.int64()), "size": pa.array(out["size"], pa.int64()), "sketch": pa.array(out["sketch"], pa.binary())} | longs)
+                at = pa.array(out["at"], pa.int64())
+                yield pa.record_batch({"rid": keys.take(at), "doc_id": ids.take(at), "set_hash": pa.array(out["set_hash"], pa.int64()), "size": pa.array(out["size"], pa.int64()), "sketch": pa.array(out["sketch"], pa.binary())} | longs)
 
     return run
 
@@ -223,24 +224,17 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({k: rest.column(k) for k in (*_UNIT_COLUMNS, "id", "copies")} | {"shingles": pa.array(sets, pa.binary())})
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, class_id, n_links for every row of docs.
+def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Of documents with an id and words: rid, doc_id, class_id, keeper, n_links for every row; and rid of all rows, doc_id, text.
 
-    class_id is the lowest doc_id of the connected component of links (Jaccard
-    index of the shingle sets at or over the threshold), n_links the number of
-    other documents linked to this one, copies included.  Words are runs of
-    ASCII letters, digits and non-ASCII characters, ASCII lower-cased; a text
-    of one to four words has one shingle, all its words.  A text with no words
-    (null too) is alone in its class.  doc_id is taken as the key: rows that
-    repeat one with equal text are copies of each other, and a null doc_id gets
-    no links.
+    keeper is the rid (key of doc_id and text) of the class's row with the
+    lowest doc_id, of several such texts the one with the lowest rid.
     """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_key())
     base = durable(ids.where("doc_id is not null and text is not null").mapInArrow(_describe(threshold, runs_needed()), _BASE_SCHEMA))
-    classes = base.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    classes = durable(classes)
-    reps = base.join(classes.select("set_hash", F.col("id").alias("doc_id"), "copies"), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
-    reps = durable(reps.select(F.col("doc_id").alias("id"), "set_hash", "size", "sketch", "copies", "p1", "p2", "of2", "p3", "of3"))
+    classes = durable(base.groupBy("set_hash").agg(F.min(F.struct("doc_id", "rid")).alias("first"), F.count("*").alias("copies")).select("set_hash", F.col("first.rid").alias("id"), F.col("first.doc_id").alias("doc_id"), "copies"))
+    reps = base.join(classes.select("set_hash", F.col("id").alias("rid"), "copies"), ["set_hash", "rid"]).dropDuplicates(["set_hash"])
+    reps = durable(reps.select(F.col("rid").alias("id"), "set_hash", "size", "sketch", "copies", "p1", "p2", "of2", "p3", "of3"))
 
     # paths from level to level
     first = reps.select("id", F.explode("p1").alias("g"))
@@ -264,30 +258,55 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     # each group's sets once, verified exactly
     group_sizes = groups.groupBy("g").agg(F.count("*").alias("n"))
-    dealt = blocked(groups, group_sizes, groups.count()).join(reps.select("id", "copies"), "id").withColumnRenamed("id", "doc_id")
-    texts = ids.join(dealt, "doc_id").select(*_UNIT_COLUMNS, F.col("doc_id").alias("id"), "copies", "text")
+    dealt = blocked(groups, group_sizes, groups.count()).join(reps.select("id", "copies"), "id").withColumnRenamed("id", "rid")
+    once = ids
+    repeated = base.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid")
+    if not repeated.isEmpty():  # only such rows are shuffled with their texts
+        once = ids.join(repeated, "rid", "left_anti").unionByName(ids.join(repeated, "rid", "left_semi").dropDuplicates(["rid"]))
+    texts = once.join(dealt, "rid").select(*_UNIT_COLUMNS, F.col("rid").alias("id"), "copies", "text")
     held = texts.mapInArrow(_sets, _SET_SCHEMA)
     found = durable(held.groupBy("bin").applyInPandas(_verify(threshold), "id long, links long, to long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("u"), F.col("to").alias("v"))).select(F.col("node").alias("id"), "component")
-    result = classes.join(links, "id", "left").join(parts, "id", "left").select("set_hash", F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = base.select("doc_id", "set_hash").join(result, "set_hash").select("doc_id", "class_id", "n_links")
-    alone = ids.select("doc_id").join(base.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone)
+    joined = durable(classes.join(links, "id", "left").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    firsts = joined.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("first"))
+    result = joined.join(firsts, "component").select("set_hash", F.col("first.doc_id").alias("class_id"), F.col("first.id").alias("keeper"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return base.select("rid", "doc_id", "set_hash").join(result, "set_hash").drop("set_hash"), ids
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, class_id, n_links for every row of docs.
+
+    class_id is the lowest doc_id of the connected component of links (Jaccard
+    index of the shingle sets at or over the threshold), n_links the number of
+    other rows linked to this one, copies included.  Words are runs of
+    ASCII letters, digits and non-ASCII characters, ASCII lower-cased; a text
+    of one to four words has one shingle, all its words.  A text with no words
+    (null too) is alone in its class.  Rows that repeat a doc_id with equal
+    text are copies of each other, different texts under one doc_id are rows of
+    their own, and a null doc_id gets no links.
+    """
+    linked, ids = _classes(docs, threshold)
+    alone = ids.select("rid", "doc_id").join(linked.select("rid").distinct(), "rid", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return linked.select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One document of each class, the one with the lowest id, all its columns as they were; documents without words stay.
+    """One row of each class, the one with the lowest doc_id, all its columns as they were; rows without words stay.
 
-    Of rows that repeat one doc_id and text one stays; rows with a null doc_id all stay.
+    Of rows that repeat one doc_id and text one stays, of several texts under
+    the lowest doc_id too; rows with a null doc_id all stay.
     """
-    gone = jaccard_classes(docs.select("doc_id", "text"), threshold).where("class_id < doc_id").select("doc_id").distinct()
-    once = docs.join(gone, "doc_id", "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    linked, _ = _classes(docs.select("doc_id", "text"), threshold)
+    linked = durable(linked)
+    gone = linked.where("rid <> keeper").select("rid").distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").select("row", row_key().alias("rid"))
+    once = keyed.join(gone, "rid", "left_anti")
+    repeated = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(row_key().alias("rid")).groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid")
     if not repeated.isEmpty():  # only such rows are shuffled with their texts
-        again = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        once = once.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return once.select(*docs.columns)
+        again = once.join(repeated, "rid", "left_semi").dropDuplicates(["rid"])
+        once = once.join(repeated, "rid", "left_anti").unionByName(again)
+    return once.select("row.*")
 
 
 ORACLE_SQL = r"""
