@@ -111,11 +111,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents that contain no item, all columns as they were."""
+    """The documents that contain no item, all columns as they were, whatever their names."""
+    own = docs.select(F.struct("*").alias("row"), "doc_id", "text")
     if benchmark.count() > BLOCK * LITERAL_BLOCKS:
-        gone = _joined(docs, benchmark, threshold).select(F.col("row").alias("_benchmark_row")).distinct()
-        return docs.withColumn("_benchmark_row", _row()).join(gone, "_benchmark_row", "left_anti").select(*docs.columns)
-    return with_hits(docs, benchmark, threshold).where(F.size("benchmark_hits") == 0).select(*docs.columns)
+        gone = _joined(docs.select("doc_id", "text"), benchmark, threshold).select(F.col("row").alias("key")).distinct()
+        return own.select("row", _row().alias("key")).join(gone, "key", "left_anti").select("row.*")
+    return with_hits(own.select("row", "text"), benchmark, threshold).where(F.size("benchmark_hits") == 0).select("row.*")
 
 
 ORACLE_SQL = r"""

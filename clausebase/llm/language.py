@@ -185,7 +185,8 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
                 good[part.first : part.last] = (n_words > 0) & (share.max(1, initial=0) >= least) & letters[part.first : part.last]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema([batch.schema.field(k) for k in range(len(names))])).filter(pa.array(good))
 
-    rows = docs.select("*", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias("letters_in_text"))
+    flag = "letters" + "_" * max(map(len, names))  # no column has that name
+    rows = docs.select("*", F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias(flag))
     return rows.mapInArrow(run, docs.schema)
 
 

@@ -209,17 +209,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first_lines(docs: DataFrame) -> DataFrame:
-    """The documents with repeated lines taken out of text and n_chars counted anew; documents left with no token go, all other columns stay."""
-    names = docs.columns
-    own = docs.withColumns({"rid": F.xxhash64(F.col("doc_id"), F.coalesce("text", F.lit("")))})
-    gone = removed_lines(own.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
+    """The documents with repeated lines taken out of text and n_chars counted anew; documents left with no token go, all other columns stay, whatever their names."""
+    text = F.coalesce("text", F.lit(""))
+    own = docs.select(F.struct("*").alias("row"), "text", F.xxhash64(F.col("doc_id"), text).alias("rid"))
+    gone = removed_lines(docs.select(F.xxhash64(F.col("doc_id"), text).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))
     joined = own.join(gone, "rid", "left").withColumn("all", F.split("text", "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
-    out = joined.withColumn("text", fence(text)).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
+    out = joined.withColumn("text", fence(left)).where(F.col("gone").isNull() | F.col("text").rlike(r"\S"))
+    anew = {"text": F.col("text"), "n_chars": F.char_length("text")}
+    return out.select(*[anew.get(f.name, F.col("row")[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema])
 
 
 ORACLE_SQL = r"""

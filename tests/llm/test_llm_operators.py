@@ -422,3 +422,31 @@ def test_pipeline_small(spark, tmp_path):
     assert set(seen["benchmark_decontamination"]) == set(seen["ngram_jaccard"]) - dirty
     assert sum(r.tokens_taken for r in seen["mixing_to_weights"].values()) == int(sum(len(r.text.split()) for r in seen["benchmark_decontamination"].values()) * mixing.BUDGET_SHARE)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(seen["mixing_to_weights"])
+
+
+INTERNAL = ["rid", "id", "k", "g", "all", "gone", "row", "key", "own_words", "own_shingles", "own_minima", "benchmark_hits", "letters_in_text", "letters", "at", "n", "unit", "bin", "copies", "keeper", "class_id", "set_hash", "size", "component"]
+
+
+def test_stages_leave_columns_of_any_name(spark):
+    """Names that the operators use themselves keep the caller's values."""
+    texts = [*near_docs()[:30], (5000, "zz top\nzz top\nalpha beta gamma delta epsilon zeta"), (5001, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id long, text string")
+    df = frame(spark, texts).withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in INTERNAL})
+    for out in (language.keep_identified(df, 0.0), lines.keep_first_lines(df), near.keep_one(df), decontaminate.keep_clean(df, bench)):
+        assert out.columns == df.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in INTERNAL)
+    assert 5001 not in {r.doc_id for r in decontaminate.keep_clean(df, bench).collect()}
+    assert {r.doc_id: r.text for r in lines.keep_first_lines(df).collect()}[5000] == "zz top\nalpha beta gamma delta epsilon zeta"
+
+
+def test_links_of_repeated_rows_and_ids(spark):
+    rng = random.Random(8)
+    a = prose(rng, 60).split()
+    b = [*a[:-1], "other"]
+    a, b, c = " ".join(a), " ".join(b), prose(rng, 60)
+    rows = [(1, a), (1, a), (2, b), (3, c), (3, a), (None, a)]
+    got = sorted((r.doc_id or -1, r.class_id or -1, r.n_links) for r in near.jaccard_classes(frame(spark, rows)).collect())
+    assert got == sorted([(1, 1, 3), (1, 1, 3), (2, 1, 3), (3, 3, 0), (3, 1, 3), (-1, -1, 0)])
+    kept = sorted((r.doc_id or -1, r.text) for r in near.keep_one(frame(spark, rows)).collect())
+    assert kept == sorted([(1, a), (3, c), (-1, a)])
