@@ -1,8 +1,10 @@
-"""Command line: ingest, resolve, backfill, coverage, ask, validate over a store folder.
+"""Command line: ingest, resolve, backfill, update, coverage, ask, validate, clean over a store folder.
 
     python -m clausebase ingest --store DIR --source DIR [--checkpoint DIR]
     python -m clausebase resolve --store DIR
     python -m clausebase backfill --store DIR
+    python -m clausebase update --store DIR --source DIR [--checkpoint DIR]
+    python -m clausebase clean --store DIR
     python -m clausebase coverage --store DIR --index FILE
     python -m clausebase ask --store DIR "question" [--exhaustive]
     python -m clausebase validate --store DIR cases.json
@@ -11,24 +13,25 @@
 from __future__ import annotations
 
 import argparse
+import os
+import socket
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from .operators import extract, keyword, report, resolve, retrieval
-from .schemas import CHUNKS, DOCUMENTS, REFS
+from .operators import keyword, report, retrieval
+from .schemas import CHUNKS, DOCUMENTS
 from .sources.index import read_cases, read_index
-from .streaming.ingest import Store, ingest_stream
+from .streaming.ingest import Store, backfill_store, index_of, ingest_stream, resolve_store, run_update, whole_index_of
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="clausebase")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("ingest", "resolve", "backfill", "coverage", "ask", "validate"):
+    for name in ("ingest", "resolve", "backfill", "update", "clean", "coverage", "ask", "validate"):
         command = commands.add_parser(name)
         command.add_argument("--store", required=True)
-        if name == "ingest":
+        if name in ("ingest", "update"):
             command.add_argument("--source", required=True)
             command.add_argument("--checkpoint")
         if name == "coverage":
@@ -41,19 +44,17 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _index(store: Store, question: str | None = None) -> keyword.KeywordIndex:
+    """The stored index, or that part of it which a question needs; of a store without one, an index of its chunks."""
+    state = store.snapshot()
+    if "postings" not in state.tables:
+        return keyword.build_index(store.read("chunks", CHUNKS))
+    return whole_index_of(state) if question is None else index_of(state, question)
+
+
 def _validate(spark: SparkSession, store: Store, path: str) -> int:
     """0 if every case passes."""
-    chunks = store.read("chunks", CHUNKS)
-    index = keyword.build_index(chunks)
-    cases = read_cases(spark, path)
-    cited = None
-    for case in cases.toLocalIterator():  # a list of questions written by hand
-        hits, _ = retrieval.retrieve(case["question"], chunks, index, exhaustive=case["exhaustive"])
-        own = retrieval.citations(hits).select(F.lit(case["question"]).alias("question"), "circular_number", "title")
-        cited = own if cited is None else cited.unionByName(own)
-    if cited is None:
-        return 0
-    judged = retrieval.judged_cases(cases, cited).collect()
+    judged = retrieval.validate(read_cases(spark, path), store.read("chunks", CHUNKS), _index(store)).collect()  # a list of questions written by hand
     for row in judged:
         print("PASS" if row["passed"] else "FAIL", row["question"], "--", row["reason"])
     return int(not all(row["passed"] for row in judged))
@@ -63,25 +64,25 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("clausebase").getOrCreate()
     store = Store(spark, args.store)
+    ingest = lambda: ingest_stream(spark, args.source, store, args.checkpoint or f"{args.store}/stream")
     if args.command == "ingest":
-        ingest_stream(spark, args.source, store, args.checkpoint or f"{args.store}/stream")
+        ingest()
     elif args.command == "resolve":
-        documents, chunks = store.read("documents", DOCUMENTS), store.read("chunks", CHUNKS)
-        found = resolve.resolve(documents, chunks, store.read("refs", REFS).withColumn("ref_ord", F.struct("doc_id", "ref_ord")))
-        print(found.counters.first().asDict())
-        store.write("chunks", resolve.apply_statuses(chunks, found))
-        store.write("documents", resolve.apply_rollups(documents, found))
+        print(resolve_store(store))
     elif args.command == "backfill":
-        documents, chunks, stats = extract.backfill(store.read("documents", DOCUMENTS), store.read("chunks", CHUNKS))
-        print(stats.first().asDict())
-        store.write("documents", documents)
-        store.write("chunks", chunks)
+        print(backfill_store(store))
+    elif args.command == "update":
+        state = run_update(store, [("extracting", ingest), ("resolving", lambda: resolve_store(store))], f"{socket.gethostname()}:{os.getpid()}")
+        print(state)
+        return int(state.get("status") in ("failed", "busy"))
+    elif args.command == "clean":
+        print(len(store.clean()), "folders removed")
     elif args.command == "coverage":
         for row in report.coverage_lines(read_index(spark, args.index), store.read("documents", DOCUMENTS)).toLocalIterator():
             print(row["line"])
     elif args.command == "ask":
         chunks = store.read("chunks", CHUNKS)
-        hits, mode = retrieval.retrieve(args.question, chunks, keyword.build_index(chunks), exhaustive=args.exhaustive)
+        hits, mode = retrieval.retrieve(args.question, chunks, _index(store, args.question), exhaustive=args.exhaustive)
         print(f"mode: {mode}")
         for row in retrieval.citations(hits).orderBy("rank").toLocalIterator():  # 100 at most
             print(f"[{row['rank']}] {row['title']} ({row['circular_number'] or 'no number'}), clause {row['clause_ref'] or '-'}, {row['status']}")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: the accepted forms
-NUMERIC = r"\b(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{2,4})\b"
-TEXTUAL = r"\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})\b"
-NEARBY = r"\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}|\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\.?,?\s+\d{4}"
+NUMERIC = r"(?U)\b(\d{1,2})[.\-/](\d{1,2})[.\-/](\d{2,4})\b"
+TEXTUAL = r"(?U)\b(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]{3,9})\.?,?\s+(\d{4})\b"
+NEARBY = r"(?U)\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}|\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\.?,?\s+\d{4}"
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 PIVOT = 69
+#: Decimal digits of other scripts, which the patterns accept, and their values.
+DIGITS = {c: str(n) for c in map(chr, range(0x80, 0x10000)) if (n := unicodedata.decimal(c, None)) is not None}
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -52,6 +55,7 @@ def _textual(p: Column) -> Column:
 
 def parse_date(text: Column) -> Column:
     """The first numeric date if it exists in the calendar, else the first textual one, else null."""
+    text = F.translate(text, "".join(DIGITS), "".join(DIGITS.values()))
     return F.coalesce(let(_parts(text, NUMERIC), _numeric), let(_parts(text, TEXTUAL), _textual))
 
 

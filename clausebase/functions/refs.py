@@ -11,8 +11,8 @@ from .dates import let, parse_date
 HEAD_CHARS = 1500
 LOOKAHEAD_CHARS = 200
 DATE = r"\d{1,2}[.\-/]\d{1,2}[.\-/]\d{2,4}|\d{1,2}(?:st|nd|rd|th)?\s+[A-Za-z]{3,9}\.?,?\s+\d{4}"
-OWN_NUMBER = r"(?i)(?:F\.?\s*)?(?:N\s?o\.?|Ref\.?\s*N\s?o\.?|Number)\s*[:.]?\s*((?=[A-Za-z0-9/_.\-()]*\d)[A-Za-z0-9][A-Za-z0-9/_.\-()]{2,40})"
-OWN_DATE = r"(?iu)(?:dated|\bdt\.?|dinank|दिनांक)\s*[:.,]?\s*(" + DATE + ")"
+OWN_NUMBER = r"(?iU)(?:F\.?\s*)?(?:N\s?o\.?|Ref\.?\s*N\s?o\.?|Number)\s*[:.]?\s*((?=[A-Za-z0-9/_.\-()]*\d)[A-Za-z0-9][A-Za-z0-9/_.\-()]{2,40})"
+OWN_DATE = r"(?iU)(?:dated|\bdt\.?|dinank|दिनांक)\s*[:.,]?\s*(" + DATE + ")"
 RELATIONS = {
     "supersession": r"in\s+supersession\s+of",
     "partial_modification": r"in\s+partial\s+modification\s+of",
@@ -21,7 +21,7 @@ RELATIONS = {
     "continuation": r"in\s+continuation\s+of",
 }
 REFERENCE = r"(Commercial\s+Circular|Circular|letter)\s*(?:No\.?|Number)?\s*([A-Za-z0-9./\-]+)(?:\s+of\s+(\d{4}))?(?:\s*,?\s*dated\s+(" + DATE + "))?"
-CLAUSE = r"(?i)\b(?:Clause|Para(?:graph)?|Item|Sub-?Clause)\s*[:.\-]?\s*(\d+(?:\.\d+)*|\([a-zA-Z0-9]+\))"
+CLAUSE = r"(?iU)\b(?:Clause|Para(?:graph)?|Item|Sub-?Clause)\s*[:.\-]?\s*(\d+(?:\.\d+)*|\([a-zA-Z0-9]+\))"
 FULL = ("supersession",)
 PARTIAL = ("partial_modification", "modification", "amendment")
 INFORMATIONAL = ("continuation",)
@@ -39,20 +39,25 @@ def document_ref(text: Column) -> Column:
 
 
 def _of_relation(text: Column, k: int, relation: str, phrase: str) -> Column:
-    pattern = rf"(?i)({phrase})(?=([\s\S]{{0,{LOOKAHEAD_CHARS}}}))"
-    windows = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("phrase"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("after"))
-
-    def ref(w: Column, i: Column) -> Column:
-        whole = F.concat(w["phrase"], w["after"])
-        cited = F.nullif(F.regexp_extract(w["after"], rf"(?i)^([\s\S]*?{REFERENCE})", 1), F.lit(""))
-        sentence = F.when(cited.isNotNull(), F.concat(w["phrase"], cited)).otherwise(F.substring_index(whole, ".", 1))
-        part = lambda n: _found(w["after"], "(?i)" + REFERENCE, n)
+    phrase = f"(?:{phrase})"
+    windows = F.regexp_extract_all(text, F.lit(rf"(?iU)(?=({phrase}[\s\S]{{0,{LOOKAHEAD_CHARS}}})){phrase}"), F.lit(1))
+
+    def ref(whole: Column, i: Column) -> Column:
+        after = F.regexp_replace(whole, rf"(?iU)^{phrase}", "")
+        own = F.struct(after.alias("after"), F.nullif(F.regexp_extract(after, rf"(?iU)^([\s\S]*?{REFERENCE})", 1), F.lit("")).alias("cited"))
+        return let(own, lambda x: _reference(whole, x["after"], x["cited"], i))
+
+    def _reference(whole: Column, after: Column, cited: Column, i: Column) -> Column:
+        said = F.substring(whole, F.lit(1), F.char_length(whole) - F.char_length(after) + F.char_length(cited))
+        sentence = F.when(cited.isNotNull(), said).otherwise(F.substring_index(whole, ".", 1))
+        part = lambda n: _found(cited, "(?iU)" + REFERENCE, n)
         return F.struct(
             F.lit(relation).alias("relation"), F.lit(k).alias("relation_ord"), i.alias("position"), part(1).alias("referenced_label"), part(2).alias("referenced_number"), part(3).alias("referenced_year"),
-            part(4).alias("referenced_date_raw"), F.btrim(_found(whole, CLAUSE, 1), F.lit("()")).alias("referenced_clause"), F.regexp_replace(sentence, r"^\s+|\s+$", "").alias("matched_sentence"),
+            part(4).alias("referenced_date_raw"), F.btrim(_found(whole, CLAUSE, 1), F.lit("()")).alias("referenced_clause"), F.regexp_replace(sentence, r"(?U)^\s+|\s+$", "").alias("matched_sentence"),
         )
 
-    return F.transform(windows, ref)
+    # most texts hold no phrase at all, which one plain search tells
+    return F.transform(F.when(text.rlike(f"(?iU){phrase}"), windows).otherwise(F.array().cast("array<string>")), ref)
 
 
 def references(text: Column) -> Column:

@@ -6,15 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: patterns, sizes, labels and templates
-CLAUSE_START = r"^\s*(?:(?:Para(?:graph)?|Clause|Cl)\.?\s*)?(\d+(?:\.\d+)*\.?|\([a-zA-Z0-9ivxIVX]{1,5}\)|[A-Z]\.)\s+"
-SENTENCE_BREAK = r"(?<=[.;:])\s+(?=[A-Z0-9(])"
-BLANK_LINE = r"\n\s*\n"
+CLAUSE_START = r"(?U)^\s*(?:(?:Para(?:graph)?|Clause|Cl)\.?\s*)?(\d+(?:\.\d+)*\.?|\([a-zA-Z0-9ivxIVX]{1,5}\)|[A-Z]\.)\s+"
+SENTENCE_BREAK = r"(?U)(?<=[.;:])\s+(?=[A-Z0-9(])"
+BLANK_LINE = r"(?U)\n\s*\n"
 FORBIDDEN = r'[<>:"/\\|?*]'
 EXHAUSTIVE = r"(?i)\blist\s+all\b|\bevery\s+circular\b|\ball\s+circulars?\b|\bsummarize\s+all\b|\ball\s+rules?\s+on\b|\ball\s+of\s+the\b|\bcomplete\s+list\b"
 STATUS_LABELS = {"superseded": "SUPERSEDED by", "amended": "AMENDED by", "ambiguous": "AMBIGUOUS --"}
 NO_EXCERPTS = "No retrieved excerpts were found in the knowledge base for this question."
 
 
+def fence(value: Column) -> Column:
+    """Computed where it stands: filters, lambdas and generators above otherwise get a copy of the whole expression."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)\S+"))
 

@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clause_ref, paragraphs, sentences, word_count
+from ..functions.text import clause_ref, fence, paragraphs, sentences, word_count
 
 MIN_WORDS = 200
 MAX_WORDS = 500
 
 
-def _fenced(value: Column) -> Column:
-    """Computed where it stands: filters and lambdas above otherwise get a copy of the whole expression."""
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
 def units(pages: Column, max_words: int) -> Column:
     """Paragraphs in order, those over max_words as sentences: struct(text, page, own, words, kind, first, last).
 
@@ -61,14 +56,14 @@ def chunk_documents(docs: DataFrame, min_words: int = MIN_WORDS, max_words: int
     its own row.
     """
     rest = [c for c in docs.columns if c != "pages"]
-    own = docs.select(*rest, _fenced(units(F.col("pages"), max_words)).alias("chunk_units")).where(F.size("chunk_units") > 0)
-    own = own.select(*rest, "chunk_units", _fenced(pack(F.col("chunk_units"), min_words, max_words)).alias("chunk_numbers"))
+    own = docs.select(*rest, fence(units(F.col("pages"), max_words)).alias("chunk_units")).where(F.size("chunk_units") > 0)
+    own = own.select(*rest, "chunk_units", fence(pack(F.col("chunk_units"), min_words, max_words)).alias("chunk_numbers"))
     at = F.sequence(F.lit(0), F.size("chunk_numbers") - 1)
     starts = F.filter(at, lambda i: (i == 0) | (F.get("chunk_numbers", i) != F.get("chunk_numbers", i - 1)))
-    own = own.select(*rest, "chunk_units", _fenced(starts).alias("chunk_starts"))
+    own = own.select(*rest, "chunk_units", fence(starts).alias("chunk_starts"))
     own = own.select(*rest, "chunk_units", "chunk_starts", F.posexplode("chunk_starts").alias("chunk_index", "chunk_start"))
     end = F.coalesce(F.get("chunk_starts", F.col("chunk_index") + 1), F.size("chunk_units"))
-    own = own.select(*rest, "chunk_index", _fenced(F.slice("chunk_units", F.col("chunk_start") + 1, end - F.col("chunk_start"))).alias("part"), F.filter(F.transform(F.slice("chunk_units", 1, F.col("chunk_start") + 1), lambda u: u["own"]), lambda c: c.isNotNull()).alias("seen"))
+    own = own.select(*rest, "chunk_index", fence(F.slice("chunk_units", F.col("chunk_start") + 1, end - F.col("chunk_start"))).alias("part"), F.filter(F.transform(F.slice("chunk_units", 1, F.col("chunk_start") + 1), lambda u: u["own"]), lambda c: c.isNotNull()).alias("seen"))
     page = F.transform("part", lambda u: u["page"])
     return own.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("::chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), *rest, "chunk_index",

@@ -1,22 +1,31 @@
 """Keyword search: an inverted index with positions, phrases, and BM25 over text and title.
 
-The index is a table (``postings``) to be kept bucketed or partitioned by term;
-a query touches the rows of its terms only.
+``build_index`` makes an index of a table for one session.  Kept in a store, the
+index is a table of postings in folders by a bucket of the term, sorted by term:
+a question reads the folders of its terms, and postings of replaced documents
+are dead with the document.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fence
+
 # fixed values: ranking constants, and how far the title's positions lie from the text's
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 TITLE_OFFSET = 1_000_000_000
 TOKEN = r"[\p{L}\p{N}]+"
+#: The largest number of hits that any question of a batch may ask for.
+MOST_HITS = 60
+#: Folders of a stored index.
+BUCKETS = 32
 
 
 def _accents() -> tuple[str, str]:
@@ -30,7 +39,11 @@ ACCENTED, BASES = _accents()
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, BASES), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
+
+
+def folded(text: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), ACCENTED, BASES)
 
 
 def phrases(query: str) -> list[list[str]]:
@@ -50,16 +63,46 @@ class KeywordIndex:
     mean_length: float
 
 
+def _places(title: bool) -> Column:
+    """All terms of a chunk with their positions, the title's far behind the text's."""
+    part = lambda c, shift: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), (i + shift).alias("pos")))
+    return F.concat(part("text", 0), part("title", TITLE_OFFSET)) if title else part("text", 0)
+
+
 def build_index(chunks: DataFrame, title: bool = True) -> KeywordIndex:
     """From chunk_id, text and, if title is set, title. One aggregate runs at once, for the corpus figures."""
-    part = lambda c, shift: F.transform(tokens(F.col(c)), lambda t, i: F.struct(t.alias("term"), (i + shift).alias("pos")))
-    own = chunks.select("chunk_id", F.concat(part("text", 0), part("title", TITLE_OFFSET)).alias("t") if title else part("text", 0).alias("t"))
+    own = chunks.select("chunk_id", _places(title).alias("t"))
     postings = own.select("chunk_id", F.explode("t").alias("t")).select("chunk_id", "t.term", "t.pos")
     lengths = own.select("chunk_id", F.size("t").alias("length"))
     n, mean = lengths.agg(F.count("*"), F.avg("length")).first()
     return KeywordIndex(postings, lengths, n, mean or 0.0)
 
 
+def bucket_of(term: str, buckets: int = BUCKETS) -> int:
+    """The bucket of a term, as ``postings_of`` deals it."""
+    return zlib.crc32(term.encode()) % buckets
+
+
+def postings_of(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, chunk_id, term, positions, length (of the chunk), bucket: a row for each term of each chunk (doc_id, chunk_id, text, title)."""
+    each = chunks.select("doc_id", "chunk_id", fence(_places(True)).alias("t")).select("doc_id", "chunk_id", F.size("t").alias("length"), F.explode("t").alias("t"))
+    rows = each.groupBy("doc_id", "chunk_id", "length", F.col("t.term").alias("term")).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))  # one chunk's
+    return rows.withColumn("bucket", (F.crc32("term") % buckets).cast("int"))
+
+
+def lengths_of(chunks: DataFrame) -> DataFrame:
+    """doc_id, n_chunks, n_tokens of each document."""
+    own = chunks.select("doc_id", F.size(_places(True)).alias("n"))
+    return own.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_chunks"), F.sum("n").cast("int").alias("n_tokens"))
+
+
+def stored_index(postings: DataFrame, n_chunks: int, n_tokens: int, query: str, buckets: int = BUCKETS) -> KeywordIndex:
+    """The part of a stored index that a query needs; only the folders of its terms are read."""
+    terms = sorted({t for p in phrases(query) for t in p})
+    own = postings.where(F.col("bucket").isin([bucket_of(t, buckets) for t in terms]) & F.col("term").isin(terms)) if terms else postings.where(F.lit(False))
+    return KeywordIndex(own.select("chunk_id", "term", F.explode("positions").alias("pos")), own.groupBy("chunk_id").agg(F.first("length").alias("length")), n_chunks, n_tokens / n_chunks if n_chunks else 0.0)
+
+
 def search(index: KeywordIndex, query: str, limit: int) -> DataFrame:
     """chunk_id, bm25 (more negative is better) of the chunks that hold all phrases, best first, ties by chunk_id."""
     wanted = phrases(query)
@@ -78,6 +121,39 @@ def search(index: KeywordIndex, query: str, limit: int) -> DataFrame:
     return total.select("chunk_id", "bm25").orderBy(F.round("bm25", 9), "chunk_id").limit(limit)
 
 
+def question_terms(questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """key, n_phrases, phrase, size, offset, term: a row for each token of each question (key, question)."""
+    words = F.split(F.replace(folded(F.col("question")), F.lit('"'), F.lit(" ")), r"(?U)\s+")
+    found = F.filter(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(TOKEN), F.lit(0))), lambda p: F.size(p) > 0)
+    each = questions.select(key, fence(found).alias("p")).select(key, F.size("p").alias("n_phrases"), F.posexplode("p").alias("phrase", "own"))
+    return each.select(key, "n_phrases", "phrase", F.size("own").alias("size"), F.posexplode("own").alias("offset", "term"))
+
+
+def search_many(index: KeywordIndex, questions: DataFrame, limit: Column | int, key: str = "question_id") -> DataFrame:
+    """key, chunk_id, bm25, rank of the best hits of every question (key, question), as ``search`` finds them one by one, in one plan.
+
+    limit may be a column of questions.  Only limit rows of a question leave a
+    task of the last shuffle's map side.  A question without tokens has no hits,
+    a repeated key is one question only if its rows are equal.
+    """
+    asked = questions.select(key, "question", (F.lit(limit) if isinstance(limit, int) else limit).alias("most")).distinct()
+    terms = question_terms(asked, key)
+    hits = index.postings.join(terms, "term")
+    places = hits.groupBy(key, "n_phrases", "chunk_id", "phrase", "size", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count_distinct("offset").alias("n")).where("n = size")
+    counted = places.groupBy(key, "n_phrases", "chunk_id", "phrase").agg(F.count("*").alias("f"))
+    df = counted.groupBy(key, "phrase").agg(F.count("*").alias("n_chunks"))
+    idf = F.greatest(F.log((F.lit(float(index.n_chunks)) - F.col("n_chunks") + 0.5) / (F.col("n_chunks") + 0.5)), F.lit(LEAST_IDF))
+    scored = counted.join(df.select(key, "phrase", idf.alias("idf")), [key, "phrase"]).join(index.lengths, "chunk_id")
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / index.mean_length))
+    total = scored.groupBy(key, "n_phrases", "chunk_id").agg((-F.sum(part)).alias("bm25"), F.count("*").alias("n")).where("n = n_phrases")
+    order = Window.partitionBy(key).orderBy(F.round("bm25", 9), "chunk_id")
+    ranked = total.select(key, "chunk_id", "bm25").withColumn("rank", F.row_number().over(order))
+    if isinstance(limit, int):
+        return ranked.where(F.col("rank") <= limit)
+    most = asked.select(key, "most")
+    return ranked.where(F.col("rank") <= MOST_HITS).join(most, key).where(F.col("rank") <= F.col("most")).drop("most")
+
+
 def like_search(chunks: DataFrame, query: str, limit: int) -> DataFrame:
     """Chunks whose text or title contains the query as a pattern of LIKE, by chunk_id."""
     return chunks.where(F.col("text").ilike(f"%{query}%") | F.col("title").ilike(f"%{query}%")).orderBy("chunk_id").limit(limit)

@@ -35,7 +35,11 @@ def classify(refs: DataFrame, documents: DataFrame, doc_order: str = "doc_id") -
     targets = numbered.where("number_key is not null").groupBy("number_key").agg(F.max("t").alias("t")).select("number_key", "t.target_id", "t.target_date")
     sources = documents.select("doc_id", F.lit(True).alias("has_source"), F.coalesce("date_parsed", F.lit("")).alias("source_date"), summary(F.col("title"), F.col("document_number"), F.col("date_parsed")).alias("source_summary"))
     joined = refs.withColumn("number_key", normal_number(F.col("referenced_number"))).join(targets, "number_key", "left").join(sources, "doc_id", "left")
-    outcome = (
+    return joined.withColumn("outcome", _outcome())
+
+
+def _outcome() -> Column:
+    return (
         F.when(F.col("relation").isin(*INFORMATIONAL), "informational")
         .when(F.col("target_id").isNull() | (F.col("target_id") == F.col("doc_id")) | F.col("has_source").isNull(), "unmatched")
         .when((F.col("source_date") != "") & (F.coalesce("target_date", F.lit("")) != "") & (F.col("source_date") < F.col("target_date")), "skipped_date_order")
@@ -43,7 +47,6 @@ def classify(refs: DataFrame, documents: DataFrame, doc_order: str = "doc_id") -
         .when(F.col("relation").isin(*PARTIAL) & (F.coalesce("referenced_clause", F.lit("")) != ""), "partial")
         .otherwise("unscoped")
     )
-    return joined.withColumn("outcome", outcome)
 
 
 def _latest_first(date: str) -> Column:
@@ -60,34 +63,67 @@ def resolve(documents: DataFrame, chunks: DataFrame, refs: DataFrame, doc_order:
     superseded and exactly one document is known to have done it.
     """
     ref = classify(refs, documents, doc_order)
+    hits = _hits(ref, chunks)
+    statuses = _statuses(hits).drop("doc_id")
+    rollups = _rollups(chunks, statuses)
+
+    used = hits.where("outcome = 'partial'").select("ref_ord").distinct().withColumn("matched", F.lit(True))
+    counted = ref.join(used, "ref_ord", "left")
+    unscoped = (F.col("outcome") == "unscoped") | ((F.col("outcome") == "partial") & F.col("matched").isNull())
+    by_ref = counted.agg(F.count("*").alias("refs_checked"), F.count_if(F.col("outcome") == "unmatched").alias("unmatched"), F.count_if(F.col("outcome") == "skipped_date_order").alias("skipped_date_order"), F.count_if(unscoped).alias("skipped_unscoped_partial"), F.count_if(F.col("outcome") == "informational").alias("informational_skipped"))
+    by_chunk = statuses.agg(*[F.count_if(F.col("status") == s).alias(f"chunks_{s}") for s in ("superseded", "amended", "ambiguous")])
+    by_doc = rollups.agg(F.count("*").alias("documents_fully_superseded"))
+    key = F.lit(1).alias("k")  # one row each
+    counters = by_ref.select("*", key).join(by_chunk.select("*", key), "k").join(by_doc.select("*", key), "k").drop("k")
+    return Resolution(statuses, rollups, counters)
+
+
+def _hits(ref: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Classified references and the chunks that they speak of."""
     live = ref.where(F.col("outcome").isin("full", "partial")).select("ref_ord", "target_id", "outcome", "referenced_clause", "source_date", "source_summary", F.col("doc_id").alias("source_id"))
     own = chunks.select("chunk_id", F.col("doc_id").alias("target_id"), normal_clause(F.col("clause_ref")).alias("own_clause"))
     scoped = (F.col("outcome") == "full") | clause_matches(F.col("own_clause"), normal_clause(F.col("referenced_clause")))
-    hits = live.join(own, "target_id").where(scoped)
+    return live.join(own, "target_id").where(scoped)
+
+
+def _statuses(hits: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, status, note, winner."""
     status = F.when(F.col("outcome") == "full", "superseded").otherwise("amended")
     note = F.when(F.col("outcome") == "full", F.col("source_summary")).otherwise(F.concat(F.lit("Amended (Clause "), F.col("referenced_clause"), F.lit(") by "), F.col("source_summary")))
-    proposals = hits.select("chunk_id", "ref_ord", "source_date", "source_id", status.alias("status"), note.alias("note"))
+    proposals = hits.select("chunk_id", "target_id", "ref_ord", "source_date", "source_id", status.alias("status"), note.alias("note"))
     each = proposals.groupBy("chunk_id").agg(
-        F.min("status").alias("low"), F.max("status").alias("high"),
+        F.min("target_id").alias("doc_id"), F.min("status").alias("low"), F.max("status").alias("high"),
         F.min_by(F.struct("note", "source_id"), F.struct(_latest_first("source_date"), "ref_ord")).alias("best"),
         F.concat(F.lit(CONFLICT), F.array_join(F.array_sort(F.collect_set("note")), "; ")).alias("conflict"),
     )
     one = F.col("low") == F.col("high")
-    statuses = each.select("chunk_id", F.when(one, F.col("low")).otherwise("ambiguous").alias("status"), F.when(one, F.col("best.note")).otherwise(F.col("conflict")).alias("note"), F.when(one, F.col("best.source_id")).alias("winner"))
+    return each.select("doc_id", "chunk_id", F.when(one, F.col("low")).otherwise("ambiguous").alias("status"), F.when(one, F.col("best.note")).otherwise(F.col("conflict")).alias("note"), F.when(one, F.col("best.source_id")).alias("winner"))
 
-    after = chunks.select("chunk_id", "doc_id", F.coalesce("status", F.lit("current")).alias("old")).join(statuses, "chunk_id", "left").withColumn("status", F.coalesce("status", "old"))
+
+def _rollups(chunks: DataFrame, statuses: DataFrame) -> DataFrame:
+    after = chunks.select("chunk_id", "doc_id", F.coalesce("status", F.lit("current")).alias("old")).join(statuses.select("chunk_id", "status", "note", "winner"), "chunk_id", "left").withColumn("status", F.coalesce("status", "old"))
     rolled = after.groupBy("doc_id").agg(F.bool_and(F.col("status") == "superseded").alias("all_gone"), F.count_distinct("winner").alias("n"), F.max("winner").alias("superseded_by_doc_id"), F.max_by("note", F.when(F.col("winner").isNotNull(), F.col("chunk_id"))).alias("superseded_by_summary"))
-    rollups = rolled.where("all_gone and n = 1").select("doc_id", "superseded_by_doc_id", "superseded_by_summary")
+    return rolled.where("all_gone and n = 1").select("doc_id", "superseded_by_doc_id", "superseded_by_summary")
 
-    used = hits.where("outcome = 'partial'").select("ref_ord").distinct().withColumn("matched", F.lit(True))
-    counted = ref.join(used, "ref_ord", "left")
-    unscoped = (F.col("outcome") == "unscoped") | ((F.col("outcome") == "partial") & F.col("matched").isNull())
-    by_ref = counted.agg(F.count("*").alias("refs_checked"), F.count_if(F.col("outcome") == "unmatched").alias("unmatched"), F.count_if(F.col("outcome") == "skipped_date_order").alias("skipped_date_order"), F.count_if(unscoped).alias("skipped_unscoped_partial"), F.count_if(F.col("outcome") == "informational").alias("informational_skipped"))
-    by_chunk = statuses.agg(*[F.count_if(F.col("status") == s).alias(f"chunks_{s}") for s in ("superseded", "amended", "ambiguous")])
-    by_doc = rollups.agg(F.count("*").alias("documents_fully_superseded"))
-    key = F.lit(1).alias("k")  # one row each
-    counters = by_ref.select("*", key).join(by_chunk.select("*", key), "k").join(by_doc.select("*", key), "k").drop("k")
-    return Resolution(statuses, rollups, counters)
+
+def linked(refs: DataFrame, documents: DataFrame) -> DataFrame:
+    """refs (doc_id, ref_ord, relation, referenced_number, referenced_clause) with the key they look up and their source's date and name, which change only with the source."""
+    sources = documents.select("doc_id", F.coalesce("date_parsed", F.lit("")).alias("source_date"), summary(F.col("title"), F.col("document_number"), F.col("date_parsed")).alias("source_summary"))
+    own = refs.select("doc_id", "ref_ord", "relation", normal_number(F.col("referenced_number")).alias("number_key"), "referenced_clause")
+    return own.join(sources, "doc_id").where("number_key is not null")
+
+
+def resolve_keys(numbers: DataFrame, links: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statuses (doc_id, chunk_id, status, note, winner) and roll-ups of the documents of some numbers, from nothing but these.
+
+    numbers (doc_id, number_key, date_parsed), links (as of ``linked``) and
+    chunks (doc_id, chunk_id, clause_ref) hold all rows of those keys and of
+    their documents.  What a chunk's status was before doesn't count.
+    """
+    targets = numbers.groupBy("number_key").agg(F.max(F.struct(F.col("doc_id").alias("target_id"), F.col("date_parsed").alias("target_date"))).alias("t")).select("number_key", "t.*")
+    ref = links.join(targets, "number_key").withColumns({"has_source": F.lit(True), "ref_ord": F.struct("doc_id", "ref_ord")})
+    statuses = _statuses(_hits(ref.withColumn("outcome", _outcome()), chunks))
+    return statuses, _rollups(chunks.withColumn("status", F.lit(None).cast("string")), statuses)
 
 
 def apply_statuses(chunks: DataFrame, found: Resolution) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<float>": T.ArrayType(T.FloatType()), "array<string>": T.ArrayType(T.StringType())}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<float>": T.ArrayType(T.FloatType()), "array<string>": T.ArrayType(T.StringType()), "array<int>": T.ArrayType(T.IntegerType())}
 
 
 def columns(text: str) -> T.StructType:
@@ -21,6 +21,13 @@ CHUNKS = columns("chunk_id string, doc_id string, chunk_index int, text string,
 REFS = columns("doc_id string, ref_ord int, relation string, referenced_label string, referenced_number string, referenced_year string, referenced_date_raw string, referenced_clause string, matched_sentence string")
 VECTORS = columns("chunk_id string, embedding array<float>")
 CASES = columns("question string, expected_number string, expected_keyword string, exhaustive boolean, notes string")
+#: What the store keeps beside the three tables: numbers of documents, references with their source's date and name, statuses and roll-ups of targets, the keyword index.
+NUMBERS = columns("doc_id string, number_key string, date_parsed string, key_bucket int")
+LINKS = columns("doc_id string, ref_ord int, relation string, number_key string, referenced_clause string, source_date string, source_summary string, key_bucket int")
+STATUSES = columns("doc_id string, chunk_id string, status string, status_note string, winner string")
+ROLLUPS = columns("doc_id string, superseded_by_doc_id string, superseded_by_summary string")
+POSTINGS = columns("doc_id string, chunk_id string, term string, positions array<int>, length int, bucket int")
+LENGTHS = columns("doc_id string, n_chunks int, n_tokens int")
 UPDATE_STATE = columns("status string, detail string, last_success_at double, last_attempt_at double")
 DEFAULTS = {"status": "current", "needs_review": 0}
 

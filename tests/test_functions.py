@@ -108,3 +108,16 @@ def test_links(spark):
     assert column(spark, ["http://old.example/a", "http://new.example/a", "https://old.example/a"], lambda c: urls.normal_scheme(c, ["old.example"])) == ["https://old.example/a", "http://new.example/a", "https://old.example/a"]
     assert column(spark, ["<title> T\nx </title>", "<h1>H</h1>", "none"], lambda c: urls.page_title(c, F.lit("9"))) == ["T x", "H", "section-9"]
     assert spark.range(1).select(dates.nearby_date(F.lit("none"), F.lit("on 05.09.2022 and 1.1.2020"))).first()[0] == "05.09.2022"
+
+
+def test_spaces_and_digits_of_other_scripts(spark):
+    """Non-breaking and other Unicode spaces, and Devanagari digits, are read as plain ones are."""
+    plain = ["No. TC-I/2019/1 dated 12.06.2019", "In supersession of Circular No. 45/2019 dated 3rd March 2020", "Para 4.2 Fees of the first class.\n \nNext one", "in partial modification of Clause 4.2 of letter No. 9/2017 of 2018"]
+    detected = lambda c: F.struct(refs.document_ref(c).alias("own"), F.transform(refs.references(c), lambda r: r.withField("referenced_date_raw", F.regexp_replace(r["referenced_date_raw"], r"(?U)\s", " ")).dropFields("matched_sentence")).alias("refs"), text.clause_ref(c).alias("clause"), F.size(text.paragraphs(c)).alias("n"))
+    for space in ("\u00a0", "\u2009", "\u202f", "\u3000"):
+        rows = spark.createDataFrame([(p, p.replace(" ", space)) for p in plain], "a string, b string").select(detected(F.col("a")).alias("a"), detected(F.col("b")).alias("b")).collect()
+        assert [r.a.refs for r in rows] == [r.b.refs for r in rows] and [r.a.clause for r in rows] == [r.b.clause for r in rows] and [r.a.n for r in rows] == [r.b.n for r in rows]
+        assert [(r.a.own.number, r.a.own.date_parsed) for r in rows] == [(r.b.own.number, r.b.own.date_parsed) for r in rows]
+        assert [len(r.b.refs) for r in rows] == [0, 1, 0, 1]
+    got = spark.createDataFrame([("१२.०६.२०१९",), ("1st Jan 2020",)], "t string").select(dates.parse_date(F.col("t")).alias("d")).collect()
+    assert [r.d for r in got] == ["2019-06-12", "2020-01-01"]
