@@ -8,6 +8,7 @@ are dead with the document.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -24,8 +25,9 @@ TITLE_OFFSET = 1_000_000_000
 TOKEN = r"[\p{L}\p{N}]+"
 #: The largest number of hits that any question of a batch may ask for.
 MOST_HITS = 60
-#: Folders of a stored index.
+#: Folders of a stored index, and blocks that its chunks are dealt into.
 BUCKETS = 32
+BLOCKS = 4096
 
 
 def _accents() -> tuple[str, str]:
@@ -78,6 +80,14 @@ def build_index(chunks: DataFrame, title: bool = True) -> KeywordIndex:
     return KeywordIndex(postings, lengths, n, mean or 0.0)
 
 
+def term_counts(chunks: DataFrame, title: bool = True) -> DataFrame:
+    """term, n (places), n_docs of chunks (chunk_id, text, title; each chunk_id once): a chunk's own counts are added up."""
+    own = chunks.select(fence(F.array_sort(F.transform(_places(title), lambda t: t["term"]))).alias("t"))
+    # places of one term lie together, and it counts for the chunk where they begin
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (x != F.get("t", i - 1))).alias("begins")))
+    return own.select(F.explode(marked).alias("x")).groupBy("x.term").agg(F.count("*").alias("n"), F.count_if("x.begins").alias("n_docs"))
+
+
 def bucket_of(term: str, buckets: int = BUCKETS) -> int:
     """The bucket of a term, as ``postings_of`` deals it."""
     return zlib.crc32(term.encode()) % buckets
@@ -87,7 +97,7 @@ def postings_of(chunks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, chunk_id, term, positions, length (of the chunk), bucket: a row for each term of each chunk (doc_id, chunk_id, text, title)."""
     each = chunks.select("doc_id", "chunk_id", fence(_places(True)).alias("t")).select("doc_id", "chunk_id", F.size("t").alias("length"), F.explode("t").alias("t"))
     rows = each.groupBy("doc_id", "chunk_id", "length", F.col("t.term").alias("term")).agg(F.sort_array(F.collect_list("t.pos")).alias("positions"))  # one chunk's
-    return rows.withColumn("bucket", (F.crc32("term") % buckets).cast("int"))
+    return rows.withColumns({"bucket": (F.crc32("term") % buckets).cast("int"), "block": F.pmod(F.xxhash64("chunk_id"), F.lit(BLOCKS)).cast("int")})
 
 
 def lengths_of(chunks: DataFrame) -> DataFrame:
@@ -110,9 +120,7 @@ def search(index: KeywordIndex, query: str, limit: int) -> DataFrame:
     rows = [(k, len(p), o, t) for k, p in enumerate(wanted) for o, t in enumerate(p)]
     terms = spark.createDataFrame(rows, "phrase int, size int, offset int, term string")
     terms_list = sorted({t for *_, t in rows})
-    hits = index.postings.where(F.col("term").isin(terms_list) if terms_list else F.lit(False)).join(F.broadcast(terms), "term")  # the words of one query
-    places = hits.groupBy("chunk_id", "phrase", "size", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count_distinct("offset").alias("n")).where("n = size")
-    counted = places.groupBy("chunk_id", "phrase").agg(F.count("*").alias("f"))
+    counted = _counted(index.postings.where(F.col("term").isin(terms_list) if terms_list else F.lit(False)), F.broadcast(terms))  # the words of one query
     df = counted.groupBy("phrase").agg(F.count("*").alias("n_chunks"))
     idf = F.greatest(F.log((F.lit(float(index.n_chunks)) - F.col("n_chunks") + 0.5) / (F.col("n_chunks") + 0.5)), F.lit(LEAST_IDF))
     scored = counted.join(F.broadcast(df.select("phrase", idf.alias("idf"))), "phrase").join(index.lengths, "chunk_id")  # one row for each phrase
@@ -121,6 +129,66 @@ def search(index: KeywordIndex, query: str, limit: int) -> DataFrame:
     return total.select("chunk_id", "bm25").orderBy(F.round("bm25", 9), "chunk_id").limit(limit)
 
 
+def blocks_of(postings: DataFrame) -> DataFrame:
+    """term, block, n (chunks with the term), most (of its places in one), shortest (of them), bucket: what bounds a score in a block."""
+    return postings.groupBy("term", "bucket", "block").agg(F.count("*").cast("int").alias("n"), F.max(F.size("positions")).alias("most"), F.min("length").alias("shortest"))
+
+
+def search_in_blocks(postings: DataFrame, blocks: DataFrame, n_chunks: int, n_tokens: int, query: str, limit: int, buckets: int = BUCKETS) -> DataFrame:
+    """``search``'s hits, reading only blocks that can hold one.
+
+    A block's bound adds up, for each phrase, the score of a chunk as short as
+    the block's shortest with as many places as its most frequent chunk has of
+    the phrase's rarest term.  Blocks without one of the terms are out at once.
+    The best-bounded blocks are scored first; then only those are read whose
+    bound reaches the limit-th best score found.
+    """
+    wanted = phrases(query)
+    terms = sorted({t for p in wanted for t in p})
+    at = F.col("bucket").isin([bucket_of(t, buckets) for t in terms]) & F.col("term").isin(terms) if terms else F.lit(False)
+    own, mean = postings.where(at), n_tokens / n_chunks if n_chunks else 0.0
+    spark = postings.sparkSession
+    rows = [(k, len(p), o, t) for k, p in enumerate(wanted) for o, t in enumerate(p)]
+    asked = F.broadcast(spark.createDataFrame(rows, "phrase int, size int, offset int, term string"))  # the words of one query
+    stats = blocks.where(at).join(asked, "term")
+    df = stats.where("size = 1").groupBy("phrase").agg(F.sum("n").alias("df"))
+    if any(len(p) > 1 for p in wanted):  # how many chunks hold a phrase is told by positions alone
+        df = df.unionByName(_counted(own.select("chunk_id", "term", F.explode("positions").alias("pos")), asked.where("size > 1")).groupBy("phrase").agg(F.count("*").alias("df")))
+    idf = {r["phrase"]: max(math.log((n_chunks - r["df"] + 0.5) / (r["df"] + 0.5)), LEAST_IDF) for r in df.collect()}  # a row for each phrase
+    if len(idf) < len(wanted) or not wanted:
+        return spark.createDataFrame([], "chunk_id string, bm25 double").limit(0)
+    weight = F.create_map(*[F.lit(x) for k, v in idf.items() for x in (k, v)])
+    best = F.col("most") * (K1 + 1) / (F.col("most") + K1 * (1 - B + B * F.col("shortest") / mean))
+    of_phrase = stats.groupBy("block", "phrase", "size").agg(F.min("most").alias("most"), F.max("shortest").alias("shortest"), F.count("*").alias("k")).where("k = size")
+    bounds = of_phrase.groupBy("block").agg(F.sum(weight[F.col("phrase")] * best).alias("bound"), F.count("*").alias("k")).where(F.col("k") == len(wanted))
+    ranked = [(r["block"], r["bound"]) for r in bounds.orderBy(F.desc("bound"), "block").collect()]  # BLOCKS at most
+
+    def score(some: list[int]) -> DataFrame:
+        part = own.where(F.col("block").isin(some)) if some else own.where(F.lit(False))
+        counted = _counted(part.select("chunk_id", "term", F.explode("positions").alias("pos")), asked)
+        lengths = part.groupBy("chunk_id").agg(F.first("length").alias("length"))
+        each = weight[F.col("phrase")] * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / mean))
+        total = counted.join(lengths, "chunk_id").groupBy("chunk_id").agg((-F.sum(each)).alias("bm25"), F.count("*").alias("n")).where(F.col("n") == len(wanted))
+        return total.select("chunk_id", "bm25").orderBy(F.round("bm25", 9), "chunk_id").limit(limit)
+
+    first = [b for b, _ in ranked[: max(4, 2 * limit)]]
+    found = score(first).collect()  # limit rows at most
+    reached = -found[-1]["bm25"] - 1e-8 if len(found) == limit else -math.inf
+    rest = [b for b, bound in ranked[len(first) :] if bound >= reached]
+    if rest:
+        found += score(rest).collect()
+    kind = postings.schema["chunk_id"].dataType.simpleString()
+    out = spark.createDataFrame([tuple(r) for r in found], f"chunk_id {kind}, bm25 double")
+    return out.orderBy(F.round("bm25", 9), "chunk_id").limit(limit)
+
+
+def _counted(places: DataFrame, asked: DataFrame) -> DataFrame:
+    """chunk_id, phrase, f: how often a phrase stands in a chunk. places: chunk_id, term, pos."""
+    hits = places.join(asked, "term")
+    whole = hits.groupBy("chunk_id", "phrase", "size", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count_distinct("offset").alias("n")).where("n = size")
+    return whole.groupBy("chunk_id", "phrase").agg(F.count("*").alias("f"))
+
+
 def question_terms(questions: DataFrame, key: str = "question_id") -> DataFrame:
     """key, n_phrases, phrase, size, offset, term: a row for each token of each question (key, question)."""
     words = F.split(F.replace(folded(F.col("question")), F.lit('"'), F.lit(" ")), r"(?U)\s+")

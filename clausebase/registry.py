@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import dates, refs, text, urls
-from .operators import chunking, crawl, extract, keyword, report, resolve, retrieval, store
+from .operators import chunking, crawl, extract, keyword, report, resolve, retrieval, store, substring
 from .plans.corpora import CHUNKS, CIRCULARS, LETTERS, REFS, derived
 from .streaming.ingest import windowed_counts
 
@@ -160,7 +160,7 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(" + _TOKENS.format("text") + ") AS term FROM documents) GROUP BY term")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return keyword.build_index(docs, title=False).postings.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("chunk_id").alias("n_docs"))
+    return keyword.term_counts(docs, title=False)
 
 
 @query("SELECT doc_id AS chunk_id FROM documents WHERE text ILIKE '%license%' ORDER BY doc_id LIMIT 20")
@@ -301,9 +301,10 @@ def hit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT item_id, n_docs > 0 AS passed, CASE WHEN n_docs = 0 THEN 'no chunks retrieved at all' ELSE 'expected circular found in citations' END AS reason FROM (SELECT b.item_id, count(d.doc_id) AS n_docs FROM benchmark b LEFT JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1)""")
 def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = _table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents")
-    cases = items.select(F.col("item_id").cast("string").alias("question"), F.lit(None).cast("string").alias("expected_number"), "text", F.col("text").alias("expected_keyword"))
-    cited = docs.join(F.broadcast(cases.select("question", "text")) if cases.count() <= 10_000 else cases.select("question", F.col("text").alias("text")), F.contains(F.lower(docs["text"]), F.lower(cases["text"]))).select("question", F.lit(None).cast("string").alias("circular_number"), docs["text"].alias("title"))
-    return retrieval.judged_cases(cases.drop("text"), cited).select(F.col("question").cast("long").alias("item_id"), "passed", "reason")
+    pairs = substring.containing(docs, items.select("item_id", F.col("text").alias("needle")))
+    cited = pairs.join(docs.select("doc_id", "text"), "doc_id").select(F.col("item_id").cast("string").alias("question"), F.lit(None).cast("string").alias("circular_number"), F.col("text").alias("title"))
+    cases = items.select(F.col("item_id").cast("string").alias("question"), F.lit(None).cast("string").alias("expected_number"), F.col("text").alias("expected_keyword"))
+    return retrieval.judged_cases(cases, cited).select(F.col("question").cast("long").alias("item_id"), "passed", "reason")
 
 
 @query("SELECT doc_id, error OR pages <= 0 OR words / nullif(pages, 0) < 30 OR (ocr AND conf < 50) AS flagged FROM (SELECT doc_id, doc_id % 11 = 0 AS error, doc_id % 6 AS pages, len(regexp_extract_all(text, '\\S+')) AS words, doc_id % 2 = 0 AS ocr, (doc_id % 100)::DOUBLE AS conf FROM documents)")

@@ -26,7 +26,8 @@ NUMBERS = columns("doc_id string, number_key string, date_parsed string, key_buc
 LINKS = columns("doc_id string, ref_ord int, relation string, number_key string, referenced_clause string, source_date string, source_summary string, key_bucket int")
 STATUSES = columns("doc_id string, chunk_id string, status string, status_note string, winner string")
 ROLLUPS = columns("doc_id string, superseded_by_doc_id string, superseded_by_summary string")
-POSTINGS = columns("doc_id string, chunk_id string, term string, positions array<int>, length int, bucket int")
+POSTINGS = columns("doc_id string, chunk_id string, term string, positions array<int>, length int, bucket int, block int")
+BLOCKS = columns("term string, block int, n int, most int, shortest int, bucket int")
 LENGTHS = columns("doc_id string, n_chunks int, n_tokens int")
 UPDATE_STATE = columns("status string, detail string, last_success_at double, last_attempt_at double")
 DEFAULTS = {"status": "current", "needs_review": 0}

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..schemas import with_missing_columns
+
 FAN = 4
 #: Column of the commit that wrote a row.
 AT = "written_at_version"
@@ -100,14 +102,14 @@ class Snapshot:
     figures: dict[str, float] = field(default_factory=dict)
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
-        """The live rows of a table; no rows of schema if it was never written."""
+        """The live rows of a table; no rows of schema if it was never written. Columns that a segment was written without get their default."""
         entry = self.tables.get(name)
         if not entry or not entry["segments"]:
             if schema is None:
                 raise KeyError(f"no table {name}")
             return self.store.spark.createDataFrame([], schema)
         rows = self._alive(entry, entry["segments"]).drop(AT)
-        return rows if schema is None else rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
+        return rows if schema is None else with_missing_columns(rows, schema)
 
     def _alive(self, entry: dict, segments: Sequence[dict]) -> DataFrame:
         latest = max([0, *(r["at"] for r in entry["replaced"])])

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.refs import normal_number
-from ..operators import extract, keyword, resolve, store
-from ..schemas import CHUNKS, DOCUMENTS, LENGTHS, LINKS, NUMBERS, POSTINGS, REFS, ROLLUPS, STATUSES, columns
+from ..operators import extract, keyword, resolve, store, vectors
+from ..schemas import BLOCKS, CHUNKS, DOCUMENTS, LENGTHS, LINKS, NUMBERS, POSTINGS, REFS, ROLLUPS, STATUSES, columns
 from ..sources import snapshots
 from ..sources.snapshots import CommitConflict, Layout, Snapshot, Transaction
 
@@ -20,7 +20,8 @@ INCOMING = columns("doc_id string, title string, section_path string, date_raw s
 #: Folders of the tables that are read by a number's key.
 KEY_BUCKETS = 16
 BY_KEY = Layout(folders=("key_bucket",), sort=("number_key",))
-BY_TERM = Layout(folders=("bucket",), sort=("term",))
+BY_TERM = Layout(folders=("bucket",), sort=("term", "block"))
+BY_CELL = Layout(folders=("cell",))
 BY_DOCUMENT = Layout(sort=("doc_id",))
 
 
@@ -80,16 +81,25 @@ def _apply(change: Transaction, incoming: DataFrame, force: bool) -> None:
 
 def replace_documents(change: Transaction, documents: DataFrame, chunks: DataFrame, refs: DataFrame, ids: DataFrame) -> None:
     """All that the store holds of ids replaced by the rows given, and what follows from them: links, numbers, keyword index, statuses."""
-    before = change.base
-    bucket = F.pmod(F.xxhash64("number_key"), F.lit(KEY_BUCKETS)).cast("int").alias("key_bucket")
-    numbers = documents.select("doc_id", normal_number(F.col("document_number")).alias("number_key"), "date_parsed").where("number_key is not null").select("*", bucket)
     change.replace("documents", documents, ids, BY_DOCUMENT)
     change.replace("chunks", chunks, ids, BY_DOCUMENT)
     change.replace("refs", refs, ids, BY_DOCUMENT)
+    replace_links(change, documents, refs, ids)
+    replace_index(change, chunks, ids)
+    resolve_changed(change, ids)
+
+
+def replace_links(change: Transaction, documents: DataFrame, refs: DataFrame, ids: DataFrame) -> None:
+    """Numbers of documents (doc_id, title, document_number, date_parsed) and what their refs look up, for the resolver."""
+    bucket = F.pmod(F.xxhash64("number_key"), F.lit(KEY_BUCKETS)).cast("int").alias("key_bucket")
+    numbers = documents.select("doc_id", normal_number(F.col("document_number")).alias("number_key"), "date_parsed").where("number_key is not null").select("*", bucket)
     change.replace("numbers", numbers, ids, BY_KEY)
     change.replace("links", resolve.linked(refs, documents).select("*", bucket).select(*LINKS.fieldNames()), ids, BY_KEY)
 
-    old = before.read("lengths", LENGTHS).join(ids, "doc_id", "left_semi")
+
+def replace_index(change: Transaction, chunks: DataFrame, ids: DataFrame) -> None:
+    """Postings of chunks (doc_id, chunk_id, text, title), and the corpus figures by what has come and gone."""
+    old = change.base.read("lengths", LENGTHS).join(ids, "doc_id", "left_semi")
     change.replace("postings", keyword.postings_of(chunks), ids, BY_TERM)
     change.replace("lengths", keyword.lengths_of(chunks), ids, BY_DOCUMENT)
     added = change.read("lengths", LENGTHS).join(ids, "doc_id", "left_semi")
@@ -97,7 +107,7 @@ def replace_documents(change: Transaction, documents: DataFrame, chunks: DataFra
         n, total = side.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         change.figures["n_chunks"] = change.figures.get("n_chunks", 0) + sign * n
         change.figures["n_tokens"] = change.figures.get("n_tokens", 0) + sign * total
-    resolve_changed(change, ids)
+    change.figures["index_version"] = change.version
 
 
 def resolve_changed(change: Transaction, ids: DataFrame) -> None:
@@ -124,6 +134,25 @@ def resolve_changed(change: Transaction, ids: DataFrame) -> None:
     targets.unpersist()
 
 
+def index_vectors(to: Store, rows: DataFrame, cells: int, rounds: int = 10) -> Snapshot:
+    """All vectors (doc_id, chunk_id, embedding) anew in cells around new centres, in one commit."""
+    centers = vectors.train(rows, cells, rounds=rounds)
+    change = to.begin()
+    change.overwrite("cells", vectors.center_rows(to.spark, centers))
+    change.overwrite("vectors", vectors.assigned(rows, centers), BY_CELL)
+    return change.commit()
+
+
+def replace_vectors(change: Transaction, rows: DataFrame, ids: DataFrame) -> None:
+    """The vectors of ids' chunks replaced by rows (doc_id, chunk_id, embedding), in the cells of the centres that there are."""
+    change.replace("vectors", vectors.assigned(rows, vectors.centers_of(change.read("cells"))), ids, BY_CELL)
+
+
+def vector_hits(state: Snapshot, queries: Sequence[tuple], n: int, probes: int) -> DataFrame:
+    """question_id, chunk_id, distance, rank of queries (id, vector): ``vectors.search`` over the stored cells."""
+    return vectors.search(state.read("vectors"), vectors.centers_of(state.read("cells")), queries, n, probes)
+
+
 def documents_of(state: Snapshot) -> DataFrame:
     """The document table with the roll-ups."""
     own = state.read("documents", DOCUMENTS).drop("superseded_by_doc_id", "superseded_by_summary")
@@ -137,6 +166,23 @@ def chunks_of(state: Snapshot) -> DataFrame:
     return joined.withColumn("status", F.coalesce("status", F.lit("current"))).select(*CHUNKS.fieldNames())
 
 
+def optimise_index(to: Store) -> Snapshot:
+    """The keyword index as one segment without dead postings, and the bounds of its blocks, which hold until the next change of the index."""
+    change = to.begin()
+    change.overwrite("postings", change.read("postings", POSTINGS), BY_TERM)
+    change.overwrite("blocks", keyword.blocks_of(change.read("postings", POSTINGS)), BY_TERM)
+    change.figures["index_version"] = change.figures["blocks_version"] = change.version
+    return change.commit()
+
+
+def keyword_hits(state: Snapshot, query: str, limit: int) -> DataFrame:
+    """chunk_id, bm25 of a question's hits: by the blocks' bounds if they are up to date, else from all postings of its terms."""
+    n, total = int(state.figures.get("n_chunks", 0)), int(state.figures.get("n_tokens", 0))
+    if state.figures.get("blocks_version", -1) == state.figures.get("index_version", 0):
+        return keyword.search_in_blocks(state.read("postings", POSTINGS), state.read("blocks", BLOCKS), n, total, query, limit)
+    return keyword.search(index_of(state, query), query, limit)
+
+
 def index_of(state: Snapshot, query: str) -> keyword.KeywordIndex:
     """What a question needs of the stored keyword index."""
     return keyword.stored_index(state.read("postings", POSTINGS), int(state.figures.get("n_chunks", 0)), int(state.figures.get("n_tokens", 0)), query)

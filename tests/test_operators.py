@@ -297,3 +297,20 @@ def test_answer_and_command_line(spark, tmp_path, capsys):
     assert main(["ask", "--store", store_dir, "refund"]) == 0 and "N/1" in capsys.readouterr().out
     assert main(["coverage", "--store", store_dir, "--index", str(tmp_path / "none.json")]) == 0 and "extracted/indexed: **1**" in capsys.readouterr().out
     assert main(["resolve", "--store", store_dir]) == 0 and main(["backfill", "--store", store_dir]) == 0
+
+
+def test_containing(spark, monkeypatch):
+    """Against a plain search: needles of one to many words, cut words at their ends, marks, ties, repeats, and more than a block of short ones."""
+    import random
+
+    from clausebase.operators import substring
+
+    rng = random.Random(3)
+    vocabulary = ["fee", "the", "refund", "port", "salt", "Rule", "été", "no"]
+    texts = [(i, " ".join(rng.choices(vocabulary, [9, 9, 3, 2, 1, 2, 1, 3], k=rng.randint(0, 40)))) for i in range(60)] + [(60, None), (61, ""), (3, "other port text under a used id"), (62, "A.B, c"), (62, "A.B, c")]
+    needles = [(k, " ".join(rng.choices(vocabulary, k=rng.randint(1, 7)))) for k in range(40)] + [(100, "fund the fe"), (101, "ORT SALT RU"), (102, "."), (103, ""), (104, None), (105, "absent words stand here"), (106, "b, C"), (107, "the fee the"), (107, "port"), (None, "the")]
+    monkeypatch.setattr(substring, "BLOCK", 3)
+    got = sorted(tuple(r) for r in substring.containing(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(needles, "item_id long, needle string")).collect())
+    assert got == sorted({(k, i) for k, n in needles for i, t in texts if k is not None and n and t and n.lower() in t.lower()})
+    none = spark.createDataFrame([], "item_id long, needle string")
+    assert substring.containing(spark.createDataFrame(texts, "doc_id long, text string"), none).count() == 0

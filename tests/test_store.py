@@ -204,3 +204,62 @@ def test_many_questions_equal_one_by_one(spark, ingested):
     cases = spark.createDataFrame([("refunds", "tc-i", None, None), ("refunds", "zzz", None, None), ("fees", None, "title", None), ("zz", "tc", None, None)], "question string, expected_number string, expected_keyword string, exhaustive boolean")
     got = {(r.question, r.passed) for r in retrieval.validate(cases, chunks, index).collect()}
     assert got == {("refunds", True), ("refunds", False), ("fees", True), ("zz", False)}
+
+
+def test_blocks_give_the_same_hits(spark, tmp_path, monkeypatch):
+    """Every question over a skewed vocabulary, phrases among them, with few blocks and with many."""
+    rng = random.Random(6)
+    text = lambda n: " ".join(rng.choices(["the", "fee", "refund", "rule", "class", "port", "sea-salt"], [40, 9, 5, 3, 2, 1, 4], k=n))
+    chunks = spark.createDataFrame([(f"d{k // 3}", f"c{k:03d}", text(rng.randint(3, 60)), rng.choice(["", "port title"])) for k in range(150)], "doc_id string, chunk_id string, text string, title string")
+    index = keyword.build_index(chunks)
+    total = round(index.n_chunks * index.mean_length)
+    for blocks in (64, 4096):
+        monkeypatch.setattr(keyword, "BLOCKS", blocks)
+        postings = keyword.postings_of(chunks).persist()
+        bounds = keyword.blocks_of(postings).persist()
+        for question, limit in (("port", 3), ("the refund", 5), ("sea-salt port", 4), ("class port sea-salt", 2), ("absent port", 3), ("??", 3), ("the", 200)):
+            want = [(r.chunk_id, round(r.bm25, 9)) for r in keyword.search(index, question, limit).collect()]
+            got = [(r.chunk_id, round(r.bm25, 9)) for r in keyword.search_in_blocks(postings, bounds, index.n_chunks, total, question, limit).collect()]
+            assert got == want, (question, blocks)
+
+
+def test_bounds_are_used_only_while_they_hold(spark, ingested, monkeypatch):
+    def ids(state):
+        return [r.chunk_id for r in ingest.keyword_hits(state, "refunds", 5).collect()]
+
+    calls = []
+    monkeypatch.setattr(keyword, "search_in_blocks", lambda *a, f=keyword.search_in_blocks: calls.append(1) or f(*a))
+    before = ids(ingested.snapshot())
+    assert not calls
+    assert ids(ingest.optimise_index(ingested)) == before and calls
+    state = ingest.ingest_batch(ingested, spark.createDataFrame(letters(random.Random(77), 3, 50), ingest.INCOMING))
+    assert ids(state) == [r.chunk_id for r in keyword.search(keyword.build_index(ingest.chunks_of(state)), "refunds", 5).collect()] and len(calls) == 1
+
+
+def test_cells_of_vectors(spark, tmp_path):
+    import numpy as np
+
+    from clausebase.operators import vectors
+
+    rng = np.random.default_rng(5)
+    heart = rng.normal(size=(12, 8)) * 6
+    points = [[float(x) for x in heart[i % 12] + rng.normal(size=8)] for i in range(900)]
+    rows = spark.createDataFrame([(f"d{i % 40}", i, p) for i, p in enumerate(points)] + [("d1", 5000, None), ("d1", 5001, []), ("d2", 5002, points[3])], "doc_id string, chunk_id long, embedding array<float>").repartition(5)
+    to = ingest.Store(spark, str(tmp_path))
+    state = ingest.index_vectors(to, rows, 12)
+    queries = [(i, points[i]) for i in range(0, 900, 45)]
+    exact = {(r.question_id, r.chunk_id, r["rank"]) for r in retrieval.nearest_many(rows, spark.createDataFrame(queries, "question_id long, embedding array<float>"), 6).collect()}
+    assert {(r.question_id, r.chunk_id, r["rank"]) for r in ingest.vector_hits(state, queries, 6, 12).collect()} == exact
+    some = ingest.vector_hits(state, queries, 6, 2)
+    assert len({(r.question_id, r.chunk_id) for r in some.collect()} & {x[:2] for x in exact}) >= 0.9 * len(exact)
+    sizes = [r["count"] for r in state.read("vectors").groupBy("cell").count().collect()]
+    assert sum(sizes) == 901 and len(sizes) == 12
+    change = to.begin()  # a document's vectors are replaced, another's go
+    ingest.replace_vectors(change, spark.createDataFrame([("d3", 9000, points[3])], "doc_id string, chunk_id long, embedding array<float>"), spark.createDataFrame([("d3",), ("d2",)], "doc_id string"))
+    got = [r.chunk_id for r in ingest.vector_hits(change.commit(), [(1, points[3])], 1, 12).collect()]
+    assert got == [9000]
+    few = vectors.train(rows.limit(3), 8)
+    assert len(few) <= 3 and len(vectors.train(rows.limit(0), 8)) == 0
+    assert vectors.search(state.read("vectors"), np.zeros((0, 8)), queries, 6, 2).count() == 0
+    with pytest.raises(ValueError, match="cells"):
+        vectors.train(rows, 0)
