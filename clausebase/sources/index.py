@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..schemas import CASES, DOC_INDEX, UPDATE_STATE
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """A file with a JSON array of records, or a folder of JSON lines as ``write_index`` leaves it; empty if there is none."""
+    """A file with a JSON array of records (an indented one is read in splits), or a folder of JSON lines as ``write_index`` leaves it; empty if there is none."""
     return _read(spark, path, DOC_INDEX)
 
 
@@ -29,7 +31,23 @@ def _read(spark: SparkSession, path: str, schema) -> DataFrame:
     files = names.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(names):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", files.getFileStatus(names).isFile()).json(path)
+    if not files.getFileStatus(names).isFile():
+        return spark.read.schema(schema).json(path)
+    head = spark.read.option("lineSep", "{").text(path).limit(1).collect()
+    indent = re.fullmatch(r"\[(\n +)", head[0][0]) if head else None
+    return read_split(spark, path, schema, indent[1]) if indent else spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_split(spark: SparkSession, path: str, schema, indent: str = "\n  ") -> DataFrame:
+    """An indented JSON array of objects, read by as many tasks as the file has splits.
+
+    The end of an element and the begin of the next, each on a line with the
+    array's indent, separate the elements: a line break stands in no JSON
+    string, and what is nested in an element is indented more.
+    """
+    parts = spark.read.option("lineSep", f"{indent}}},{indent}{{").text(path)
+    inner = F.regexp_replace(F.regexp_replace("value", r"^\[\s*\{", ""), r"\}\s*\]\s*$", "")
+    return parts.select(F.from_json(F.concat(F.lit("{"), inner, F.lit("}")), schema).alias("r")).select("r.*")
 
 
 def write_index(index: DataFrame, folder: str) -> None:

@@ -154,20 +154,26 @@ class Transaction(Snapshot):
     def _entry(self, name: str, layout: Layout) -> dict:
         return self.tables.setdefault(name, {"key": layout.key, "segments": [], "replaced": []})
 
-    def _add(self, name: str, rows: DataFrame, layout: Layout) -> None:
+    def _add(self, name: str, rows: DataFrame, layout: Layout) -> DataFrame:
         written = self._write(name, rows.withColumn(AT, F.lit(self.version)), layout)
         self.tables[name]["segments"].append(written | {"level": 0, "low": self.version})
+        return self.store.parquet(written).drop(AT)
 
-    def replace(self, name: str, rows: DataFrame, keys: DataFrame, layout: Layout | None = None) -> None:
-        """All stored rows of keys give way to rows; keys without rows lose theirs. Once for each table of a transaction."""
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """rows written to a folder that no manifest names, and read from there: what several writes of a transaction are made of."""
+        return self.store.parquet(self._write("staged", rows, Layout()))
+
+    def replace(self, name: str, rows: DataFrame, keys: DataFrame, layout: Layout | None = None) -> DataFrame:
+        """All stored rows of keys give way to rows; keys without rows lose theirs. Once for each table of a transaction. The rows as they were written."""
         layout = layout or Layout()
         entry = self._entry(name, layout)
         if entry["segments"]:
             if keys not in self._keys:  # one folder for all tables that replace the same keys
                 self._keys[keys] = self._write("replaced", keys.select(layout.key).distinct().withColumn(AT, F.lit(self.version)), Layout())
             entry["replaced"].append(self._keys[keys] | {"at": self.version})
-        self._add(name, rows, layout)
+        added = self._add(name, rows, layout)
         self._merge(name, layout)
+        return added
 
     def overwrite(self, name: str, rows: DataFrame, layout: Layout | None = None) -> None:
         """A table anew."""

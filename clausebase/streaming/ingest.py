@@ -66,8 +66,8 @@ def _apply(change: Transaction, incoming: DataFrame, force: bool) -> None:
     before = change.base
     order = Window.partitionBy("doc_id").orderBy(F.desc("sha1"), F.hash("pages"))
     latest = incoming.withColumn("version", F.row_number().over(order)).where("version = 1").drop("version")
-    new = extract.described(store.changed(latest, before.read("documents", DOCUMENTS), force)).persist()
-    ids = new.select("doc_id").persist()
+    new = change.stage(extract.described(store.changed(latest, before.read("documents", DOCUMENTS), force)))
+    ids = new.select("doc_id")
 
     none = F.lit(None).cast("string")
     rows = new.withColumns({"needs_review": extract.is_outlier().cast("int"), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "superseded_by_doc_id": none, "superseded_by_summary": none})
@@ -75,15 +75,13 @@ def _apply(change: Transaction, incoming: DataFrame, force: bool) -> None:
     chunks = extract.chunk_rows(new).select(*CHUNKS.fieldNames())
     refs = extract.ref_rows(new).select(*REFS.fieldNames())
     replace_documents(change, rows, chunks, refs, ids)
-    new.unpersist()
-    ids.unpersist()
 
 
 def replace_documents(change: Transaction, documents: DataFrame, chunks: DataFrame, refs: DataFrame, ids: DataFrame) -> None:
     """All that the store holds of ids replaced by the rows given, and what follows from them: links, numbers, keyword index, statuses."""
-    change.replace("documents", documents, ids, BY_DOCUMENT)
-    change.replace("chunks", chunks, ids, BY_DOCUMENT)
-    change.replace("refs", refs, ids, BY_DOCUMENT)
+    documents = change.replace("documents", documents, ids, BY_DOCUMENT)
+    chunks = change.replace("chunks", chunks, ids, BY_DOCUMENT)
+    refs = change.replace("refs", refs, ids, BY_DOCUMENT)
     replace_links(change, documents, refs, ids)
     replace_index(change, chunks, ids)
     resolve_changed(change, ids)
@@ -101,8 +99,7 @@ def replace_index(change: Transaction, chunks: DataFrame, ids: DataFrame) -> Non
     """Postings of chunks (doc_id, chunk_id, text, title), and the corpus figures by what has come and gone."""
     old = change.base.read("lengths", LENGTHS).join(ids, "doc_id", "left_semi")
     change.replace("postings", keyword.postings_of(chunks), ids, BY_TERM)
-    change.replace("lengths", keyword.lengths_of(chunks), ids, BY_DOCUMENT)
-    added = change.read("lengths", LENGTHS).join(ids, "doc_id", "left_semi")
+    added = change.replace("lengths", keyword.lengths_of(chunks), ids, BY_DOCUMENT)
     for sign, side in ((-1, old), (1, added)):
         n, total = side.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
         change.figures["n_chunks"] = change.figures.get("n_chunks", 0) + sign * n
@@ -121,17 +118,16 @@ def resolve_changed(change: Transaction, ids: DataFrame) -> None:
     keys = own(change, "numbers", NUMBERS)
     for part in (own(before, "numbers", NUMBERS), own(change, "links", LINKS), own(before, "links", LINKS)):
         keys = keys.unionByName(part)
-    keys = keys.distinct().persist()
+    keys = change.stage(keys.distinct())
     folders = [r[0] for r in keys.select("key_bucket").distinct().collect()]  # KEY_BUCKETS at most
     of_keys = lambda state, name, schema: state.read(name, schema).where(F.col("key_bucket").isin(folders)).join(keys.select("number_key"), "number_key", "left_semi")
     numbers, links = of_keys(change, "numbers", NUMBERS), of_keys(change, "links", LINKS)
-    targets = numbers.select("doc_id").union(of_keys(before, "numbers", NUMBERS).select("doc_id")).union(ids.select("doc_id")).distinct().persist()
+    targets = numbers.select("doc_id").union(of_keys(before, "numbers", NUMBERS).select("doc_id")).union(ids.select("doc_id")).distinct()
+    targets = change.stage(targets)
     chunks = change.read("chunks", CHUNKS).select("doc_id", "chunk_id", "clause_ref").join(targets, "doc_id", "left_semi")
     statuses, rollups = resolve.resolve_keys(numbers, links, chunks)
     change.replace("statuses", statuses.withColumnRenamed("note", "status_note").select(*STATUSES.fieldNames()), targets, BY_DOCUMENT)
     change.replace("rollups", rollups.select(*ROLLUPS.fieldNames()), targets, BY_DOCUMENT)
-    keys.unpersist()
-    targets.unpersist()
 
 
 def index_vectors(to: Store, rows: DataFrame, cells: int, rounds: int = 10) -> Snapshot:
@@ -213,14 +209,12 @@ def backfill_store(to: Store, overwrite: bool = False) -> dict[str, int]:
     new_documents, new_chunks, stats = extract.backfill(documents, chunks, overwrite)
     own = ["document_number", "date_raw", "date_parsed"]
     old = documents.select("doc_id", F.struct(*own).alias("old"))
-    moved = new_documents.join(old, "doc_id").where(~F.struct(*own).eqNullSafe(F.col("old"))).drop("old").persist()
-    ids = moved.select("doc_id").distinct().persist()
+    moved = change.stage(new_documents.join(old, "doc_id").where(~F.struct(*own).eqNullSafe(F.col("old"))).drop("old"))
+    ids = moved.select("doc_id").distinct()
     if not ids.isEmpty():
         of = lambda df: df.join(ids, "doc_id", "left_semi").select(*df.columns)
         replace_documents(change, moved.select(*DOCUMENTS.fieldNames()), of(new_chunks), of(change.read("refs", REFS)), ids)
         change.commit()
-    moved.unpersist()
-    ids.unpersist()
     return stats.first().asDict()
 
 

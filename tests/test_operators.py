@@ -314,3 +314,28 @@ def test_containing(spark, monkeypatch):
     assert got == sorted({(k, i) for k, n in needles for i, t in texts if k is not None and n and t and n.lower() in t.lower()})
     none = spark.createDataFrame([], "item_id long, needle string")
     assert substring.containing(spark.createDataFrame(texts, "doc_id long, text string"), none).count() == 0
+
+
+def test_indented_index_in_splits(spark, tmp_path):
+    """Equal to reading the file whole, for splits of any size, with marks of JSON inside strings."""
+    import json
+
+    from clausebase.schemas import DOC_INDEX
+    from clausebase.sources import index
+
+    names = [f.name for f in DOC_INDEX]
+    rows = [{"doc_id": f"d{k}", "title": rng_title, "download_ok": k % 2 == 0, "http_status": k, "error": None} for k, rng_title in enumerate(["plain", "  },", "a\n  },\n  {b", "[{\"x\": 1}]", "ß \\ \" end", "}]", "", "\u2028"] * 30)]
+    for indent, records in ((2, rows), (4, rows), (2, rows[:1]), (2, []), (None, rows)):
+        path = tmp_path / f"{indent}-{len(records)}.json"
+        path.write_text(json.dumps(records, indent=indent, ensure_ascii=False), encoding="utf-8")
+        whole = sorted(map(str, spark.read.schema(DOC_INDEX).option("multiLine", True).json(str(path)).select(names).collect()))
+        for size in ("64", "1000", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = index.read_index(spark, str(path))
+            assert sorted(map(str, got.select(names).collect())) == whole, (indent, size)
+            if size == "64" and indent and len(records) > 1:
+                assert got.rdd.getNumPartitions() > 50
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(whole) == len(rows)
