@@ -1,8 +1,4 @@
-"""Addresses, links and page titles.
-
-Links are found by pattern, which covers quoted and bare href attributes of
-anchors; it is no full HTML parser.
-"""
+"""Addresses, links and page titles."""
 
 from __future__ import annotations
 
@@ -11,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import html
+from .dates import let
+
 # fixed values: document types and link rules
 DOC_TYPES = ("pdf", "doc", "docx", "xls", "xlsx")
 MENU_PAGE = "view_section.jsp"
-ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a>"
-HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))"""
 
 
 def url_path(url: Column) -> Column:
@@ -70,22 +67,16 @@ def resolved(base: Column, href: Column) -> Column:
     )
 
 
-def links(html: Column) -> Column:
-    """array<struct<href, text>> of the anchors with an href that is followed."""
-    anchors = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("attributes"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("inner"))
-
-    def one(a: Column) -> Column:
-        href = F.trim(F.concat(*[F.regexp_extract(a["attributes"], HREF, k) for k in (1, 2, 3)]))
-        return F.struct(F.replace(href, F.lit("&amp;"), F.lit("&")).alias("href"), plain_text(a["inner"]).alias("text"))
-
-    return F.filter(F.transform(anchors, one), lambda x: ~skipped(x["href"]))
+def links(page: Column) -> Column:
+    """array<struct<href, text>> of the anchors with an href that is followed; null for a null page."""
+    return F.filter(html.anchors(page), lambda x: ~skipped(x["href"]))
 
 
-def plain_text(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(html, "(?s)<[^>]*>", " "), r"\s+", " "), r"^\s+|\s+$", "")
+def page_title(page: Column, own_id: Column, decoded: bool = True) -> Column:
+    """The title, else the first heading of level 1 or 2, else ``section-`` and the id; with its character references as written if not decoded."""
 
+    def of(text: Column) -> Column:
+        inner = [F.nullif(html.plain_text(F.regexp_extract(text, pattern, 1), decoded), F.lit("")) for pattern in (r"(?is)<title(?=[\s>])[^>]*+>(.*?)</title>", r"(?is)<h[12](?=[\s>])[^>]*+>(.*?)</h[12]>")]
+        return F.coalesce(*inner)
 
-def page_title(html: Column, own_id: Column) -> Column:
-    title = F.nullif(plain_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    head = F.nullif(plain_text(F.regexp_extract(html, r"(?is)<h[12]\b[^>]*>(.*?)</h[12]>", 1)), F.lit(""))
-    return F.coalesce(title, head, F.concat(F.lit("section-"), own_id))
+    return F.coalesce(let(html.spoken(page), of), F.concat(F.lit("section-"), own_id))

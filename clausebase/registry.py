@@ -283,9 +283,24 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("page_id").agg(F.count("*").alias("n_links"), F.count_distinct("l.href").alias("n_targets"))
 
 
+@query(r"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '(?is)<a\s[^>]*>.*?</a>')) AS a FROM pages),
+h AS (SELECT page_id, trim(regexp_extract(a, '(?is)^<a\s(?:[^>]*\s)?href\s*=\s*"([^"]*)"', 1)) AS href, trim(regexp_replace(regexp_replace(a, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS label FROM a),
+d AS (SELECT page_id, replace(replace(replace(replace(href, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS href, replace(replace(replace(replace(label, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS label FROM h)
+SELECT page_id, href, label, count(*) AS n FROM d WHERE href <> '' AND NOT starts_with(href, 'javascript:') AND NOT starts_with(href, '#') GROUP BY ALL""")
+def page_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every anchor's address and label, references decoded, and how often the page has it."""
+    each = _table(spark, sf_dir, "pages").select("page_id", F.explode(urls.links(F.col("html"))).alias("l"))
+    return each.groupBy("page_id", F.col("l.href").alias("href"), F.col("l.text").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_extract(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), ''), 'section-' || page_id) AS title FROM pages""")
+def decoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", urls.page_title(F.col("html"), F.col("page_id").cast("string")).alias("title"))
+
+
 @query(r"SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''), 'section-' || page_id) AS title, CASE WHEN regexp_matches(lower(url), '\.(pdf|docx?|xlsx?)($|[?#])') THEN regexp_extract(lower(url), '\.(pdf|docx|doc|xlsx|xls)', 1) ELSE 'unknown' END AS doc_type FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", urls.page_title(F.col("html"), F.col("page_id").cast("string")).alias("title"), urls.doc_type(F.col("url")).alias("doc_type"))
+    return _table(spark, sf_dir, "pages").select("page_id", urls.page_title(F.col("html"), F.col("page_id").cast("string"), decoded=False).alias("title"), urls.doc_type(F.col("url")).alias("doc_type"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber = 1 THEN 'unknown' WHEN l_linenumber <> l_quantity::INT THEN l_linenumber || '-' || l_quantity::INT ELSE '' || l_linenumber END AS pages,
