@@ -1,5 +1,6 @@
-"""Command line: ingest, resolve, backfill, update, coverage, ask, validate, clean over a store folder.
+"""Command line: scrape, ingest, resolve, backfill, update, coverage, ask, validate, clean over a store folder.
 
+    python -m clausebase scrape --store DIR --root URL --docs DIR [--delay SECONDS] [--max-pages N] [--index DIR]
     python -m clausebase ingest --store DIR --source DIR [--checkpoint DIR]
     python -m clausebase resolve --store DIR
     python -m clausebase backfill --store DIR
@@ -18,19 +19,27 @@ import socket
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from .operators import keyword, report, retrieval
+from .operators import keyword, report, retrieval, scrape
 from .schemas import CHUNKS, DOCUMENTS
-from .sources.index import read_cases, read_index
+from .sources.extractors import fetch, http_fetcher
+from .sources.index import read_cases, read_index, write_index
 from .streaming.ingest import Store, backfill_store, index_of, ingest_stream, resolve_store, run_update, whole_index_of
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="clausebase")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("ingest", "resolve", "backfill", "update", "clean", "coverage", "ask", "validate"):
+    for name in ("scrape", "ingest", "resolve", "backfill", "update", "clean", "coverage", "ask", "validate"):
         command = commands.add_parser(name)
         command.add_argument("--store", required=True)
+        if name == "scrape":
+            command.add_argument("--root", required=True)
+            command.add_argument("--docs", required=True, help="a folder that all executors mount")
+            command.add_argument("--delay", type=float, default=1.0)
+            command.add_argument("--max-pages", type=int)
+            command.add_argument("--index", help="also write the index files here")
         if name in ("ingest", "update"):
             command.add_argument("--source", required=True)
             command.add_argument("--checkpoint")
@@ -60,12 +69,25 @@ def _validate(spark: SparkSession, store: Store, path: str) -> int:
     return int(not all(row["passed"] for row in judged))
 
 
+def _scrape(store: Store, args: argparse.Namespace) -> None:
+    """Pages, then files; an interrupted run goes on with the next."""
+    scrape.crawl_store(store, args.root, lambda urls: fetch(urls, http_fetcher(30), args.delay), most_pages=args.max_pages)
+    state = scrape.download_store(store, args.docs, lambda urls: fetch(urls, http_fetcher(60), args.delay, tries=2))
+    found = scrape.found_of(state, args.docs)
+    if args.index:
+        write_index(found.withColumn("discovered_at", F.lit(None).cast("string")), args.index)
+    for ok, n in found.groupBy("download_ok").count().collect():  # three rows at most
+        print({True: "downloaded", False: "failed"}.get(ok, "waiting"), n)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("clausebase").getOrCreate()
     store = Store(spark, args.store)
     ingest = lambda: ingest_stream(spark, args.source, store, args.checkpoint or f"{args.store}/stream")
-    if args.command == "ingest":
+    if args.command == "scrape":
+        _scrape(store, args)
+    elif args.command == "ingest":
         ingest()
     elif args.command == "resolve":
         print(resolve_store(store))

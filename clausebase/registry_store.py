@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import keyword, retrieval
+from .operators import keyword, retrieval, scrape
 from .plans.corpora import CHUNKS, CIRCULARS, REFS, derived
-from .registry import _PACKED, _RESOLVE, _TOKENS, KEYWORDS, ORACLES, _table, oracle_sql, queries, query
+from .registry import _PACKED, _RESOLVE, _SITE, _TOKENS, KEYWORDS, ORACLES, _site, _table, oracle_sql, queries, query
 from .schemas import POSTINGS, STATUSES
 from .sources.snapshots import shared_folder
 from .streaming import ingest
@@ -179,3 +179,14 @@ def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and places of each term in the stored index, after the older one's postings are dead."""
     postings = _indexed(spark, sf_dir).read("postings", POSTINGS)
     return postings.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(F.size("positions")).alias("n"))
+
+
+@query(f"SELECT doc_id, title, section_path, menu_id, doc_type, level, pages FROM ({ORACLES['crawled_documents']}), (SELECT 2 AS level), (SELECT 1 + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) AS pages)")
+def resumed_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents found by a crawl that ended after two pages and was taken up again, and how many pages it fetched in all."""
+    to, site = _store(spark), _site(spark, sf_dir)
+    answer = lambda asked: asked.join(site, "url").select("url", F.col("html").cast("binary").alias("content"), F.lit(200).alias("http_status"))
+    scrape.crawl_store(to, _SITE + "0", answer, most_pages=2)
+    state = scrape.crawl_store(to, _SITE + "0", answer)
+    pages = scrape.menu_of(state).where("page_ok").agg(F.count("*").alias("pages"))
+    return scrape.found_of(state, "/d").select("doc_id", "title", "section_path", "menu_id", "doc_type", "level").crossJoin(F.broadcast(pages))  # one row

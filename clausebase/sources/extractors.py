@@ -6,10 +6,16 @@ turns failures into error columns, so one bad file fails no task.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import io
+import os
 import re
 import time
+import urllib.request
+import uuid
 import zipfile
+from collections import deque
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 from xml.etree import ElementTree
@@ -17,6 +23,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class PageExtractor(Protocol):
@@ -136,28 +143,94 @@ def embed(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return chunks.select("chunk_id", "text").mapInPandas(run, "chunk_id string, embedding array<float>")
 
 
-def fetch(urls: DataFrame, fetcher: Fetcher, delay: float = 1.0, tries: int = 5, backoff: float = 1.5) -> DataFrame:
-    """url, content, http_status; null where every try failed. One partition, so that the delay holds between all requests."""
+def fetch(urls: DataFrame, fetcher: Fetcher, delay: float = 1.0, tries: int = 5, backoff: float = 1.5, tasks: int | None = None) -> DataFrame:
+    """url, content, http_status; null where every try failed.
+
+    All addresses of a host go to one task, so that at least delay seconds lie
+    between its requests; hosts are fetched side by side in as many tasks as
+    given (default: the session's shuffle partitions), and one task's hosts take
+    turns.  A try that failed waits its backoff while others go on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = 0.0
+        last: dict[str, float] = {}
         for batch in batches:
+            queues: dict[str, deque] = {}
+            for url, host in zip(batch["url"], batch["host"]):
+                queues.setdefault(host, deque()).append((url, 0))
+            ready = [(last.get(host, -delay) + delay, host) for host in queues]
+            heapq.heapify(ready)
             rows = []
-            for url in batch["url"]:
-                got = None
-                for k in range(tries):
-                    time.sleep(max(0.0, last + delay - time.monotonic()) + (backoff * 2 ** (k - 1) if k else 0.0))
-                    last = time.monotonic()
-                    try:
-                        got = fetcher(url)
-                    except Exception:  # any client's: tried again, then null
-                        got = None
-                    if got is not None:
-                        break
-                rows.append((url, *(got or (None, None))))
+            while ready:
+                at, host = heapq.heappop(ready)
+                time.sleep(max(0.0, at - time.monotonic()))
+                last[host] = time.monotonic()
+                url, k = queues[host].popleft()
+                try:
+                    got = fetcher(url)
+                except Exception:  # any client's: tried again, then null
+                    got = None
+                wait = delay
+                if got is None and k + 1 < tries:
+                    queues[host].appendleft((url, k + 1))
+                    wait += backoff * 2**k
+                else:
+                    rows.append((url, *(got or (None, None))))
+                if queues[host]:
+                    heapq.heappush(ready, (last[host] + wait, host))
             yield pd.DataFrame(rows, columns=["url", "content", "http_status"])
 
-    return urls.select("url").coalesce(1).mapInPandas(run, "url string, content binary, http_status int")
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
+    dealt = urls.select("url", host.alias("host")).repartition(tasks or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")), "host")
+    return dealt.mapInPandas(run, "url string, content binary, http_status int")
+
+
+def http_fetcher(timeout: float = 30) -> Fetcher:
+    """Content and status of an address by the standard library; any failure raises."""
+
+    def get(url: str) -> tuple[bytes, int]:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": "Mozilla/5.0"}), timeout=timeout) as answer:
+            return answer.read(), answer.status
+
+    return get
+
+
+def landed(rows: DataFrame) -> DataFrame:
+    """rows with sha1 of the file at local_path, null if there is none; the folder is one that all executors mount."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = []
+            for path in batch["local_path"]:
+                try:
+                    with open(path, "rb") as file:
+                        own.append(hashlib.file_digest(file, "sha1").hexdigest())
+                except FileNotFoundError:
+                    own.append(None)
+            yield batch.assign(sha1=own)
+
+    return rows.mapInPandas(run, T.StructType([*rows.schema.fields, T.StructField("sha1", T.StringType())]))
+
+
+def write_files(rows: DataFrame) -> DataFrame:
+    """Writes content to local_path where it isn't null: source_url, sha1, http_status. A file gets its name when it is whole, so a task that is run again does no harm."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = []
+            for path, content in zip(batch["local_path"], batch["content"]):
+                if content is None:
+                    own.append(None)
+                    continue
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                part = f"{path}.{uuid.uuid4().hex}.tmp"
+                with open(part, "wb") as file:
+                    file.write(content)
+                os.replace(part, path)
+                own.append(hashlib.sha1(content).hexdigest())
+            yield pd.DataFrame({"source_url": batch["source_url"], "sha1": own, "http_status": batch["http_status"].astype("Int32")})
+
+    return rows.select("source_url", "local_path", "content", "http_status").mapInPandas(run, "source_url string, sha1 string, http_status int")
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
