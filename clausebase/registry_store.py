@@ -15,7 +15,7 @@ from .plans.corpora import CHUNKS, CIRCULARS, REFS, derived
 from .registry import _PACKED, _RESOLVE, _SITE, _TOKENS, KEYWORDS, ORACLES, _site, _table, oracle_sql, queries, query
 from .schemas import POSTINGS, STATUSES
 from .sources.snapshots import shared_folder
-from .streaming import ingest
+from .streaming import gate, ingest
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -190,3 +190,14 @@ def resumed_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = scrape.crawl_store(to, _SITE + "0", answer)
     pages = scrape.menu_of(state).where("page_ok").agg(F.count("*").alias("pages"))
     return scrape.found_of(state, "/d").select("doc_id", "title", "section_path", "menu_id", "doc_type", "level").crossJoin(F.broadcast(pages))  # one row
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, max_by(event_type, (ts, event_type)) AS version FROM events GROUP BY user_id")
+def stream_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's newest kind of event, as the last version that a stream over the events let through."""
+    events = _table(spark, sf_dir, "events")
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events[.]parquet")  # a pattern: a stream can read a single file by it
+    new = gate.new_versions(stream, "user_id", "event_type", "ts")
+    new.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return spark.read.parquet(f"{out}/rows").groupBy("key").agg(F.max_by("version", "at_micros").alias("version"))
