@@ -84,11 +84,12 @@ class Files:
 
 @dataclass(frozen=True)
 class Layout:
-    """How a table's segments are laid out: folders by a column, rows sorted within files, and the key by which rows are replaced."""
+    """How a table's segments are laid out: folders by a column, rows sorted within files, the key by which rows are replaced, and the array of structs that new rows hold until they have been dealt to folders."""
 
     key: str = "doc_id"
     folders: tuple[str, ...] = ()
     sort: tuple[str, ...] = ()
+    packed: str | None = None
 
 
 @dataclass
@@ -143,9 +144,12 @@ class Transaction(Snapshot):
         self._keys: dict[DataFrame, dict] = {}
 
     def _write(self, name: str, rows: DataFrame, layout: Layout) -> dict:
-        path, schema = f"data/{name}/{uuid.uuid4().hex}", rows.schema.json()
+        path = f"data/{name}/{uuid.uuid4().hex}"
         if layout.folders:
             rows = rows.hint("rebalance", *layout.folders)  # a folder with a third of all rows is written by several tasks
+        if layout.packed in rows.columns:
+            rows = rows.select(*[c for c in rows.columns if c != layout.packed], F.inline(layout.packed))
+        schema = rows.schema.json()
         if layout.sort:
             rows = rows.sortWithinPartitions(*layout.folders, *layout.sort)
         rows.write.partitionBy(*layout.folders).parquet(f"{self.store.folder}/{path}")
@@ -181,6 +185,16 @@ class Transaction(Snapshot):
         self.tables[name] = {"key": layout.key, "segments": [], "replaced": []}
         self._add(name, rows, layout)
 
+    def compact(self, name: str, layout: Layout | None = None) -> None:
+        """A table as one segment without dead rows; nothing is written if one of its segments holds all live rows."""
+        entry = self._entry(name, layout or Layout())
+        latest = max([0, *(r["at"] for r in entry["replaced"])])
+        settled, older = ([s for s in entry["segments"] if (s["low"] >= latest) is x] for x in (True, False))
+        if len(settled) == 1 and (not older or self._alive(entry, older).isEmpty()):
+            entry["segments"], entry["replaced"] = settled, []
+        elif entry["segments"]:
+            self.overwrite(name, self.read(name), layout)
+
     def _merge(self, name: str, layout: Layout) -> None:
         entry = self.tables[name]
         level = 0

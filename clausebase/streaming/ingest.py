@@ -21,6 +21,7 @@ INCOMING = columns("doc_id string, title string, section_path string, date_raw s
 KEY_BUCKETS = 16
 BY_KEY = Layout(folders=("key_bucket",), sort=("number_key",))
 BY_TERM = Layout(folders=("bucket",), sort=("term", "block"))
+PACKED = Layout(folders=("bucket",), sort=("term", "block"), packed="own")
 BY_CELL = Layout(folders=("cell",))
 BY_DOCUMENT = Layout(sort=("doc_id",))
 
@@ -98,7 +99,7 @@ def replace_links(change: Transaction, documents: DataFrame, refs: DataFrame, id
 def replace_index(change: Transaction, chunks: DataFrame, ids: DataFrame) -> None:
     """Postings of chunks (doc_id, chunk_id, text, title), and the corpus figures by what has come and gone."""
     old = change.base.read("lengths", LENGTHS).join(ids, "doc_id", "left_semi")
-    change.replace("postings", keyword.postings_of(chunks), ids, BY_TERM)
+    change.replace("postings", keyword.packed_postings(chunks), ids, PACKED)
     added = change.replace("lengths", keyword.lengths_of(chunks), ids, BY_DOCUMENT)
     for sign, side in ((-1, old), (1, added)):
         n, total = side.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
@@ -165,7 +166,7 @@ def chunks_of(state: Snapshot) -> DataFrame:
 def optimise_index(to: Store) -> Snapshot:
     """The keyword index as one segment without dead postings, and the bounds of its blocks, which hold until the next change of the index."""
     change = to.begin()
-    change.overwrite("postings", change.read("postings", POSTINGS), BY_TERM)
+    change.compact("postings", BY_TERM)
     change.overwrite("blocks", keyword.blocks_of(change.read("postings", POSTINGS)), BY_TERM)
     change.figures["index_version"] = change.figures["blocks_version"] = change.version
     return change.commit()
@@ -187,7 +188,7 @@ def index_of(state: Snapshot, query: str) -> keyword.KeywordIndex:
 def whole_index_of(state: Snapshot) -> keyword.KeywordIndex:
     """The stored keyword index, for batches of questions."""
     own, n = state.read("postings", POSTINGS), int(state.figures.get("n_chunks", 0))
-    return keyword.KeywordIndex(own.select("chunk_id", "term", F.explode("positions").alias("pos")), own.groupBy("chunk_id").agg(F.first("length").alias("length")), n, state.figures.get("n_tokens", 0) / n if n else 0.0)
+    return keyword.KeywordIndex(own.select("chunk_id", "term", F.explode("positions").alias("pos")), own.groupBy("chunk_id").agg(F.first("length").alias("length")), n, state.figures.get("n_tokens", 0) / n if n else 0.0, own)
 
 
 def resolve_store(to: Store) -> dict[str, int]:

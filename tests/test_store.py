@@ -223,6 +223,42 @@ def test_blocks_give_the_same_hits(spark, tmp_path, monkeypatch):
             assert got == want, (question, blocks)
 
 
+def test_postings_and_questions_shuffle_no_places(spark, capsys):
+    """A chunk's postings are made in its own row; hits are gathered by chunk, not by question."""
+    chunks = spark.createDataFrame([("d", "c1", "fee the fee", "rule"), ("d", "c2", "the sea-salt", ""), ("e", "c3", "", None)], "doc_id string, chunk_id string, text string, title string")
+    postings = keyword.postings_of(chunks)
+    postings.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    got = {(r.chunk_id, r.term, tuple(r.positions), r.length) for r in postings.collect()}
+    assert got == {("c1", "fee", (0, 2), 4), ("c1", "the", (1,), 4), ("c1", "rule", (keyword.TITLE_OFFSET,), 4), ("c2", "the", (0,), 3), ("c2", "sea", (1,), 3), ("c2", "salt", (2,), 3)}
+    index = keyword.build_index(chunks)
+    questions = spark.createDataFrame([(k, q) for k, q in enumerate(["the", "the the", "sea-salt the", "salt-sea", "fee the absent", "rule fee", "?"])], "question_id int, question string")
+    for own in (index, keyword.KeywordIndex(index.postings, index.lengths, index.n_chunks, index.mean_length, postings)):
+        many = keyword.search_many(own, questions, 5)
+        got = sorted((r.question_id, r["rank"], r.chunk_id, round(r.bm25, 9)) for r in many.collect())
+        want = [(q.question_id, k + 1, r.chunk_id, round(r.bm25, 9)) for q in questions.collect() if q.question != "?" for k, r in enumerate(keyword.search(index, q.question, 5).collect())]
+        assert got == want
+    many.explain()
+    plan = capsys.readouterr().out
+    assert "Exchange hashpartitioning(chunk_id" in plan and "hashpartitioning(question_id#" in plan and ", chunk_id#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(question_id" in x)
+
+
+def test_an_index_of_one_live_segment_is_not_written_again(spark, tmp_path):
+    to = ingest.Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(d, d, f"fee {d}", "") for d in "abc"], "doc_id string, chunk_id string, text string, title string")
+    for ids in (["a", "b", "c"], ["a", "b", "c"], ["a"]):
+        change = to.begin()
+        own = rows.where(F.col("doc_id").isin(ids))
+        ingest.replace_index(change, own, own.select("doc_id"))
+        state = change.commit()
+        want = sorted((r.doc_id, r.term) for r in state.read("postings", POSTINGS).collect())
+        before = {s["path"] for s in state.tables["postings"]["segments"]}
+        state = ingest.optimise_index(to)
+        after = {s["path"] for s in state.tables["postings"]["segments"]}
+        assert len(after) == 1 and (after <= before) is (len(ids) == 3) and not state.tables["postings"]["replaced"]
+        assert sorted((r.doc_id, r.term) for r in state.read("postings", POSTINGS).collect()) == want
+
+
 def test_bounds_are_used_only_while_they_hold(spark, ingested, monkeypatch):
     def ids(state):
         return [r.chunk_id for r in ingest.keyword_hits(state, "refunds", 5).collect()]
