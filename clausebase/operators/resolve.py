@@ -63,11 +63,11 @@ def resolve(documents: DataFrame, chunks: DataFrame, refs: DataFrame, doc_order:
     superseded and exactly one document is known to have done it.
     """
     ref = classify(refs, documents, doc_order)
-    hits = _hits(ref, chunks)
-    statuses = _statuses(hits).drop("doc_id")
-    rollups = _rollups(chunks, statuses)
+    judged = _judged(_pairs(ref, chunks))
+    statuses = _statuses(judged).drop("doc_id")
+    rollups = _rollups(judged)
 
-    used = hits.where("outcome = 'partial'").select("ref_ord").distinct().withColumn("matched", F.lit(True))
+    used = _pairs(ref, chunks).where("scoped and outcome = 'partial'").select("ref_ord").distinct().withColumn("matched", F.lit(True))
     counted = ref.join(used, "ref_ord", "left")
     unscoped = (F.col("outcome") == "unscoped") | ((F.col("outcome") == "partial") & F.col("matched").isNull())
     by_ref = counted.agg(F.count("*").alias("refs_checked"), F.count_if(F.col("outcome") == "unmatched").alias("unmatched"), F.count_if(F.col("outcome") == "skipped_date_order").alias("skipped_date_order"), F.count_if(unscoped).alias("skipped_unscoped_partial"), F.count_if(F.col("outcome") == "informational").alias("informational_skipped"))
@@ -78,32 +78,44 @@ def resolve(documents: DataFrame, chunks: DataFrame, refs: DataFrame, doc_order:
     return Resolution(statuses, rollups, counters)
 
 
-def _hits(ref: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Classified references and the chunks that they speak of."""
+def _pairs(ref: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Classified references and all chunks of their targets; scoped says whether one speaks of the other."""
     live = ref.where(F.col("outcome").isin("full", "partial")).select("ref_ord", "target_id", "outcome", "referenced_clause", "source_date", "source_summary", F.col("doc_id").alias("source_id"))
-    own = chunks.select("chunk_id", F.col("doc_id").alias("target_id"), normal_clause(F.col("clause_ref")).alias("own_clause"))
+    own = chunks.select("chunk_id", F.col("doc_id").alias("target_id"), normal_clause(F.col("clause_ref")).alias("own_clause"), F.coalesce("status", F.lit("current")).alias("old"))
     scoped = (F.col("outcome") == "full") | clause_matches(F.col("own_clause"), normal_clause(F.col("referenced_clause")))
-    return live.join(own, "target_id").where(scoped)
+    return live.join(own, "target_id").withColumn("scoped", scoped)
 
 
-def _statuses(hits: DataFrame) -> DataFrame:
-    """doc_id, chunk_id, status, note, winner."""
+def _judged(pairs: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, old, status, note, winner of every chunk of a target; the last three are null if no reference speaks of it.
+
+    The pairs lie by document from the join on, and chunks and roll-ups are
+    aggregated where they lie: each table is shuffled once.
+    """
     status = F.when(F.col("outcome") == "full", "superseded").otherwise("amended")
     note = F.when(F.col("outcome") == "full", F.col("source_summary")).otherwise(F.concat(F.lit("Amended (Clause "), F.col("referenced_clause"), F.lit(") by "), F.col("source_summary")))
-    proposals = hits.select("chunk_id", "target_id", "ref_ord", "source_date", "source_id", status.alias("status"), note.alias("note"))
-    each = proposals.groupBy("chunk_id").agg(
-        F.min("target_id").alias("doc_id"), F.min("status").alias("low"), F.max("status").alias("high"),
-        F.min_by(F.struct("note", "source_id"), F.struct(_latest_first("source_date"), "ref_ord")).alias("best"),
-        F.concat(F.lit(CONFLICT), F.array_join(F.array_sort(F.collect_set("note")), "; ")).alias("conflict"),
+    said = lambda value: F.when(F.col("scoped"), value)
+    proposals = pairs.select("target_id", "chunk_id", "old", "ref_ord", "source_date", "source_id", said(status).alias("status"), said(note).alias("note"))
+    each = proposals.groupBy(F.col("target_id").alias("doc_id"), "chunk_id", "old").agg(
+        F.min("status").alias("low"), F.max("status").alias("high"),
+        F.min_by(F.struct("note", "source_id"), F.when(F.col("status").isNotNull(), F.struct(_latest_first("source_date"), "ref_ord"))).alias("best"),
+        F.collect_set("note").alias("notes"),
     )
     one = F.col("low") == F.col("high")
-    return each.select("doc_id", "chunk_id", F.when(one, F.col("low")).otherwise("ambiguous").alias("status"), F.when(one, F.col("best.note")).otherwise(F.col("conflict")).alias("note"), F.when(one, F.col("best.source_id")).alias("winner"))
+    conflict = F.concat(F.lit(CONFLICT), F.array_join(F.array_sort("notes"), "; "))
+    return each.select("doc_id", "chunk_id", "old", F.when(one, F.col("low")).when(F.col("low") != F.col("high"), "ambiguous").alias("status"), F.when(one, F.col("best.note")).when(F.col("low") != F.col("high"), conflict).alias("note"), F.when(one, F.col("best.source_id")).alias("winner"))
+
+
+def _statuses(judged: DataFrame) -> DataFrame:
+    """doc_id, chunk_id, status, note, winner."""
+    return judged.where("status is not null").select("doc_id", "chunk_id", "status", "note", "winner")
 
 
-def _rollups(chunks: DataFrame, statuses: DataFrame) -> DataFrame:
-    after = chunks.select("chunk_id", "doc_id", F.coalesce("status", F.lit("current")).alias("old")).join(statuses.select("chunk_id", "status", "note", "winner"), "chunk_id", "left").withColumn("status", F.coalesce("status", "old"))
-    rolled = after.groupBy("doc_id").agg(F.bool_and(F.col("status") == "superseded").alias("all_gone"), F.count_distinct("winner").alias("n"), F.max("winner").alias("superseded_by_doc_id"), F.max_by("note", F.when(F.col("winner").isNotNull(), F.col("chunk_id"))).alias("superseded_by_summary"))
-    return rolled.where("all_gone and n = 1").select("doc_id", "superseded_by_doc_id", "superseded_by_summary")
+def _rollups(judged: DataFrame) -> DataFrame:
+    """A document without a reference has no winner, so targets are enough."""
+    gone = F.coalesce("status", "old") == "superseded"
+    rolled = judged.groupBy("doc_id").agg(F.bool_and(gone).alias("all_gone"), F.min("winner").alias("low"), F.max("winner").alias("superseded_by_doc_id"), F.max_by("note", F.when(F.col("winner").isNotNull(), F.col("chunk_id"))).alias("superseded_by_summary"))
+    return rolled.where("all_gone and low = superseded_by_doc_id").select("doc_id", "superseded_by_doc_id", "superseded_by_summary")
 
 
 def linked(refs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -122,8 +134,8 @@ def resolve_keys(numbers: DataFrame, links: DataFrame, chunks: DataFrame) -> tup
     """
     targets = numbers.groupBy("number_key").agg(F.max(F.struct(F.col("doc_id").alias("target_id"), F.col("date_parsed").alias("target_date"))).alias("t")).select("number_key", "t.*")
     ref = links.join(targets, "number_key").withColumns({"has_source": F.lit(True), "ref_ord": F.struct("doc_id", "ref_ord")})
-    statuses = _statuses(_hits(ref.withColumn("outcome", _outcome()), chunks))
-    return statuses, _rollups(chunks.withColumn("status", F.lit(None).cast("string")), statuses)
+    judged = _judged(_pairs(ref.withColumn("outcome", _outcome()), chunks.withColumn("status", F.lit(None).cast("string"))))
+    return _statuses(judged), _rollups(judged)
 
 
 def apply_statuses(chunks: DataFrame, found: Resolution) -> DataFrame:

@@ -107,6 +107,24 @@ def resolved(spark, docs, chunks, refs):
 OLD = ("old", "Old", "TC-I/2019/1", "2019-01-01")
 
 
+def test_resolver_shuffles_chunks_once(spark, capsys):
+    """Chunks are joined by document, and statuses and roll-ups are aggregated where they lie."""
+    d = spark.createDataFrame([OLD, ("new", "New", "TC-I/2021/9", "2021-06-01")], "doc_id string, title string, document_number string, date_parsed string")
+    c = chunk_table(spark, [("o1", "old", "1", None, "x"), ("o2", "old", "2", "superseded", "x"), ("o3", "old", "3", None, "x")])
+    r = spark.createDataFrame([(0, "new", "amendment", "TC-I/2019/1", "1"), (1, "new", "supersession", "TC-I/2019/1", None)], "ref_ord int, doc_id string, relation string, referenced_number string, referenced_clause string")
+    low = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        resolve.resolve(d, c, r).rollups.explain()
+        plan = capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", low)
+    assert "Exchange hashpartitioning(chunk_id" not in plan and plan.count("Exchange hashpartitioning(target_id") == 2
+    found = resolve.resolve(d, c, r.where("ref_ord = 0"))
+    assert [(x.chunk_id, x.status) for x in found.statuses.collect()] == [("o1", "amended")] and found.rollups.count() == 0
+    assert [x.doc_id for x in resolve.resolve(d, c, r.where("ref_ord = 1")).rollups.collect()] == ["old"]
+
+
 def test_resolver(spark):
     new, amend = ("new", "New", "TC-I/2021/9", "2021-06-01"), ("amend", "Amend", "TC-I/2021/2", "2021-01-01")
     two = [("o1", "old", "1", None), ("o2", "old", "2", None)]
