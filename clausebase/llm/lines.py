@@ -12,7 +12,8 @@ the parities of token hashes.  A line is removed if an earlier line, by
 Classes meet in two levels.  First each one meets the representatives of its
 prefix tokens, the earliest class and the one with the most copies: that is
 linear, and settles most of a group of near copies.  Then those not settled
-meet all earlier classes.  Both levels verify Jaccard on the lines' tokens.
+meet all earlier classes.  Both levels verify Jaccard on
+the 64-bit hashes of all the lines' tokens.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, fence
 
-RARITY_BITS = 18
+RARITY_BITS = 16
 BUCKETS = 1 << RARITY_BITS
 #: Rows of one long that may be broadcast to filter texts; beyond, the join shuffles.
 FILTER_ROWS = 200_000
@@ -35,29 +36,29 @@ FIRST_SLICE = 4
 #: A token has representatives if it is in the prefix of more classes than this.
 CROWD = 8
 #: Lines of more tokens have parities of 128 bits, others of 64.
-WIDE = 112
+WIDE = 40
 SPACES = "\t\r\f\u000b"
 
 
-def plain(text: Column) -> Column:
-    """Other white space within lines as spaces."""
-    for c in SPACES:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+def plain(text: Column, more: str = "") -> Column:
+    """Other white space within lines, and the characters of ``more``, as spaces."""
+    return F.regexp_replace(text, f"[{SPACES}{more}]", " ")
 
 
-def token_list(line: Column) -> Column:
-    """Tokens of a line in which only spaces separate."""
-    return F.array_remove(F.split(line, " "), "")
+def hashed(tokens: Column) -> Column:
+    """64-bit hashes of the tokens that aren't empty."""
+    return F.array_remove(F.transform(tokens, lambda t: F.xxhash64(t)), F.xxhash64(F.lit("")))
 
 
 def rarity(docs: DataFrame) -> Column:
     """Rarity of each hash bucket (third parts of the binary logarithm of its count of tokens in all documents) as an array literal of BUCKETS bytes."""
-    tokens = docs.select(F.explode(F.split(F.replace(plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("t"))
+    tokens = docs.select(F.explode(F.split(plain(F.col("text"), "\n"), " ")).alias("t"))
     counts = tokens.select(F.xxhash64("t").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    packed = counts.select((F.col("b") * 128 + F.least(F.lit(127), F.ceil(3 * F.log2("n"))).cast("int")).alias("x")).groupBy(F.pmod(F.shiftright("x", 7), F.lit(64)).alias("part")).agg(F.collect_list("x").alias("all"))
     table = [0] * BUCKETS
-    for row in counts.select("b", F.least(F.lit(127), F.ceil(3 * F.log2("n"))).cast("int").alias("r")).collect():  # BUCKETS rows at most
-        table[row["b"]] = row["r"]
+    for row in packed.select("all").collect():  # BUCKETS numbers at most; as rows of their own they took the driver's Python 350 bytes each
+        for x in row["all"]:
+            table[x >> 7] = x & 127
     return F.from_json(F.lit(json.dumps(table)), "array<tinyint>")
 
 
@@ -65,14 +66,13 @@ def ordered(tokens: Column, table: Column) -> Column:
     """Distinct 63-bit keys of the tokens that aren't empty, rare first: the bucket's rarity, then the rest of the hash."""
     rare = lambda h: F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("tinyint"))  # noqa: E731  never null: keys are then sorted as longs
     key = lambda h: F.shiftleft(rare(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    hashes = F.array_distinct(F.transform(tokens, lambda t: F.xxhash64(t)))
-    return F.sort_array(F.transform(F.array_remove(hashes, F.xxhash64(F.lit(""))), key))
+    return F.sort_array(F.transform(F.array_distinct(hashed(tokens)), key))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """rid, doc_id, line_no, line of every line that holds a token."""
     each = docs.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.where(F.btrim("line", F.lit(" " + SPACES)) != "")
+    return each.where(F.ltrim("line", F.lit(" " + SPACES)) != "")
 
 
 def parity(keys: Column) -> tuple[Column, Column]:
@@ -88,27 +88,35 @@ def parity(keys: Column) -> tuple[Column, Column]:
     return whole, F.when(F.size(keys) > WIDE, half).otherwise(zero)
 
 
-def _heads(classes: DataFrame, slices: int, part: int) -> DataFrame:
+def _heads(classes: DataFrame, slices: int, part: int, *more: str) -> DataFrame:
     """A row for each prefix token of each class, of one of ``slices`` slices of the tokens.
 
     place orders classes but for those of one doc_id; n is negative for classes that look for no partner.
     """
     place = F.coalesce(F.col("at.doc_id"), F.lit(-(1 << 63)).cast("long")).alias("place")
-    rows = classes.select("id", place, "copies", F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("n"), "bits", "more", F.posexplode("prefix").alias("i", "token"))
+    rows = classes.select("id", place, "copies", F.when(F.col("open"), F.col("n")).otherwise(-F.col("n")).alias("n"), "bits", "more", *more, F.posexplode("prefix").alias("i", "token"))
     return rows.where(F.pmod("token", F.lit(slices)) == part)
 
 
+def _alike(a: str, b: str) -> tuple[Column, Column]:
+    """Whether two rows pass the filter on parity, and the bits in which they differ."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    na, nb = F.abs(c(a, "n")), F.abs(c(b, "n"))
+    whole, half = c(a, "bits").bitwiseXOR(c(b, "bits")), c(a, "more").bitwiseXOR(c(b, "more"))
+    apart = F.when((na > WIDE) & (nb > WIDE), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+    return 9 * apart <= na + nb, apart
+
+
 def _near(a: str, b: str) -> tuple[Column, Column]:
-    """Whether two rows pass the filters on length, parity and order (a before b, b open), and the bits in which they differ.
+    """Whether two rows pass the filters on length, parity and order (a before b), and the bits in which they differ.
 
     Each condition is on both sides, none on one alone: so both are the same exchange, written once.
     """
     c = lambda side, name: F.col(f"{side}.{name}")
     na, nb = F.abs(c(a, "n")), c(b, "n")
-    whole, half = c(a, "bits").bitwiseXOR(c(b, "bits")), c(a, "more").bitwiseXOR(c(b, "more"))
-    apart = F.when((na > WIDE) & (nb > WIDE), F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
+    alike, apart = _alike(a, b)
     length = 5 * F.least(na, nb) >= 4 * F.greatest(na, nb)
-    return (c(a, "place") <= c(b, "place")) & (c(a, "id") != c(b, "id")) & length & (9 * apart <= na + nb), apart
+    return (c(a, "place") <= c(b, "place")) & (c(a, "id") != c(b, "id")) & length & alike, apart
 
 
 def _by_representatives(heads: DataFrame) -> DataFrame:
@@ -123,21 +131,39 @@ def _by_representatives(heads: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.min_by("a", "apart").alias("a"))
 
 
-def _candidates(heads: DataFrame) -> DataFrame:
-    """a, b of open classes b and those that share a prefix token with them, past the filters.
+def _band(n: Column) -> Column:
+    """Half octaves of set sizes: sets with a Jaccard index of 0.8 or more are in one of them or in two that follow."""
+    return F.floor(2 * F.log2(n)).cast("int")
+
+
+def _keyed(classes: DataFrame, bands: Column, most: str, slices: int, part: int) -> DataFrame:
+    """Heads of the first ``most`` prefix tokens, once for each of the bands, whose tokens are joined with the band."""
+    each = classes.withColumn("prefix", F.slice("prefix", 1, F.expr(most))).withColumn("band", F.explode(bands))
+    return _heads(each, slices, part, "band").withColumn("token", F.hash("token", "band")).drop("copies", "band")
+
+
+def _candidates(classes: DataFrame, slices: int, part: int) -> DataFrame:
+    """a, b of open classes b and those that share a prefix token with them, past the filters, for one slice of the tokens.
 
-    The positional filter is that of the first token they share: none before
-    it is common, so all that are lie from there on.
+    Of two sets the smaller has its first shared token among its first
+    floor(n / 9) + 1, so only those are looked up, in the bands of sizes that
+    a larger partner can have: pairs of a common token with unlike sizes never
+    meet.  The positional filter is that of the first token they share: none
+    before it is common, so all that are lie from there on.
     """
-    near, _ = _near("a", "b")
-    na, nb = F.abs("a.n"), F.col("b.n")
+    small = _keyed(classes, F.array_distinct(F.array(_band(F.col("n")), _band(F.expr("5 * n div 4")))), "n div 9 + 1", slices, part).alias("a")
+    large = _keyed(classes, F.array(_band(F.col("n"))), "n div 5 + 1", slices, part).alias("b")
+    na, nb = F.abs("a.n"), F.abs("b.n")
     position = 9 * F.least(na - F.col("a.i"), nb - F.col("b.i")) >= 4 * (na + nb)
-    a, b = heads.alias("a"), heads.alias("b")
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & near & position).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    forth = (F.col("a.place") <= F.col("b.place")) & (F.col("b.n") > 0)
+    back = (F.col("b.place") <= F.col("a.place")) & (F.col("a.n") > 0)
+    met = small.join(large, (F.col("a.token") == F.col("b.token")) & position & (na <= nb) & (F.col("a.id") != F.col("b.id")) & _alike("a", "b")[0] & (forth | back))
+    pair = lambda a, b: F.struct(F.col(f"{a}.id").alias("a"), F.col(f"{b}.id").alias("b"))
+    return met.select(F.explode(F.array(F.when(forth, pair("a", "b")), F.when(back, pair("b", "a")))).alias("p")).where("p is not null").select("p.a", "p.b").distinct()
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id of each b of the pairs whose a is before it and similar, judged by their tokens as they stand in the texts."""
+    """id of each b of the pairs whose a is before it and similar, judged by the 64-bit hashes of all tokens of their lines."""
     ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct().join(classes.select("id", "at"), "id")
     per_text = durable(ids.groupBy("at.rid").agg(F.collect_list(F.struct("at", "id")).alias("wanted")))  # at most the lines of one text
     texts = docs.select("rid", "text")
@@ -145,11 +171,11 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
         texts = texts.join(F.broadcast(per_text.select("rid")), "rid", "left_semi")
     texts = texts.dropDuplicates(["rid"]).join(per_text, "rid")
     found = texts.select(fence(F.split("text", "\n")).alias("all"), "wanted").select("all", F.explode("wanted").alias("w"))
-    lines = durable(found.select("w.id", "w.at", F.get("all", F.col("w.at.line_no")).alias("line")))
-    side = lambda x: lines.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("line").alias(f"line_{x}"))
+    tokens = F.array_distinct(hashed(F.split(plain(F.get("all", F.col("w.at.line_no"))), " ")))
+    lines = durable(found.select("w.id", "w.at", tokens.alias("k")))  # once for each line, not for each of its pairs
+    side = lambda x: lines.select(F.col("id").alias(x), F.col("at").alias(f"at_{x}"), F.col("k").alias(f"k{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where("at_a < at_b")
-    own = both.select("b", *[fence(F.array_distinct(token_list(plain(F.col(f"line_{x}"))))).alias(f"k{x}") for x in "ab"])
-    return durable(own.where(9 * F.size(F.array_intersect("ka", "kb")) >= 4 * (F.size("ka") + F.size("kb"))).select(F.col("b").alias("id")).distinct())
+    return durable(both.where(9 * F.size(F.array_intersect("ka", "kb")) >= 4 * (F.size("ka") + F.size("kb"))).select(F.col("b").alias("id")).distinct())
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -170,7 +196,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         classes = durable(classes)  # joined once, not for each slice
     open_classes = classes.withColumn("open", ~F.col("settled"))
     # one slice of the tokens at a time, so that only its rows are on disk
-    pairs = functools.reduce(DataFrame.unionByName, [durable(_candidates(_heads(open_classes, SLICES, k))) for k in range(SLICES)]).distinct()
+    pairs = functools.reduce(DataFrame.unionByName, [durable(_candidates(open_classes, SLICES, k)) for k in range(SLICES)]).distinct()
     classes = _marked(classes, _verified(docs, classes, durable(pairs)), "similar").withColumn("gone", F.col("settled") | F.col("similar"))
 
     places = classes.where("gone").select("at.rid", "at.doc_id", "at.line_no")
@@ -202,8 +228,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own = _own(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     gone = removed_lines(own).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))  # at most the lines of one text
-    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    sizes = own.select("rid", "doc_id", n_lines.cast("long").alias("n_lines")).dropDuplicates(["rid"])
+    sizes = own.select("rid", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines")).dropDuplicates(["rid"])
     joined = sizes.join(gone, "rid", "left").withColumn("gone", F.sort_array(F.coalesce("gone", F.array().cast("array<int>"))))
     return joined.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
 

@@ -124,6 +124,23 @@ def test_line_dedup_of_a_large_group(spark, monkeypatch):
     assert got == {i: len(want.get(i, [])) for i, _ in docs}
 
 
+def test_line_dedup_meets_few_pairs_of_a_group(spark, monkeypatch):
+    rng, met, verified = random.Random(31), [], lines._verified
+    base = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    own = []
+    for _ in range(120):  # two of them differ in about 19 tokens, 13 are allowed
+        line = list(base)
+        for k in rng.sample(range(60), 5):
+            line[k] = f"e{rng.randrange(10**9)}"
+        own.append(" ".join(line))
+    docs = list(enumerate(own))
+    monkeypatch.setattr(lines, "_verified", lambda d, c, pairs: (met.append(pairs.count()), verified(d, c, pairs))[1])
+    got = {r.doc_id: r.n_removed for r in lines.line_dedup(frame(spark, docs)).collect()}
+    want = brute.removed_lines(docs)
+    assert got == {i: len(want.get(i, [])) for i, _ in docs}
+    assert sum(met) < 1000  # of 7,140
+
+
 def test_line_dedup_with_null_ids(spark):
     line = [f"word{i}" for i in range(30)]
     other = lambda k: " ".join([*line[:k], "changed", *line[k + 1 :]])
