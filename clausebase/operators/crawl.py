@@ -41,7 +41,7 @@ def crawl_pages(pages: DataFrame, root_url: str, most_levels: int | None = None)
         found = menu.select(F.col("menu_id").alias("id"), F.col("target").alias("url"), breadcrumb(F.col("crumb"), F.col("label"), F.col("menu_id")).alias("crumb"), F.lit(level).alias("level"), F.concat("ord", F.format_string("/%06d", F.col("link_ord"))).alias("ord"))
         found = found.join(visited.select("id"), "id", "left_anti")
         first = found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("n = 1").drop("n")
-        frontier = _cut(first)  # each level's plan would hold those of all levels before it twice
+        frontier = cut(first)  # each level's plan would hold those of all levels before it twice
         if frontier.isEmpty():
             break
         if most_levels is not None and level > most_levels:
@@ -52,7 +52,8 @@ def crawl_pages(pages: DataFrame, root_url: str, most_levels: int | None = None)
     return visited.select("id", "url", "crumb", "level", F.col("ord").alias("node_ord")), docs
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)

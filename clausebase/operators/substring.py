@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fence
+from .crawl import cut
 
 WORD = r"[\p{L}\p{N}]+"
 GRAM = 3
@@ -14,12 +15,16 @@ BROADCAST_ROWS, BLOCK = 20_000, 500
 
 
 def _grams(words: Column, n: int) -> Column:
-    """Hashes of all runs of n words, none if there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, n), " ")))
+    """Hashes of all runs of n words, none if there are fewer. words: hashes of the words."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.lit(n), *[F.get(words, i + k) for k in range(n)]))
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -42,14 +47,15 @@ def containing(docs: DataFrame, needles: DataFrame) -> DataFrame:
     if not sizes:
         return found.distinct()
     of_size = lambda w: F.coalesce(*[F.when(F.col("n") == n, _grams(w, n)) for n in sizes])
-    grams = keyed.select("item_id", F.explode(F.array_distinct(of_size(F.col("inner")))).alias("h"))
-    own = texts.select("doc_id", fence(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[_grams(F.col("w"), n) for n in sizes]))).alias("h"))
-    counts = own.join(_small(grams.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("c"))
+    grams = keyed.select("item_id", F.explode(F.array_distinct(of_size(fence(_hashes(F.col("inner")))))).alias("h"))
+    own = texts.select("doc_id", fence(_hashes(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[_grams(F.col("w"), n) for n in sizes]))).alias("h"))
+    hits = cut(own.join(small(grams.select("h").distinct()), "h"))  # the texts' words are read once
+    counts = hits.groupBy("h").agg(F.count("*").alias("c"))
     # a needle with a run that no text has is in none
     picked = grams.join(counts, "h", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "h")).alias("best")).where("best.c > 0").select("item_id", F.col("best.h").alias("h"))
-    pairs = own.join(_small(picked), "h").select("item_id", "doc_id").distinct()
-    checked = pairs.join(_small(low), "item_id").join(texts, "doc_id").where(F.contains("text", "needle")).select("item_id", "doc_id")
-    return checked.unionByName(found).distinct()
+    pairs = cut(hits.join(small(picked), "h").select("item_id", "doc_id").distinct())
+    checked = texts.join(small(pairs), "doc_id").join(small(low), "item_id").where(F.contains("text", "needle")).select("item_id", "doc_id")
+    return cut(checked.unionByName(found).distinct())
 
 
 def _of_short(texts: DataFrame, needles: DataFrame) -> DataFrame:

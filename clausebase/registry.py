@@ -317,7 +317,7 @@ def hit_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = _table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents")
     pairs = substring.containing(docs, items.select("item_id", F.col("text").alias("needle")))
-    cited = pairs.join(docs.select("doc_id", "text"), "doc_id").select(F.col("item_id").cast("string").alias("question"), F.lit(None).cast("string").alias("circular_number"), F.col("text").alias("title"))
+    cited = docs.select("doc_id", "text").join(substring.small(pairs), "doc_id").select(F.col("item_id").cast("string").alias("question"), F.lit(None).cast("string").alias("circular_number"), F.col("text").alias("title"))
     cases = items.select(F.col("item_id").cast("string").alias("question"), F.lit(None).cast("string").alias("expected_number"), F.col("text").alias("expected_keyword"))
     return retrieval.judged_cases(cases, cited).select(F.col("question").cast("long").alias("item_id"), "passed", "reason")
 

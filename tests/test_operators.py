@@ -357,3 +357,16 @@ def test_indented_index_in_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(whole) == len(rows)
+
+
+def test_containing_reads_texts_words_once(spark, monkeypatch):
+    from clausebase.operators import substring
+
+    read, extract = [], F.regexp_extract_all
+    monkeypatch.setattr(substring.F, "regexp_extract_all", lambda c, *a: (read.append(c), extract(c, *a))[1])
+    texts = spark.createDataFrame([(1, "x alpha beta gamma delta y"), (2, "alpha beta gamma"), (3, None)], "doc_id long, text string")
+    needles = spark.createDataFrame([(7, "alpha BETA gamma delta"), (8, "beta gamma delta epsilon")], "item_id long, needle string")
+    out = substring.containing(texts, needles)
+    assert [tuple(r) for r in out.collect()] == [(7, 1)] and read.count("text") == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # the words' plan is cut off, not run again by each use
