@@ -37,6 +37,8 @@ FIRST_SLICE = 4
 CROWD = 8
 #: Lines of more tokens have parities of 128 bits, others of 64.
 WIDE = 40
+#: No token: 32 bits, tokens have 31.
+NONE = 0xFFFFFFFF
 SPACES = "\t\r\f\u000b"
 
 
@@ -136,10 +138,19 @@ def _band(n: Column) -> Column:
     return F.floor(2 * F.log2(n)).cast("int")
 
 
-def _keyed(classes: DataFrame, bands: Column, most: str, slices: int, part: int) -> DataFrame:
-    """Heads of the first ``most`` prefix tokens, once for each of the bands, whose tokens are joined with the band."""
-    each = classes.withColumn("prefix", F.slice("prefix", 1, F.expr(most))).withColumn("band", F.explode(bands))
-    return _heads(each, slices, part, "band").withColumn("token", F.hash("token", "band")).drop("copies", "band")
+def _keyed(classes: DataFrame, bands: Column, slices: int, part: int) -> DataFrame:
+    """Heads of the first ``most`` prefix tokens for each (band, most) of the bands, whose tokens are joined with the band; last: the two tokens before each."""
+    each = classes.withColumn("in", F.explode(bands)).withColumns({"band": F.col("in.band"), "prefix": F.slice("prefix", 1, F.col("in.most"))})
+    before = lambda k: F.coalesce(F.get("prefix", F.col("i") - k), F.lit(-1)).cast("long")  # noqa: E731  tokens are never negative
+    last = F.shiftleft(before(1), 32).bitwiseOR(before(2).bitwiseAND(NONE))
+    return _heads(each, slices, part, "band", "prefix").withColumns({"last": last, "token": F.hash("token", "band")}).drop("copies", "band", "prefix")
+
+
+def _met_before() -> Column:
+    """Whether a and b share one of the two tokens before theirs, so that they meet on that one too."""
+    two = lambda side: (F.shiftrightunsigned(f"{side}.last", 32), F.col(f"{side}.last").bitwiseAND(NONE))
+    (a1, a2), (b1, b2) = two("a"), two("b")
+    return ((a1 != NONE) & ((a1 == b1) | (a1 == b2))) | ((a2 != NONE) & ((a2 == b1) | (a2 == b2)))
 
 
 def _candidates(classes: DataFrame, slices: int, part: int) -> DataFrame:
@@ -148,23 +159,32 @@ def _candidates(classes: DataFrame, slices: int, part: int) -> DataFrame:
     Of two sets the smaller has its first shared token among its first
     floor(n / 9) + 1, so only those are looked up, in the bands of sizes that
     a larger partner can have: pairs of a common token with unlike sizes never
-    meet.  The positional filter is that of the first token they share: none
-    before it is common, so all that are lie from there on.
+    meet.  In the next band all partners have ``least`` tokens or more, and
+    so many must be shared that fewer are looked up.  The positional filter is
+    that of the first token they share: none before it is common, so all that
+    are lie from there on.  It holds at every shared token before one at which
+    it holds, so near copies, which share most tokens, need not be paired again
+    where they share one of the two before.
     """
-    small = _keyed(classes, F.array_distinct(F.array(_band(F.col("n")), _band(F.expr("5 * n div 4")))), "n div 9 + 1", slices, part).alias("a")
-    large = _keyed(classes, F.array(_band(F.col("n"))), "n div 5 + 1", slices, part).alias("b")
+    own = _band(F.col("n"))
+    most = lambda band, limit: F.struct(band.alias("band"), F.expr(limit).cast("int").alias("most"))
+    least = "cast(ceil(pow(2D, (floor(2 * log2(n)) + 1) / 2D) - 1e-6) as int)"
+    home, away = most(own, "n div 9 + 1"), most(own + 1, f"n + 1 - (4 * (n + {least}) + 8) div 9")
+    small = _keyed(classes, F.when(_band(F.expr("5 * n div 4")) > own, F.array(home, away)).otherwise(F.array(home)), slices, part).alias("a")
+    large = _keyed(classes, F.array(most(own, "n div 5 + 1")), slices, part).alias("b")
     na, nb = F.abs("a.n"), F.abs("b.n")
     position = 9 * F.least(na - F.col("a.i"), nb - F.col("b.i")) >= 4 * (na + nb)
     forth = (F.col("a.place") <= F.col("b.place")) & (F.col("b.n") > 0)
     back = (F.col("b.place") <= F.col("a.place")) & (F.col("a.n") > 0)
-    met = small.join(large, (F.col("a.token") == F.col("b.token")) & position & (na <= nb) & (F.col("a.id") != F.col("b.id")) & _alike("a", "b")[0] & (forth | back))
+    once = (na < nb) | ((na == nb) & (F.col("a.id") < F.col("b.id")))
+    met = small.join(large, (F.col("a.token") == F.col("b.token")) & position & once & _alike("a", "b")[0] & (forth | back) & ~_met_before())
     pair = lambda a, b: F.struct(F.col(f"{a}.id").alias("a"), F.col(f"{b}.id").alias("b"))
     return met.select(F.explode(F.array(F.when(forth, pair("a", "b")), F.when(back, pair("b", "a")))).alias("p")).where("p is not null").select("p.a", "p.b").distinct()
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """id of each b of the pairs whose a is before it and similar, judged by the 64-bit hashes of all tokens of their lines."""
-    ids = pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct().join(classes.select("id", "at"), "id")
+    ids = classes.select("id", "at").join(_few(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id")
     per_text = durable(ids.groupBy("at.rid").agg(F.collect_list(F.struct("at", "id")).alias("wanted")))  # at most the lines of one text
     texts = docs.select("rid", "text")
     if per_text.count() <= FILTER_ROWS:
@@ -208,11 +228,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return places.unionByName(copies)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= FILTER_ROWS else ids
+
+
 def _marked(classes: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """classes with a column that says whether their id is among ids."""
-    marks = ids.withColumn(name, F.lit(True))
-    marks = F.broadcast(marks) if ids.count() <= FILTER_ROWS else marks
-    return classes.join(marks, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return classes.join(_few(ids.withColumn(name, F.lit(True))), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -228,7 +251,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     own = _own(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     gone = removed_lines(own).groupBy("rid").agg(F.collect_set("line_no").alias("gone"))  # at most the lines of one text
-    sizes = own.select("rid", "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines")).dropDuplicates(["rid"])
+    sizes = own.select("rid", "doc_id", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines")).dropDuplicates(["rid"])
     joined = sizes.join(gone, "rid", "left").withColumn("gone", F.sort_array(F.coalesce("gone", F.array().cast("array<int>"))))
     return joined.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
 

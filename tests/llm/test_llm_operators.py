@@ -141,6 +141,40 @@ def test_line_dedup_meets_few_pairs_of_a_group(spark, monkeypatch):
     assert sum(met) < 1000  # of 7,140
 
 
+def test_line_dedup_pairs_near_copies_once(spark, monkeypatch):
+    rng, met, kind = random.Random(41), [], type(spark.range(1))
+    base = [f"w{rng.randrange(10**9)}" for _ in range(90)]
+    own = []
+    for _ in range(60):  # two of them share about ten tokens of their prefixes
+        line = list(base)
+        for k in rng.sample(range(90), 4):
+            line[k] = f"e{rng.randrange(10**9)}"
+        own.append(" ".join(line[: rng.choice([90, 90, 88])]))
+    docs, distinct, pairs = list(enumerate(own)), kind.distinct, lines._candidates
+    monkeypatch.setattr(kind, "distinct", lambda df: (met.append(df.count()) if df.columns == ["a", "b"] else None, distinct(df))[1])
+    monkeypatch.setattr(lines, "CROWD", 1000)  # no representatives: all meet
+    found = []
+    monkeypatch.setattr(lines, "_candidates", lambda *x: (df := pairs(*x), found.append({tuple(r) for r in df.collect()}))[0])
+    got = {r.doc_id: r.n_removed for r in lines.line_dedup(frame(spark, docs)).collect()}
+    want = brute.removed_lines(docs)
+    assert got == {i: len(want.get(i, [])) for i, _ in docs} and len(want) > 50
+    assert sum(met[: len(found)]) < 2 * len(set().union(*found))
+
+
+def test_line_dedup_of_like_sizes(spark, monkeypatch):
+    """Pairs at the threshold over all borders of size bands."""
+    monkeypatch.setattr(lines, "CROWD", 1000)
+    rng, docs = random.Random(44), []
+    for n in range(1, 100):
+        line = [f"v{rng.randrange(10**9)}" for _ in range(n + n // 4)]
+        some = rng.sample(line, n)
+        near, far = [*some[n // 9 :], *[f"y{n}x{k}" for k in range(n // 9)]], [*some[n // 9 + 1 :], *[f"z{n}x{k}" for k in range(n // 9 + 1)]]
+        docs += [(10 * n + k, " ".join(x)) for k, x in enumerate(rng.sample([line, some, near, far], 4))]
+    want = brute.removed_lines(docs)
+    got = {r.doc_id: r.n_removed for r in lines.line_dedup(frame(spark, docs)).collect()}
+    assert got == {i: len(want.get(i, [])) for i, _ in docs} and 99 < len(want) < 300
+
+
 def test_line_dedup_with_null_ids(spark):
     line = [f"word{i}" for i in range(30)]
     other = lambda k: " ".join([*line[:k], "changed", *line[k + 1 :]])
