@@ -31,7 +31,7 @@ BUCKETS = 1 << RARITY_BITS
 #: Rows of one long that may be broadcast to filter texts; beyond, the join shuffles.
 FILTER_ROWS = 200_000
 #: Parts of the token space whose classes are joined one after another, and the share of it (one part of so many) in which they meet representatives.
-SLICES = 2
+SLICES = 4
 FIRST_SLICE = 4
 #: A token has representatives if it is in the prefix of more classes than this.
 CROWD = 8

@@ -161,6 +161,17 @@ def test_line_dedup_pairs_near_copies_once(spark, monkeypatch):
     assert sum(met[: len(found)]) < 2 * len(set().union(*found))
 
 
+def test_line_dedup_deals_few_heads_at_once(spark, monkeypatch):
+    dealt, all_heads, keyed = [], [], lines._keyed
+    monkeypatch.setattr(lines, "_keyed", lambda classes, *x: (df := keyed(classes, *x), dealt.append(df.count()), all_heads.append(classes.agg(F.sum(F.size("prefix"))).first()[0]))[0])
+    rng = random.Random(43)
+    docs = [(i, prose(rng, 5 + i % 120)) for i in range(240)]
+    want = brute.removed_lines(docs)
+    got = {r.doc_id: r.n_removed for r in lines.line_dedup(frame(spark, docs)).collect()}
+    assert got == {i: len(want.get(i, [])) for i, _ in docs}
+    assert max(a + b for a, b in zip(dealt[::2], dealt[1::2], strict=True)) < 0.7 * all_heads[0]
+
+
 def test_line_dedup_of_like_sizes(spark, monkeypatch):
     """Pairs at the threshold over all borders of size bands."""
     monkeypatch.setattr(lines, "CROWD", 1000)
