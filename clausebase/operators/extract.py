@@ -40,10 +40,13 @@ def mean_confidence(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.coalesce(F.avg(F.when(F.col("conf") >= 0, F.col("conf"))), F.lit(0.0)).alias("ocr_confidence"))
 
 
+def whole_text() -> Column:
+    return F.array_join("pages", "\n\n")
+
+
 def described(docs: DataFrame) -> DataFrame:
     """docs (index columns, pages) with text, word_count, page_count, number and dates: own ones where detected, else the index's."""
-    text = F.array_join("pages", "\n\n")
-    own = docs.withColumn("text", text).withColumn("own", document_ref(F.col("text")))
+    own = docs.withColumn("text", whole_text()).withColumn("own", document_ref(F.col("text")))
     either = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
     return own.withColumns({"word_count": word_count(F.col("text")), "page_count": F.size("pages"), "document_number": F.col("own.number"), "date_raw": either("own.date_raw", "date_raw"), "date_parsed": either("own.date_parsed", "date_parsed")}).drop("own")
 

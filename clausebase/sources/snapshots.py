@@ -15,6 +15,7 @@ times; once a table is a single segment its replaced keys are forgotten.
 from __future__ import annotations
 
 import copy
+import gc
 import json
 import tempfile
 import time
@@ -142,33 +143,55 @@ class Transaction(Snapshot):
         super().__init__(base.store, base.version + 1, copy.deepcopy(base.tables), dict(base.marks), dict(base.figures))
         self.base = base
         self._keys: dict[DataFrame, dict] = {}
+        self._staged: dict[DataFrame, str] = {}
 
-    def _write(self, name: str, rows: DataFrame, layout: Layout) -> dict:
+    def _write(self, name: str, rows: DataFrame | Sequence[DataFrame], layout: Layout) -> dict:
         path = f"data/{name}/{uuid.uuid4().hex}"
-        if layout.folders:
-            rows = rows.hint("rebalance", *layout.folders)  # a folder with a third of all rows is written by several tasks
-        if layout.packed in rows.columns:
-            rows = rows.select(*[c for c in rows.columns if c != layout.packed], F.inline(layout.packed))
-        schema = rows.schema.json()
-        if layout.sort:
-            rows = rows.sortWithinPartitions(*layout.folders, *layout.sort)
-        rows.write.partitionBy(*layout.folders).parquet(f"{self.store.folder}/{path}")
+        parts = [rows] if isinstance(rows, DataFrame) else rows
+        for part in parts:
+            if layout.folders:
+                part = part.hint("rebalance", *layout.folders)  # a folder with a third of all rows is written by several tasks
+            if layout.packed in part.columns:
+                part = part.select(*[c for c in part.columns if c != layout.packed], F.inline(layout.packed))
+            schema = part.schema.json()
+            if layout.sort:
+                part = part.sortWithinPartitions(*layout.folders, *layout.sort)
+            part.write.mode("append").option("compression", "zstd").partitionBy(*layout.folders).parquet(f"{self.store.folder}/{path}")
+            if len(parts) > 1:
+                self._release()
         return {"path": path, "schema": schema}
 
+    def _release(self) -> None:
+        """Shuffle files of writes that have ended go now, not when the driver happens to collect its garbage."""
+        gc.collect()
+        self.store.spark.sparkContext._jvm.System.gc()
+
     def _entry(self, name: str, layout: Layout) -> dict:
         return self.tables.setdefault(name, {"key": layout.key, "segments": [], "replaced": []})
 
-    def _add(self, name: str, rows: DataFrame, layout: Layout) -> DataFrame:
-        written = self._write(name, rows.withColumn(AT, F.lit(self.version)), layout)
+    def _add(self, name: str, rows: DataFrame | Sequence[DataFrame], layout: Layout) -> DataFrame:
+        parts = [rows] if isinstance(rows, DataFrame) else rows
+        written = self._write(name, [part.withColumn(AT, F.lit(self.version)) for part in parts], layout)
         self.tables[name]["segments"].append(written | {"level": 0, "low": self.version})
         return self.store.parquet(written).drop(AT)
 
     def stage(self, rows: DataFrame) -> DataFrame:
         """rows written to a folder that no manifest names, and read from there: what several writes of a transaction are made of."""
-        return self.store.parquet(self._write("staged", rows, Layout()))
+        written = self._write("staged", rows, Layout())
+        staged = self.store.parquet(written)
+        self._staged[staged] = written["path"]
+        return staged
+
+    def unstage(self, staged: DataFrame) -> None:
+        """Removes the folder of staged rows once all that is made of them is written, and the shuffle files of what is written."""
+        self.store.files.delete(f"{self.store.folder}/{self._staged.pop(staged)}")
+        self._release()
 
-    def replace(self, name: str, rows: DataFrame, keys: DataFrame, layout: Layout | None = None) -> DataFrame:
-        """All stored rows of keys give way to rows; keys without rows lose theirs. Once for each table of a transaction. The rows as they were written."""
+    def replace(self, name: str, rows: DataFrame | Sequence[DataFrame], keys: DataFrame, layout: Layout | None = None) -> DataFrame:
+        """All stored rows of keys give way to rows; keys without rows lose theirs. Once for each table of a transaction. The rows as they were written.
+
+        Rows in several parts are written one part after another, so that the shuffle files of one are there at a time.
+        """
         layout = layout or Layout()
         entry = self._entry(name, layout)
         if entry["segments"]:

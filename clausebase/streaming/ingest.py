@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.refs import normal_number
+from ..functions.text import fence
 from ..operators import extract, keyword, resolve, store, vectors
 from ..schemas import BLOCKS, CHUNKS, DOCUMENTS, LENGTHS, LINKS, NUMBERS, POSTINGS, REFS, ROLLUPS, STATUSES, columns
 from ..sources import snapshots
@@ -67,22 +68,28 @@ def _apply(change: Transaction, incoming: DataFrame, force: bool) -> None:
     before = change.base
     order = Window.partitionBy("doc_id").orderBy(F.desc("sha1"), F.hash("pages"))
     latest = incoming.withColumn("version", F.row_number().over(order)).where("version = 1").drop("version")
-    new = change.stage(extract.described(store.changed(latest, before.read("documents", DOCUMENTS), force)))
-    ids = new.select("doc_id")
+    staged = change.stage(extract.described(store.changed(latest, before.read("documents", DOCUMENTS), force)).drop("text"))
+    ids = change.stage(staged.select("doc_id"))
+    new = staged.withColumn("text", fence(extract.whole_text()))
 
     none = F.lit(None).cast("string")
     rows = new.withColumns({"needs_review": extract.is_outlier().cast("int"), "indexed_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "superseded_by_doc_id": none, "superseded_by_summary": none})
     rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in DOCUMENTS])
     chunks = extract.chunk_rows(new).select(*CHUNKS.fieldNames())
     refs = extract.ref_rows(new).select(*REFS.fieldNames())
-    replace_documents(change, rows, chunks, refs, ids)
+    replace_documents(change, rows, chunks, refs, ids, staged)
 
 
-def replace_documents(change: Transaction, documents: DataFrame, chunks: DataFrame, refs: DataFrame, ids: DataFrame) -> None:
-    """All that the store holds of ids replaced by the rows given, and what follows from them: links, numbers, keyword index, statuses."""
+def replace_documents(change: Transaction, documents: DataFrame, chunks: DataFrame, refs: DataFrame, ids: DataFrame, staged: DataFrame | None = None) -> None:
+    """All that the store holds of ids replaced by the rows given, and what follows from them: links, numbers, keyword index, statuses.
+
+    staged is what documents, chunks and refs, but not ids, are made of; it is removed when these are written.
+    """
     documents = change.replace("documents", documents, ids, BY_DOCUMENT)
     chunks = change.replace("chunks", chunks, ids, BY_DOCUMENT)
     refs = change.replace("refs", refs, ids, BY_DOCUMENT)
+    if staged is not None:
+        change.unstage(staged)
     replace_links(change, documents, refs, ids)
     replace_index(change, chunks, ids)
     resolve_changed(change, ids)
@@ -99,7 +106,7 @@ def replace_links(change: Transaction, documents: DataFrame, refs: DataFrame, id
 def replace_index(change: Transaction, chunks: DataFrame, ids: DataFrame) -> None:
     """Postings of chunks (doc_id, chunk_id, text, title), and the corpus figures by what has come and gone."""
     old = change.base.read("lengths", LENGTHS).join(ids, "doc_id", "left_semi")
-    change.replace("postings", keyword.packed_postings(chunks), ids, PACKED)
+    change.replace("postings", [keyword.packed_postings(part) for part in keyword.slices(chunks)], ids, PACKED)
     added = change.replace("lengths", keyword.lengths_of(chunks), ids, BY_DOCUMENT)
     for sign, side in ((-1, old), (1, added)):
         n, total = side.agg(F.coalesce(F.sum("n_chunks"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()

@@ -243,6 +243,28 @@ def test_postings_and_questions_shuffle_no_places(spark, capsys):
     assert "Exchange hashpartitioning(chunk_id" in plan and "hashpartitioning(question_id#" in plan and ", chunk_id#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(question_id" in x)
 
 
+def test_a_large_batch_is_indexed_in_parts_and_keeps_no_staged_pages(spark, tmp_path, monkeypatch):
+    """Parts of the chunks are dealt one after another, each chunk in one part; pages staged for the batch go before that."""
+    monkeypatch.setattr(keyword, "SLICE_BYTES", 1)
+    parts, pages = [], []
+    real_write = Transaction._write
+
+    def write(self, name, rows, layout):
+        if name == "postings":
+            parts.append(len(rows))
+            pages.extend(x for x, _ in self.store.files.listed(f"{tmp_path}/data/staged") if "pages" in spark.read.parquet(f"{tmp_path}/data/staged/{x}").columns)
+        return real_write(self, name, rows, layout)
+
+    monkeypatch.setattr(Transaction, "_write", write)
+    to = ingest.Store(spark, str(tmp_path))
+    rng = random.Random(5)
+    for batch in range(2):
+        state = ingest.ingest_batch(to, spark.createDataFrame(letters(rng, 6, batch), ingest.INCOMING))
+    assert parts == [keyword.MOST_SLICES] * 2 and pages == []
+    of = lambda df: sorted((r.chunk_id, r.term, tuple(r.positions), r.length, r.bucket, r.block) for r in df.collect())
+    assert of(state.read("postings", POSTINGS)) == of(keyword.postings_of(state.read("chunks", CHUNKS)))
+
+
 def test_an_index_of_one_live_segment_is_not_written_again(spark, tmp_path):
     to = ingest.Store(spark, str(tmp_path))
     rows = spark.createDataFrame([(d, d, f"fee {d}", "") for d in "abc"], "doc_id string, chunk_id string, text string, title string")
